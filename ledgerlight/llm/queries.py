@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, content_sort, langid
+from . import byte_bpe, chat, content_sort, decontam, langid, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(extra))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
@@ -26,12 +41,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat.oracle(),
     "op4_exact_dedup": """
         WITH n AS (
           SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS c,
@@ -41,4 +60,15 @@ ORACLE_SQL: dict[str, str] = {
                CAST(count(*) OVER (PARTITION BY c) AS BIGINT) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(c) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY c ORDER BY p DESC, doc_id)""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (
+          SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS f FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               list_reduce(list_transform(range(32), lambda i:
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT)
+                   >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), lambda a, b: a || b) AS payload_digest,
+               CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> f THEN f END AS refers_to
+        FROM d""",
 }
