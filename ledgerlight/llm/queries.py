@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, content_sort, decontam, langid, warc
+from . import byte_bpe, chat, content_sort, decontam, langid, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(spark, table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -71,4 +76,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> f THEN f END AS refers_to
         FROM d""",
+    "op9_substring_dedup": """
+        WITH w AS (
+          SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS a FROM documents),
+        d AS (SELECT doc_id, list_filter(a, lambda x: x <> '') AS a FROM w),
+        g AS (
+          SELECT doc_id, p, array_to_string(a[p:p + 12], ' ') AS k
+          FROM (SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS p FROM d)),
+        m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM g),
+        c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM m WHERE gone),
+        r AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM c GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(a, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
 }
