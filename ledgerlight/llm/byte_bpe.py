@@ -288,8 +288,8 @@ def rank_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
+def digests(spark: SparkSession, docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, and the ids if they are asked for."""
     ranks = spark.sparkContext.broadcast(rank_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,17 +298,19 @@ def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Da
             for row, end, raw, offsets in at.pieces(batch.column("text")):
                 ids, first, out = c.checked(raw, offsets)
                 little = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, end - row),
-                        pa.array(np.diff(first)),
-                        pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)], pa.string()),
-                        pa.array([hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+                columns = [
+                    batch.column("doc_id").slice(row, end - row),
+                    pa.array(np.diff(first)),
+                    pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

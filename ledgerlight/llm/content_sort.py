@@ -8,9 +8,8 @@ large, is cut into SALTS runs in different ranges, each run is summed up first,
 and the few sums of a group meet by digest.
 
 Null text is the empty text.  Of equal texts the row with the most code points
-in the original text stays, then the smallest doc_id; of rows that repeat a
-doc_id and text, all are returned, and `kept` holds for each of them that has
-the kept identifier and length.  A null doc_id sorts last.  An empty table
+in the original text stays, then the smallest doc_id; of rows that repeat both,
+all are returned and one is kept.  A null doc_id sorts last.  An empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -62,6 +61,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == F.col("best.points"))).alias("kept"),
+        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == F.col("best.points"))).alias("kept"),
         "text_sha256",
     )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, unchanged, that deduplicate() keeps."""
+    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    near = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
+    # of rows that repeat an identifier and a content the longest text stays
+    beside = Window.partitionBy("doc_id", "_sha").orderBy(F.desc(F.length("text")))
+    return near.withColumn("_place", F.row_number().over(beside)).filter("_place = 1").select(docs.columns)

@@ -167,3 +167,29 @@ def identify(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGU
     """Fits on the rows that are not held out, then predicts all: doc_id, held_out, lang_pred, score."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), per_language)
     return predict(spark, docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: Texts whose winning language holds less than this share of all language evidence are rejected.
+REJECT_BELOW = 0.3
+
+
+def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of `docs`, unchanged, whose language can be told; fits on the rows that are not held out."""
+    spark = docs.sparkSession
+    languages, filters, wrong = fit(docs.filter(~held_out(F.col("doc_id"))), per_language)
+    shared = spark.sparkContext.broadcast((filters, wrong))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot_array, rate = shared.value
+        for batch in batches:
+            for row, end, raw, offsets in at.pieces(batch.column(text_at)):
+                part = batch.slice(row, end - row)
+                good = part.column(len(batch.schema) - 1).to_numpy(zero_copy_only=False)
+                if len(rate):
+                    good = good & (decide(raw, offsets, slot_array, rate)[1] >= REJECT_BELOW)
+                kept = part.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    return docs.select("*", letters).mapInArrow(run, docs.schema)
