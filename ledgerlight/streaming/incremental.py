@@ -26,7 +26,7 @@ def new_urls(stream: DataFrame) -> DataFrame:
 class Snapshots:
     """A table of numbered snapshots; a batch that is run again gives the same snapshot."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
 
     def _numbers(self) -> list[int]:
@@ -59,7 +59,7 @@ def merge_into(snapshots: Snapshots, merge: Callable[[DataFrame, DataFrame], Dat
 
 def latest_status(spark: SparkSession, manifest: str, state: str, checkpoint: str, files_at_once: int = 100):
     """Runs until all log files are taken in; the state holds each URL's last entry by status order."""
-    snapshots = Snapshots(spark, state, MANIFEST.simpleString().removeprefix("struct<").removesuffix(">"))
+    snapshots = Snapshots(spark, state, MANIFEST)
     order = (F.desc("meeting_date"), F.desc("status"), F.to_json(F.struct("*")))
     merge = merge_into(snapshots, lambda old, new: latest(old.unionByName(new), "url", *order))
     query = manifest_stream(spark, manifest, files_at_once).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
