@@ -76,6 +76,11 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def _key() -> Column:
+    """page_id, with a number for null, so that equal keys can be joined without a null test."""
+    return F.coalesce("page_id", F.lit(-(2**63)).cast("long"))
+
+
 def plan(pages: DataFrame, archives: int, least: int = 0) -> DataFrame:
     """The index: one row for each record, in small columns only."""
     rows = _rows(pages).select("page_id", "url", base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
@@ -84,20 +89,21 @@ def plan(pages: DataFrame, archives: int, least: int = 0) -> DataFrame:
     typed = typed.withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("first"))).drop("first")
     head = _head(F.col("kind"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers_to"), F.col("size"))
     length = F.octet_length(head) + F.when(F.col("kind") == "revisit", 0).otherwise(F.col("size")) + len(END)
-    placed = typed.withColumn("length", length).withColumn("archive", F.pmod(F.hash("page_id"), F.lit(archives)))
+    placed = typed.withColumn("length", length).withColumn("archive", F.pmod(F.hash(_key()), F.lit(archives)))
     before = Window.partitionBy("archive").orderBy("page_id", "digest", "url").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def write(pages: DataFrame, index: DataFrame, path: str, archives: int) -> None:
     """Writes the archives that the index describes; moves every payload once."""
-    known = index.groupBy("page_id").agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known")).withColumnRenamed("page_id", "id")
-    left = _rows(pages).withColumn("digest", base32_sha1(F.col("html"))).repartition(archives, "page_id")
-    both = left.join(known.repartition(archives, "id").hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("id")))
+    known = index.groupBy(_key().alias("key")).agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known"))
+    # both sides are dealt by the same number of the same hash as the archives, so the join keeps each archive in one task
+    left = _rows(pages).withColumn("digest", base32_sha1(F.col("html"))).withColumn("key", _key()).repartition(archives, "key")
+    both = left.join(known.repartition(archives, "key").hint("merge"), "key")
     own = F.filter("known", lambda k: k["digest"] == F.col("digest"))[0]
     head = _head(own["kind"], F.col("page_id"), F.col("url"), F.col("digest"), own["refers_to"], F.octet_length("html"))
     record = F.concat(head, F.when(own["kind"] == "revisit", "").otherwise(F.col("html")))
-    out = both.select(record.alias("value"), F.pmod(F.hash("page_id"), F.lit(archives)).alias("archive"), "page_id", "digest", "url")
+    out = both.select(record.alias("value"), F.pmod(F.hash("key"), F.lit(archives)).alias("archive"), "page_id", "digest", "url")
     ordered = out.sortWithinPartitions("archive", "page_id", "digest", "url").select("value", "archive")
     ordered.write.option("lineSep", END).partitionBy("archive").text(path)
 
