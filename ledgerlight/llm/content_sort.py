@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Runs into which a group of copies is cut.
 SALTS = 32
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,6 +44,7 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
     return ranged.select(
         "doc_id",
         "points",
+        "salt",
         F.sha2(F.col("content"), 256).alias("text_sha256"),
         F.row_number().over(beside).alias("place"),
         F.count(F.lit(1)).over(Window.partitionBy("content", "salt")).alias("run"),
@@ -50,18 +53,17 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
-    runs = sorted_runs(docs)
-    best = F.min_by(F.struct("doc_id", "points"), F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id")))
-    groups = (
-        runs.filter("place = 1")
-        .groupBy("text_sha256")
-        .agg(best.alias("best"), F.sum("run").cast("long").alias("group_size"))
-    )
-    return runs.join(groups, "text_sha256").select(
+    runs = written(sorted_runs(docs))  # small columns; the texts are sorted once
+    heads = runs.filter("place = 1").select("text_sha256", "salt", "run", F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id")).alias("best"))
+    # a group has at most SALTS heads; each run meets its own head, so a large group's rows meet in as many places
+    whole = Window.partitionBy("text_sha256")
+    groups = heads.select("text_sha256", "salt", F.min("best").over(whole).alias("best"), F.sum("run").over(whole).cast("long").alias("group_size"))
+    keep = F.col("best.doc_id")
+    return runs.join(groups, ["text_sha256", "salt"]).select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        keep.alias("keep_id"),
         "group_size",
-        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == F.col("best.points"))).alias("kept"),
+        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep) & (F.col("points") == -F.col("best.col1"))).alias("kept"),
         "text_sha256",
     )
 
