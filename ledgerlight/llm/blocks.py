@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Stands for a null identifier, which counts as the largest.
 NULL_ID = np.int64(2**63 - 1)
 
@@ -27,6 +27,11 @@ def block_count(docs: DataFrame, column: str = "text") -> int:
     return max(1, -(-int(size) // BLOCK_BYTES))
 
 
+def range_count(blocks: int) -> int:
+    """Ranges of the key space, so that each sees about as much as three blocks ask."""
+    return -(-blocks // 3)
+
+
 def blocked(docs: DataFrame, count: int) -> DataFrame:
     """doc_id, text and block; the exchange by block is the same wherever it is used, so Spark reuses it."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(count)).cast("int").alias("block"))

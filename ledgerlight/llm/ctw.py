@@ -9,10 +9,12 @@ context, with weights that the training text has settled.  A text begins after
 DEPTH end marks and closes with one; its score sums its bytes' log10
 probabilities, so -score / log10(2) / bytes is the code length per byte.
 
-Counts cover every training text.  Blocks sum up their own contexts and words;
-trees are built by most recent byte, in 256 independent parts that meet only at
-the root; each block is answered for the contexts and words that it holds, so
-no task ever holds the whole model.
+Counts cover every training text.  Blocks sum up their own contexts and words,
+even ranges of the keys sum up the blocks, and trees are built from the sums in
+parts that share their most recent byte and a class of the byte before.  Parts
+meet only in the two shallowest depths, 256 * 255 decisions at most.  Each
+block is answered for the contexts and words that it holds, so no task ever
+holds the whole model.
 
 Null text is empty: it is one end token and one end mark.  A null doc_id is
 in training.  Rows that repeat count as often as they stand.  Without any
@@ -41,10 +43,14 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _U = np.uint64
 _ASK = pa.schema([("words", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary()), ("texts", pa.int64())])
 _ASK_DDL = "words boolean, rng int, block int, n int, keys binary, value binary, texts long"
-_TOLD = pa.schema([("words", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64())])
-_TOLD_DDL = "words boolean, rng int, block int, n int, keys binary, value binary, known long, tokens long"
-_TOP = pa.schema([("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("weighted", pa.float64())])
-_TOP_DDL = "node int, zeros long, ones long, weighted double"
+_PART = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary())])
+_PART_DDL = "part int, n int, keys binary, value binary"
+_MODEL = pa.schema([("rng", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary())])
+_MODEL_DDL = "rng int, n int, keys binary, value binary"
+_TOLD = pa.schema([("words", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("value", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64())])
+_TOLD_DDL = "words boolean, rng int, block int, n int, value binary, known long, tokens long"
+_TOP = pa.schema([("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("below", pa.float64())])
+_TOP_DDL = "node int, zeros long, ones long, below double"
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -97,13 +103,13 @@ def _context(codes: np.ndarray, depth: int, bits: int, full: int) -> np.ndarray:
 
 
 def tree(codes: np.ndarray, counts: np.ndarray, depth: int) -> list[list[Level]]:
-    """Levels [d][bit] for depths 1..depth of one most recent byte; codes are (recent, ..., oldest, coded) bytes, sorted."""
+    """Levels [d][bit] for depths 2..depth; codes are (recent, ..., oldest, coded) bytes, sorted."""
     out: list[list[Level]] = [[None] * 8 for _ in range(depth + 1)]  # type: ignore[list-item]
     for bits in range(8):
         bit = codes >> _U(7 - bits) & _U(1)
         keys = _context(codes, depth, bits, depth)
         zeros, ones, below = np.where(bit == 0, counts, 0), np.where(bit == 1, counts, 0), None
-        for d in range(depth, 0, -1):
+        for d in range(depth, 1, -1):
             unique, place = np.unique(keys, return_inverse=True)
             z, o = (np.bincount(place, x, len(unique)) for x in (zeros, ones))
             level = Level(unique, z, o, None if below is None else np.bincount(place, below, len(unique)))
@@ -114,36 +120,53 @@ def tree(codes: np.ndarray, counts: np.ndarray, depth: int) -> list[list[Level]]
     return out
 
 
-def root(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the 255 decisions (1, then bits so far): the probability of a one, and the own estimate's share."""
-    z, o, below = (np.bincount(nodes, x, 256) for x in (zeros, ones, weighted))
-    own = kt_block(z, o)
-    return (o + 0.5) / (z + o + 1), np.exp(own - np.logaddexp(own, below))
+Top = tuple[np.ndarray, np.ndarray]
 
 
-def log10_probabilities(codes: np.ndarray, levels: list[list[Level]], top: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """log10 probability of the coded byte of each code, all with the same most recent byte."""
+def top(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[Top]:
+    """Depths 0 and 1, by decision (1, then bits so far; before it, at depth 1, the most recent byte).
+
+    For each: the probability of a one, and the share of the node's own estimate; 1/2 and 1 at unknown nodes of depth 1.
+    """
+    out: list[Top] = []
+    z, o, w = (np.bincount(nodes, x, 1 << 16) for x in (zeros, ones, below))
+    for size in (1 << 16, 256):
+        own = kt_block(z, o)
+        out.insert(0, ((o + 0.5) / (z + o + 1), np.exp(own - np.logaddexp(own, w))))
+        seen = z + o > 0
+        weighted = np.where(seen, _half(own, w), 0.0)
+        out[0][1][~seen] = 1.0
+        z, o, w = (x.reshape(-1, 256).sum(0) for x in (z, o, weighted)) if size > 256 else (z, o, w)
+    return out
+
+
+def log10_probabilities(codes: np.ndarray, levels: list[list[Level]], tops: list[Top], depth: int) -> np.ndarray:
+    """log10 probability of the coded byte of each code."""
     out = np.zeros(len(codes))
-    one, own = top
+    recent = (codes >> _U(8 * depth)).astype(np.int64) << 8
     for bits in range(8):
         bit = (codes >> _U(7 - bits) & _U(1)).astype(bool)
         p = np.full(len(codes), 0.5)
-        for d in range(depth, 0, -1):
+        for d in range(depth, 1, -1):
             p = levels[d][bits].estimate(_context(codes, d, bits, depth), bit, p)
         node = (1 << bits) + ((codes & _U(255)) >> _U(8 - bits)).astype(np.int64)
-        out += np.log10(own[node] * np.where(bit, one[node], 1 - one[node]) + (1 - own[node]) * p)
+        for (one, own), at_node in ((tops[1], recent + node), (tops[0], node)):
+            p = own[at_node] * np.where(bit, one[at_node], 1 - one[at_node]) + (1 - own[at_node]) * p
+        out += np.log10(p)
     return out
 
 
 def top_nodes(levels: list[list[Level]]) -> pa.Table:
-    """What the root needs of one most recent byte: at most 255 rows."""
+    """What the two shallowest depths need of a part: a row for each recent byte and decision."""
     parts = []
     for bits in range(8):
-        level = levels[1][bits]
-        node = (1 << bits) + (level.keys & _U((1 << bits) - 1)).astype(np.int64)
-        parts.append((node, level.zeros, level.ones, level.weighted))
-    node, zeros, ones, weighted = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.Table.from_arrays([pa.array(node.astype(np.int32)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(weighted)], schema=_TOP)
+        level = levels[2][bits]
+        recent = (level.keys >> _U(bits + 8)).astype(np.int64)
+        parts.append(((recent << 8) + (1 << bits) + (level.keys & _U((1 << bits) - 1)).astype(np.int64), level.zeros, level.ones, level.weighted))
+    node, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    unique, place = np.unique(node, return_inverse=True)
+    zeros, ones, below = (np.bincount(place, x, len(unique)) for x in sums)
+    return pa.Table.from_arrays([pa.array(unique.astype(np.int32)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(below)], schema=_TOP)
 
 
 class Found:
@@ -214,65 +237,106 @@ def _tally(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _counted([(a, n), (b, np.zeros(len(b), np.int64))])
 
 
-def _ask(count: int, depth: int):
+def ranged(codes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Codes by range, in order inside each, and the ranges; those with the same older context share a range."""
+    rng = (at.fmix(codes >> _U(16)) >> _U(32)) * _U(ranges) >> _U(32)
+    order = np.argsort(rng, kind="stable")
+    begin = bl.firsts(rng[order])
+    return order, [(int(rng[order[a]]), slice(int(a), int(b))) for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True)]
+
+
+def _tallied(table: pa.Table, learns: np.ndarray, depth: int) -> tuple[tuple, tuple]:
+    none = (np.zeros(0, _U), np.zeros(0, np.int64))
+    words, codes = none, none
+    for row, end, raw, offsets in at.pieces(table.column("text")):
+        low, train = at.LOWER[raw], learns[row:end]
+        start, stop, first = at.words(low, offsets)
+        words = _counted([words, _tally(at.word_names(low, start, stop), np.repeat(train, np.diff(first)))])
+        code, first = coded(low, offsets, depth)
+        codes = _counted([codes, _tally(code, np.repeat(train, np.diff(first)))])
+    return words, codes
+
+
+def _ask(ranges: int, depth: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, block = bl.in_order(table), key[0].as_py()
         learns = trained(bl.doc_ids(table.column("doc_id")))
-        none = (np.zeros(0, _U), np.zeros(0, np.int64))
-        words, codes = [none], [none]
-        for row, end, raw, offsets in at.pieces(table.column("text")):
-            low, train = at.LOWER[raw], learns[row:end]
-            start, stop, first = at.words(low, offsets)
-            words.append(_tally(at.word_names(low, start, stop), np.repeat(train, np.diff(first))))
-            code, first = coded(low, offsets, depth)
-            codes.append(_tally(code, np.repeat(train, np.diff(first))))
-        rows, texts = [], int(learns.sum())
-        keys, n = _counted(words)
-        rows += [(True, r, block, x.stop - x.start, bl.packed(keys[x]), bl.plain(n[x]), 0) for r, x in bl.by_range(keys, count)]
-        rows.append((True, -1, block, 0, b"", b"", texts))
-        keys, n = _counted(codes)
-        recent = keys >> _U(8 * depth)
-        for r in np.unique(recent):
-            x = slice(int(np.searchsorted(recent, r)), int(np.searchsorted(recent, r, "right")))
-            rows.append((False, int(r), block, x.stop - x.start, bl.packed(keys[x]), bl.plain(n[x]), 0))
+        (keys, n), (codes, m) = _tallied(table, learns, depth)
+        rows = [(True, r, block, x.stop - x.start, bl.packed(keys[x]), bl.plain(n[x]), 0) for r, x in bl.by_range(keys, ranges)]
+        rows.append((True, -1, block, 0, b"", b"", int(learns.sum())))
+        order, cuts = ranged(codes, ranges)
+        codes, m = codes[order], m[order]
+        rows += [(False, r, block, x.stop - x.start, bl.packed(codes[x]), bl.plain(m[x]), 0) for r, x in cuts]
         return bl.table(rows, _ASK)
 
     return ask
 
 
-def _gathered(table: pa.Table) -> tuple[list[dict], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Rows, each row's keys, and all distinct keys with their summed counts."""
-    rows = table.to_pylist()
-    keys = [bl.unpacked(r["keys"], r["n"]) for r in rows]
-    unique, n = _counted([(k, bl.unplain(r["value"], r["n"]).astype(np.int64)) for r, k in zip(rows, keys, strict=True)])
-    return rows, keys, unique, n
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys of a group's rows with their summed counts."""
+    size = table.column("n").to_pylist()
+    keys, value = table.column("keys"), table.column("value")
+    parts = [(bl.unpacked(keys[i].as_py(), n), bl.unplain(value[i].as_py(), n).astype(np.int64)) for i, n in enumerate(size)]
+    return _counted(parts)
+
+
+def _part_of(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The most recent byte and three bits of the one before."""
+    return (codes >> _U(8 * (depth - 1) + 5)).astype(np.int64)
+
+
+def _summed(depth: int):
+    def summed(table: pa.Table) -> pa.Table:
+        codes, n = _gathered(table)
+        part = _part_of(codes, depth)
+        begin = bl.firsts(part)
+        rows = [(int(part[a]), int(b - a), bl.packed(codes[a:b]), bl.plain(n[a:b])) for a, b in zip(begin, np.append(begin[1:], len(codes)), strict=True)]
+        return bl.table(rows, _PART)
+
+    return summed
 
 
 def _part_tops(depth: int):
     def part(table: pa.Table) -> pa.Table:
-        _, _, codes, n = _gathered(table)
+        codes, n = _gathered(table)
         return top_nodes(tree(codes[n > 0], n[n > 0], depth))
 
     return part
 
 
-def _answer(depth: int, top):
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        words, r = key[0].as_py(), key[1].as_py()
-        rows, keys, unique, n = _gathered(table)
-        known, tokens = int((n > 0).sum()), int(n.sum())
-        if words:
-            out = [(True, r, x["block"], x["n"], x["keys"], bl.plain(n[np.searchsorted(unique, k)]), 0, 0) for x, k in zip(rows, keys, strict=True)]
-        else:
-            levels = tree(unique[n > 0], n[n > 0], depth)
-            p = log10_probabilities(unique, levels, top, depth)
-            out = [(False, r, x["block"], x["n"], x["keys"], p[np.searchsorted(unique, k)].tobytes(), 0, 0) for x, k in zip(rows, keys, strict=True)]
-        return bl.table([*out, *([(True, r, -1, 0, b"", b"", known, tokens)] if words else [])], _TOLD)
+def _model(ranges: int, depth: int, tops: list[Top]):
+    def model(table: pa.Table) -> pa.Table:
+        codes, n = _gathered(table)
+        p = log10_probabilities(codes, tree(codes[n > 0], n[n > 0], depth), tops, depth).astype(np.float32)
+        order, cuts = ranged(codes, ranges)
+        codes, p = codes[order], p[order]
+        return bl.table([(r, x.stop - x.start, bl.packed(codes[x]), p[x].tobytes()) for r, x in cuts], _MODEL)
+
+    return model
+
+
+def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
+    r = key[0].as_py()
+    keys, n = _gathered(table)
+    rows = []
+    for x in table.select(["block", "n", "keys"]).to_pylist():
+        rows.append((True, r, x["block"], x["n"], bl.plain(n[np.searchsorted(keys, bl.unpacked(x["keys"], x["n"]))]), 0, 0))
+    return bl.table([*rows, (True, r, -1, 0, b"", int((n > 0).sum()), int(n.sum()))], _TOLD)
+
 
-    return answer
+def _answer_codes(key: tuple, table: pa.Table, model: pa.Table) -> pa.Table:
+    r = key[0].as_py()
+    own = [(bl.unpacked(x["keys"], x["n"]), np.frombuffer(x["value"], np.float32)) for x in model.to_pylist()]
+    codes, p = (np.concatenate(x) for x in zip(*own, strict=True))
+    order = np.argsort(codes)
+    codes, p = codes[order], p[order]
+    rows = []
+    for x in table.select(["block", "n", "keys"]).to_pylist():
+        rows.append((False, r, x["block"], x["n"], p[np.searchsorted(codes, bl.unpacked(x["keys"], x["n"]))].tobytes(), 0, 0))
+    return bl.table(rows, _TOLD)
 
 
-def _score(depth: int, texts: int, tokens: int, distinct: int):
+def _score(ranges: int, depth: int, texts: int, tokens: int, distinct: int):
     total, kinds = tokens + texts, distinct + (texts > 0)
     base = np.log10(total + kinds + 1)
 
@@ -280,10 +344,9 @@ def _score(depth: int, texts: int, tokens: int, distinct: int):
         table = bl.in_order(table)
         ids = bl.doc_ids(table.column("doc_id"))
         told = told.sort_by("rng").to_pylist()
-        read = lambda kind, f, none: np.concatenate([none, *(f(r) for r in told if r["words"] == kind)])
-        word_keys = read(True, lambda r: bl.unpacked(r["keys"], r["n"]), np.zeros(0, _U))
-        word_n = read(True, lambda r: bl.unplain(r["value"], r["n"]), np.zeros(0, _U)).astype(np.int64)
-        codes = Found(read(False, lambda r: bl.unpacked(r["keys"], r["n"]), np.zeros(0, _U)), read(False, lambda r: np.frombuffer(r["value"], float), np.zeros(0)))
+        (word_keys, _), (code_keys, _) = _tallied(table, np.ones(len(ids), bool), depth)
+        word_n = np.concatenate([np.zeros(0, np.int64), *(bl.unplain(r["value"], r["n"]).astype(np.int64) for r in told if r["words"])])
+        codes = Found(code_keys[ranged(code_keys, ranges)[0]], np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["value"], np.float32) for r in told if not r["words"])]))
         out = []
         for row, end, raw, offsets in at.pieces(table.column("text")):
             low = at.LOWER[raw]
@@ -293,7 +356,7 @@ def _score(depth: int, texts: int, tokens: int, distinct: int):
             known = np.append(0, np.cumsum(n > 0))
             n_tokens = np.diff(first) + 1
             code, first_code = coded(low, offsets, depth)
-            score = np.add.reduceat(codes.get(code), first_code[:-1])
+            score = np.add.reduceat(codes.get(code).astype(float), first_code[:-1])
             base_score = run[first[1:]] - run[first[:-1]] + np.log10(texts + 1.0) - n_tokens * base
             out.append((n_tokens, known[first[1:]] - known[first[:-1]] + (texts > 0), base_score, score))
         n_tokens, n_known, base_score, scores = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -307,15 +370,22 @@ def _score(depth: int, texts: int, tokens: int, distinct: int):
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
     count = bl.block_count(docs)
+    ranges = bl.range_count(count)
     by_block = bl.blocked(docs, count).groupBy("block")
-    asked = written(by_block.applyInArrow(_ask(count, depth), _ASK_DDL))
-    tops = asked.filter("not words").groupBy("rng").applyInArrow(_part_tops(depth), _TOP_DDL)
-    # at most 255 rows for each of 256 recent bytes, summed to 255
-    at_root = tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toPandas()
-    top = root(*(at_root[c].to_numpy() for c in ("node", "zeros", "ones", "weighted")))
+    asked = written(by_block.applyInArrow(_ask(ranges, depth), _ASK_DDL), free=True)
+    code_lists, word_lists = asked.filter("not words"), asked.filter("words and rng >= 0")
+    summed = written(code_lists.groupBy("rng").applyInArrow(_summed(depth), _PART_DDL), free=True)
+    # at most 255 decisions for each of 256 recent bytes
+    at_top = summed.groupBy("part").applyInArrow(_part_tops(depth), _TOP_DDL).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
+    tops = top(*(at_top[c].to_numpy() for c in ("node", "zeros", "ones", "below")))
+    model = summed.groupBy("part").applyInArrow(_model(ranges, depth, tops), _MODEL_DDL)
+    for_codes = code_lists.groupBy("rng").cogroup(model.groupBy("rng")).applyInArrow(_answer_codes, _TOLD_DDL)
+    for_words = written(word_lists.groupBy("rng").applyInArrow(_answer_words, _TOLD_DDL), free=True)
     texts = asked.filter("rng = -1").agg(F.sum("texts")).first()[0] or 0
-    told = written(asked.filter("rng >= 0").groupBy("words", "rng").applyInArrow(_answer(depth, top), _TOLD_DDL))
-    sums = told.filter("block = -1").agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
-    final = _score(depth, int(texts), int(sums["tokens"] or 0), int(sums["known"] or 0))
-    return by_block.cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(final, RESULT)
+    sums = for_words.filter("block = -1").agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
+    final = _score(ranges, depth, int(texts), int(sums["tokens"] or 0), int(sums["known"] or 0))
+    told = for_words.filter("block >= 0").unionByName(for_codes)
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(final, RESULT)

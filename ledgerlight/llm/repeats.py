@@ -146,12 +146,13 @@ def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     count = bl.block_count(docs)
+    ranges = bl.range_count(count)
     by_block = bl.blocked(docs, count).groupBy("block")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         b = Block(table)
         keys, _, _ = _asked(interiors(b.names, b.own, b.at), b.doc)
-        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(keys[s] >> _U(24))) for r, s in bl.by_range(keys, count)]
+        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(keys[s] >> _U(24))) for r, s in bl.by_range(keys, ranges)]
         return bl.table(rows, _ASK)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -183,7 +184,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             return bl.table([], _MIN)
         least, most = (f.reduceat(doc, begin).view(_U) for f in (np.minimum, np.maximum))
         one, two = one[begin], two[begin]
-        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(one[s]), bl.plain(two[s]), bl.plain(least[s]), bl.plain(most[s] - least[s])) for r, s in bl.by_range(one, count)]
+        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(one[s]), bl.plain(two[s]), bl.plain(least[s]), bl.plain(most[s] - least[s])) for r, s in bl.by_range(one, ranges)]
         return bl.table(rows, _MIN)
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:

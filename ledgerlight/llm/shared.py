@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,8 +20,22 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again, which cuts the lineage."""
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """The same rows, written to the shared folder and read again, which cuts the lineage.
+
+    With `free`, the driver collects its garbage, so that Spark's cleaner removes
+    the shuffle files of plans that nothing refers to any more.
+    """
     spark, path = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        forget(spark)
+    return out
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
