@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import folder
+from .shared import folder, forget
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -35,6 +35,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Ranges closer than this are read at once, up to so many bytes.
 GAP, READ = 1 << 16, 8 << 20
+#: Archives are written in so many waves, so that only a part of the payloads is in shuffle files at once.
+WAVES = 2
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -98,14 +100,22 @@ def write(pages: DataFrame, index: DataFrame, path: str, archives: int) -> None:
     """Writes the archives that the index describes; moves every payload once."""
     known = index.groupBy(_key().alias("key")).agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known"))
     # both sides are dealt by the same number of the same hash as the archives, so the join keeps each archive in one task
-    left = _rows(pages).withColumn("digest", base32_sha1(F.col("html"))).withColumn("key", _key()).repartition(archives, "key")
-    both = left.join(known.repartition(archives, "key").hint("merge"), "key")
+    number = F.pmod(F.hash("key"), F.lit(archives))
+    all_rows = _rows(pages).withColumn("key", _key())
+    for wave in range(WAVES):
+        now = all_rows.filter(number % WAVES == wave).withColumn("digest", base32_sha1(F.col("html"))).repartition(archives, "key")
+        both = now.join(known.filter(number % WAVES == wave).repartition(archives, "key").hint("merge"), "key")
+        _write_wave(both, number, path)
+        forget(pages.sparkSession)
+
+
+def _write_wave(both: DataFrame, number: Column, path: str) -> None:
     own = F.filter("known", lambda k: k["digest"] == F.col("digest"))[0]
     head = _head(own["kind"], F.col("page_id"), F.col("url"), F.col("digest"), own["refers_to"], F.octet_length("html"))
     record = F.concat(head, F.when(own["kind"] == "revisit", "").otherwise(F.col("html")))
-    out = both.select(record.alias("value"), F.pmod(F.hash("key"), F.lit(archives)).alias("archive"), "page_id", "digest", "url")
+    out = both.select(record.alias("value"), number.alias("archive"), "page_id", "digest", "url")
     ordered = out.sortWithinPartitions("archive", "page_id", "digest", "url").select("value", "archive")
-    ordered.write.option("lineSep", END).partitionBy("archive").text(path)
+    ordered.write.mode("append").option("lineSep", END).partitionBy("archive").text(path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -182,6 +192,7 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> tuple[
     archives = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan(pages, archives, least).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
+    forget(spark)
     write(pages, index, f"{path}/archives", archives)
     files = archive_files(spark, f"{path}/archives")
     wrong = index.groupBy("archive").agg(F.sum("length").alias("planned")).join(files.groupBy("archive").agg(F.sum("file_length").alias("there"), F.count("*").alias("n")), "archive", "full").filter("planned is distinct from there or n <> 1")
