@@ -53,7 +53,7 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
-    runs = written(sorted_runs(docs))  # small columns; the texts are sorted once
+    runs = written(sorted_runs(docs), free=True)  # small columns; the texts are sorted once
     heads = runs.filter("place = 1").select("text_sha256", "salt", "run", F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id")).alias("best"))
     # a group has at most SALTS heads; each run meets its own head, so a large group's rows meet in as many places
     whole = Window.partitionBy("text_sha256")
@@ -70,9 +70,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, unchanged, that deduplicate() keeps."""
-    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    near = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id")
+    kept = written(deduplicate(docs).filter("kept").select(known, F.col("text_sha256").alias("_sha")), free=True)
+    rows = docs.select(F.struct("*").alias("_row"), known, F.sha2(normalised(F.col("text")), 256).alias("_sha"))
+    near = rows.join(kept, ["_id", "_sha"], "left_semi")
     # of rows that repeat an identifier and a content the longest text stays
-    beside = Window.partitionBy("doc_id", "_sha").orderBy(F.desc(F.length("text")))
-    return near.withColumn("_place", F.row_number().over(beside)).filter("_place = 1").select(docs.columns)
+    beside = Window.partitionBy("_id", "_sha").orderBy(F.desc(F.length("_row.text")))
+    return near.withColumn("_place", F.row_number().over(beside)).filter("_place = 1").select("_row.*")

@@ -191,5 +191,6 @@ def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 kept = part.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    name = "_letters" + "_" * max(map(len, docs.columns))  # clashes with no column
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(name)
     return docs.select("*", letters).mapInArrow(run, docs.schema)
