@@ -39,11 +39,11 @@ SHINGLE, NUM, DEN = 5, 80, 100
 #: Largest number of shared prefix shingles that may be asked for, and what checking a candidate costs against meeting a posting.
 MOST_MATCHES, CHECK_COST = 4, 20
 #: Rounds of leaders, and candidate pairs for each posting up to which pairs are listed without another.
-LEADER_ROUNDS, PAIRS_PER_POSTING = 4, 4
+LEADER_ROUNDS, PAIRS_PER_POSTING = 2, 4
 _U = np.uint64
-_ASK = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("value", pa.binary())])
+_ASK = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("value", pa.binary()), ("rows", pa.binary())])
 _TOLD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("bits", pa.binary()), ("value", pa.binary())])
-_POST = pa.schema([("doc", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("asks", pa.int32()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("level", pa.list_(pa.int32()))])
+_POST = pa.schema([("doc", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("asks", pa.int32()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("level", pa.list_(pa.int32()))])
 
 
 class Sets:
@@ -91,8 +91,8 @@ class Sets:
         number[order] = np.repeat(np.arange(len(begin)), size)
         return short[order][begin], size, number
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct signatures in order, the smallest id of each, and the number of each document's (-1: empty)."""
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct signatures in order, the smallest id of each, the number of each document's (-1: empty), and rows of each."""
         one, two = self.signatures()
         some = np.flatnonzero(self.size)
         order = some[np.lexsort((self.ids[some], two[some], one[some]))]
@@ -101,7 +101,8 @@ class Sets:
         number = np.full(len(self.ids), -1)
         number[order] = np.cumsum(new) - 1
         head = order[new]
-        return one[head], two[head], self.ids[head], number
+        rows = np.diff(np.append(np.flatnonzero(new), len(order)))
+        return one[head], two[head], self.ids[head], number, rows
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -109,20 +110,20 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return -(-n * NUM // DEN)
 
 
-def _ask(count: int):
+def _ask(ranges: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         s, block = Sets(table), key[0].as_py()
         keys, docs, _ = s.keys()
-        rows = [(r, block, False, x.stop - x.start, bl.packed(keys[x] >> _U(24)), b"", bl.plain(docs[x])) for r, x in bl.by_range(keys, count)]
-        one, two, least, _ = s.classes()
-        rows += [(r, block, True, x.stop - x.start, bl.packed(one[x]), bl.plain(two[x]), bl.plain(least[x].view(_U))) for r, x in bl.by_range(one, count)]
+        rows = [(r, block, False, x.stop - x.start, bl.packed(keys[x] >> _U(24)), b"", bl.plain(docs[x]), b"") for r, x in bl.by_range(keys, ranges)]
+        one, two, least, _, n_rows = s.classes()
+        rows += [(r, block, True, x.stop - x.start, bl.packed(one[x]), bl.plain(two[x]), bl.plain(least[x].view(_U)), bl.plain(n_rows[x])) for r, x in bl.by_range(one, ranges)]
         return bl.table(rows, _ASK)
 
     return ask
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """How many documents hold each key that more than one holds; the smallest id of each class."""
+    """How many documents hold each key that more than one holds; the smallest id and the size of each class."""
     rows = []
     for kind in (False, True):
         some = [r for r in table.to_pylist() if r["sets"] == kind]
@@ -137,6 +138,9 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
             new[1:] = (every[order][1:] != every[order][:-1]) | (more[order][1:] != more[order][:-1])
             begin = np.flatnonzero(new)
             found = np.minimum.reduceat(value[order].view(np.int64), begin).view(_U)
+            n_rows = np.concatenate([bl.unplain(r["rows"], r["n"]) for r in some])
+            size = np.empty(len(order), _U)
+            size[order] = np.repeat(np.add.reduceat(n_rows[order], begin), np.diff(np.append(begin, len(order))))
         else:
             order = np.argsort(every, kind="stable")
             begin = bl.firsts(every[order])
@@ -145,25 +149,25 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
         each[order] = np.repeat(found, np.diff(np.append(begin, len(order))))
         i = 0
         for r in some:
-            mine = each[i : i + r["n"]]
+            mine, at_row = each[i : i + r["n"]], i
             i += r["n"]
             if kind:
-                rows.append((r["block"], key[0].as_py(), True, r["n"], b"", bl.plain(mine)))
+                rows.append((r["block"], key[0].as_py(), True, r["n"], bl.plain(size[at_row:i]), bl.plain(mine)))
             else:
                 shared = mine > 1
                 rows.append((r["block"], key[0].as_py(), False, r["n"], np.packbits(shared).tobytes(), bl.plain(mine[shared])))
     return bl.table(rows, _TOLD)
 
 
-def choose(count: np.ndarray, base: int) -> int:
-    """Shared prefix shingles to ask for, by the documents that hold each shingle in prefix order; 0: no set can link.
+def choose(others: np.ndarray, base: int) -> int:
+    """Shared prefix shingles to ask for, by the other documents that hold each shingle in prefix order; 0: no set can link.
 
-    base is the length of the 1-prefix.  A prefix for m meets sum(count - 1) postings and leaves at most an m-th of them as candidates.
+    base is the length of the 1-prefix.  A prefix for m meets sum(others) postings and leaves at most an m-th of them as candidates.
     """
-    met = np.cumsum(count - 1)
-    held = np.cumsum(count > 1)
+    met = np.cumsum(others)
+    held = np.cumsum(others > 0)
     best, cost = 1, np.inf
-    for m in range(1, min(MOST_MATCHES, len(count) - base + 1) + 1):
+    for m in range(1, min(MOST_MATCHES, len(others) - base + 1) + 1):
         last = base + m - 2
         if held[last] < m:
             return 0
@@ -177,10 +181,11 @@ def _post(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
     s = Sets(table)
     told = told.sort_by("rng").to_pylist()
     count = np.ones(len(s.keys()[0]), np.int64) if not told else None
-    shares, reps = [], []
+    shares, reps, class_rows = [], [], []
     for r in told:
         if r["sets"]:
             reps.append(bl.unplain(r["value"], r["n"]))
+            class_rows.append(bl.unplain(r["bits"], r["n"]))
         else:
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
             part = np.ones(r["n"], np.int64)
@@ -190,27 +195,34 @@ def _post(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         count = np.concatenate([np.zeros(0, np.int64), *shares])
     _, _, number = s.keys()
     held = count[number] if len(number) else number
-    _, _, _, set_number = s.classes()
+    _, _, _, set_number, _ = s.classes()
     rep_of = np.concatenate([np.zeros(0, _U), *reps]).view(np.int64)
     rep = np.where(set_number >= 0, rep_of[np.maximum(set_number, 0)], s.ids) if len(rep_of) else s.ids
-    shared = np.bincount(s.doc, held > 1, len(s.ids)).astype(np.int64)
+    # documents that hold a shingle, without those of the same class
+    own = np.concatenate([np.zeros(0, _U), *class_rows]).astype(np.int64)
+    others = held - own[set_number[s.doc]] if len(own) else held - 1
+    shared = np.bincount(s.doc, others > 0, len(s.ids)).astype(np.int64)
     need = least_shared(s.size)
     # all but the first row of a class rest, and so do sets of which too few shingles stand anywhere else
     leads = (rep == s.ids) & (s.size > 0) & (shared >= need)
-    leads[1:] &= (s.ids[1:] != s.ids[:-1]) | (set_number[1:] != set_number[:-1])
+    # of rows that repeat an identifier the largest set stands for all
+    by_id = np.lexsort((np.arange(len(s.ids)), -s.size, s.ids))
+    again = np.zeros(len(s.ids), bool)
+    again[by_id[1:]] = s.ids[by_id[1:]] == s.ids[by_id[:-1]]
+    leads &= ~again
     asks, prefix, level, blob = [0] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids)
     for d in np.flatnonzero(leads).tolist():
         a, b = s.first[d], s.first[d + 1]
         order = np.lexsort((s.name[a:b], held[a:b]))
         base = int(s.size[d] - need[d] + 1)
         order = order[: base + MOST_MATCHES - 1]
-        m = choose(held[a:b][order], base)
+        m = choose(others[a:b][order], base)
         if m:
             place = np.maximum(1, np.arange(len(order)) - base + 2)
-            some = held[a:b][order] > 1
+            some = others[a:b][order] > 0
             asks[d], prefix[d], level[d] = m, s.name[a:b][order][some].view(np.int64), place[some]
             blob[d] = s.name[a:b].tobytes()
-    return pa.Table.from_arrays([pa.array(s.ids), pa.array(rep), pa.array(s.size), pa.array(asks, pa.int32()), pa.array(blob, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.int32()))], schema=_POST)
+    return pa.Table.from_arrays([pa.array(s.ids), pa.array(rep), pa.array(s.size), pa.array(shared), pa.array(asks, pa.int32()), pa.array(blob, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.int32()))], schema=_POST)
 
 
 def _shared_counts(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -242,58 +254,67 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_check, "a long, b long")
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with their documents' components, of shingles that still join several components, and the largest component of each."""
-    rows = postings.withColumn("part", F.col("doc"))
-    if labels is not None:
-        rows = postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("label", "doc")).drop("label")
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of shingles that still join several components, with their documents' components and the largest of each shingle."""
+    rows = postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("label", "doc")).drop("label")
     sizes = rows.groupBy("shingle", "part").agg(F.count("*").alias("m"))
     most = sizes.groupBy("shingle").agg(F.max(F.struct("m", F.col("part"))).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     return rows.join(most.select("shingle", F.col("top.part").alias("main"), (F.col("all") - F.col("top.m")).alias("others"), "all"), "shingle")
 
 
-def _leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """For each document outside its shingles' largest component, one document inside to be held against."""
-    order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-    lead = rows.filter("part = main").groupBy("shingle").agg(F.min_by("doc", order).alias("b"))
-    votes = rows.filter("part <> main").join(lead, "shingle").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("votes"))
+def _voted(met: DataFrame) -> DataFrame:
+    """(a, b) for each document and the leader that it meets most often."""
+    votes = met.groupBy("a", "b").agg(F.count("*").alias("votes"))
     best = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """For each document outside its shingles' largest component, one document inside to be held against."""
+    lead = rows.filter("part = main").groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), F.xxhash64("doc", F.lit(turn)))).alias("b"))
+    return _voted(rows.filter("part <> main").join(lead, "shingle").select(F.col("doc").alias("a"), "b"))
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """All pairs in different components that share enough of their prefixes."""
+    """All pairs in different components that share enough of their prefixes.
+
+    A pair shares at most what either has in common with any other document, so sets with many shingles of their own drop out early.
+    """
     outside = rows.filter("part <> main")
     x, y = outside.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & (F.col("x.n") * DEN >= F.col("y.n") * NUM) & (F.col("y.n") * DEN >= F.col("x.n") * NUM))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & ((F.col("x.n") + F.col("y.n")) * NUM <= F.least("x.shared", "y.shared") * (NUM + DEN)))
     asks = F.greatest("x.asks", "y.asks")
     counted = met.filter(F.greatest("x.level", "y.level") <= asks).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), asks.alias("asks")).agg(F.count("*").alias("m"))
     return counted.filter("m >= asks").select("a", "b")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents (doc, rep, n, ...) and verified links between class representatives, enough to join every component."""
     count = bl.block_count(docs)
     by_block = bl.blocked(docs, count).groupBy("block")
     ddl = lambda s: ", ".join(f"{f.name} { {pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary', pa.bool_(): 'boolean', pa.list_(pa.int64()): 'array<long>', pa.list_(pa.int32()): 'array<int>'}[f.type]}" for f in s)
-    told = by_block.applyInArrow(_ask(count), ddl(_ASK)).groupBy("rng").applyInArrow(_answer, ddl(_TOLD))
-    posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)))
-    sets = posted.filter("shingles is not null").groupBy("doc").agg(F.max_by(F.struct("n", "asks", "shingles", "prefix", "level"), F.struct("n", "shingles")).alias("s")).select("doc", "s.*")
-    postings = sets.select("doc", "n", "asks", F.explode(F.arrays_zip("prefix", "level")).alias("p")).select("doc", "n", "asks", F.col("p.prefix").alias("shingle"), F.col("p.level").alias("level"))
-    found, labels = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        rows = _labelled(postings, labels)
-        size = rows.groupBy("shingle").agg(F.max(F.col("others") * F.col("all")).alias("pairs"), F.count("*").alias("n")).agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+    told = by_block.applyInArrow(_ask(bl.range_count(count)), ddl(_ASK)).groupBy("rng").applyInArrow(_answer, ddl(_TOLD))
+    posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)), free=True)
+    sets = posted.filter("shingles is not null")
+    prefixes = sets.select("doc", "n", "shared", "asks", F.explode(F.arrays_zip("prefix", "level")).alias("p")).select("doc", "n", "shared", "asks", F.col("p.prefix").alias("shingle"), F.col("p.level").alias("level"))
+    # only shingles that stand in two prefixes lead to candidates
+    # the leader of a shingle is the document with the fewest shingles of its own, which most copies of a family are close to
+    met = prefixes.groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), -F.col("doc"))).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    postings = written(prefixes.join(met, "shingle"), free=True)
+    found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))), sets), free=True)
+    postings = postings.drop("lead")
+    for turn in range(1, LEADER_ROUNDS + 1):
+        postings = written(_labelled(postings, components(found)), free=True)
+        size = postings.groupBy("shingle").agg(F.max(F.col("others") * F.col("all")).alias("pairs"), F.count("*").alias("n")).agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
-            return posted, found
-        last = turn == LEADER_ROUNDS or turn > 0 and size["pairs"] <= PAIRS_PER_POSTING * size["n"]
-        pairs = _across(rows) if last else _leaders(rows, turn)
-        new = verified(pairs, sets)
-        found = written(new if found is None else found.unionByName(new))
+            break
+        last = turn == LEADER_ROUNDS or size["pairs"] <= PAIRS_PER_POSTING * size["n"]
+        pairs = _across(postings) if last else _leaders(postings, turn)
+        found = written(found.unionByName(verified(pairs, sets)), free=True)
         if last:
-            return posted, found
-        labels = None if found.isEmpty() else components(found)
-    raise AssertionError
+            break
+        postings = postings.select("doc", "n", "shared", "asks", "shingle", "level")
+    return posted, found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -303,12 +324,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows that repeat a doc_id are one document
     twice = posted.groupBy("doc").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("rows")).filter("least <> most")
     own = twice.select(F.col("least").alias("a"), F.col("doc").alias("b")).unionByName(twice.select(F.col("doc").alias("a"), F.col("most").alias("b")))
-    edges = own if found is None else found.unionByName(own)
-    labels = None if edges.isEmpty() else components(edges)
-    part = F.col("rep")
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-        part = F.coalesce("label", "rep")
+    labels = components(found.unionByName(own))
+    out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    part = F.coalesce("label", "rep")
     back = lambda c: F.when(c != int(bl.NULL_ID), c)
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(part).alias("component_id"))
 
@@ -319,5 +337,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat that identifier stay too.
     """
     part = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    gone = part.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(gone.select("doc_id"), docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = written(part.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")), free=True)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
