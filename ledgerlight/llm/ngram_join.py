@@ -39,11 +39,13 @@ SHINGLE, NUM, DEN = 5, 80, 100
 #: Largest number of shared prefix shingles that may be asked for, and what checking a candidate costs against meeting a posting.
 MOST_MATCHES, CHECK_COST = 4, 20
 #: Rounds of leaders, and candidate pairs for each posting up to which pairs are listed without another.
-LEADER_ROUNDS, PAIRS_PER_POSTING = 2, 4
+LEADER_ROUNDS, PAIRS_PER_POSTING = 4, 2
+#: Leaders that a document is held against in a round.
+LEADERS = 4
 _U = np.uint64
 _ASK = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("value", pa.binary()), ("rows", pa.binary())])
 _TOLD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("bits", pa.binary()), ("value", pa.binary())])
-_POST = pa.schema([("doc", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("asks", pa.int32()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("level", pa.list_(pa.int32()))])
+_POST = pa.schema([("doc", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("asks", pa.int32()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("place", pa.list_(pa.int32()))])
 
 
 class Sets:
@@ -210,7 +212,7 @@ def _post(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
     again = np.zeros(len(s.ids), bool)
     again[by_id[1:]] = s.ids[by_id[1:]] == s.ids[by_id[:-1]]
     leads &= ~again
-    asks, prefix, level, blob = [0] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids)
+    asks, prefix, place, blob = [0] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids), [None] * len(s.ids)
     for d in np.flatnonzero(leads).tolist():
         a, b = s.first[d], s.first[d + 1]
         order = np.lexsort((s.name[a:b], held[a:b]))
@@ -218,11 +220,10 @@ def _post(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         order = order[: base + MOST_MATCHES - 1]
         m = choose(others[a:b][order], base)
         if m:
-            place = np.maximum(1, np.arange(len(order)) - base + 2)
-            some = others[a:b][order] > 0
-            asks[d], prefix[d], level[d] = m, s.name[a:b][order][some].view(np.int64), place[some]
+            some = np.flatnonzero(others[a:b][order] > 0)
+            asks[d], prefix[d], place[d] = m, s.name[a:b][order][some].view(np.int64), some
             blob[d] = s.name[a:b].tobytes()
-    return pa.Table.from_arrays([pa.array(s.ids), pa.array(rep), pa.array(s.size), pa.array(shared), pa.array(asks, pa.int32()), pa.array(blob, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.int32()))], schema=_POST)
+    return pa.Table.from_arrays([pa.array(s.ids), pa.array(rep), pa.array(s.size), pa.array(shared), pa.array(asks, pa.int32()), pa.array(blob, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(place, pa.list_(pa.int32()))], schema=_POST)
 
 
 def _shared_counts(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -262,29 +263,38 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(most.select("shingle", F.col("top.part").alias("main"), (F.col("all") - F.col("top.m")).alias("others"), "all"), "shingle")
 
 
-def _voted(met: DataFrame) -> DataFrame:
-    """(a, b) for each document and the leader that it meets most often."""
+def _voted(met: DataFrame, most: int) -> DataFrame:
+    """(a, b) for each document and the leaders that it meets most often."""
     votes = met.groupBy("a", "b").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    some = votes.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most)
+    return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """For each document outside its shingles' largest component, one document inside to be held against."""
-    lead = rows.filter("part = main").groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), F.xxhash64("doc", F.lit(turn)))).alias("b"))
-    return _voted(rows.filter("part <> main").join(lead, "shingle").select(F.col("doc").alias("a"), "b"))
+    """For each document outside its shingles' largest component, some documents inside to be held against.
+
+    Leaders are drawn anew in each turn, shingle by shingle, from the documents with few shingles of their own.
+    """
+    few = F.floor(F.col("shared") * 20 / F.col("n"))
+    lead = rows.filter("part = main").groupBy("shingle").agg(F.max_by("doc", F.struct(few, F.xxhash64("doc", "shingle", F.lit(turn)))).alias("b"))
+    return _voted(rows.filter("part <> main").join(lead, "shingle").select(F.col("doc").alias("a"), "b"), LEADERS)
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """All pairs in different components that share enough of their prefixes.
 
-    A pair shares at most what either has in common with any other document, so sets with many shingles of their own drop out early.
+    Sizes x and y ask for an intersection of at least least = NUM * (x + y) / (NUM + DEN).  Neither set may have fewer
+    shingles in common with any other document, and `asks` shared shingles stand among the first size - least + asks of both.
     """
     outside = rows.filter("part <> main")
     x, y = outside.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & ((F.col("x.n") + F.col("y.n")) * NUM <= F.least("x.shared", "y.shared") * (NUM + DEN)))
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUM / (NUM + DEN) - 1e-9)
     asks = F.greatest("x.asks", "y.asks")
-    counted = met.filter(F.greatest("x.level", "y.level") <= asks).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), asks.alias("asks")).agg(F.count("*").alias("m"))
+    within = (F.col("x.place") < F.col("x.n") - least + asks) & (F.col("y.place") < F.col("y.n") - least + asks)
+    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & once & (least <= F.least("x.shared", "y.shared")) & within)
+    counted = met.groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), asks.alias("asks")).agg(F.count("*").alias("m"))
     return counted.filter("m >= asks").select("a", "b")
 
 
@@ -296,12 +306,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = by_block.applyInArrow(_ask(bl.range_count(count)), ddl(_ASK)).groupBy("rng").applyInArrow(_answer, ddl(_TOLD))
     posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)), free=True)
     sets = posted.filter("shingles is not null")
-    prefixes = sets.select("doc", "n", "shared", "asks", F.explode(F.arrays_zip("prefix", "level")).alias("p")).select("doc", "n", "shared", "asks", F.col("p.prefix").alias("shingle"), F.col("p.level").alias("level"))
+    prefixes = sets.select("doc", "n", "shared", "asks", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("doc", "n", "shared", "asks", F.col("p.prefix").alias("shingle"), F.col("p.place").alias("place"))
     # only shingles that stand in two prefixes lead to candidates
     # the leader of a shingle is the document with the fewest shingles of its own, which most copies of a family are close to
     met = prefixes.groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), -F.col("doc"))).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
     postings = written(prefixes.join(met, "shingle"), free=True)
-    found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))), sets), free=True)
+    found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")), LEADERS), sets), free=True)
     postings = postings.drop("lead")
     for turn in range(1, LEADER_ROUNDS + 1):
         postings = written(_labelled(postings, components(found)), free=True)
@@ -313,7 +323,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = written(found.unionByName(verified(pairs, sets)), free=True)
         if last:
             break
-        postings = postings.select("doc", "n", "shared", "asks", "shingle", "level")
+        postings = postings.select("doc", "n", "shared", "asks", "shingle", "place")
     return posted, found
 
 
