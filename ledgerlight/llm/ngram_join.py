@@ -39,7 +39,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 #: Largest number of shared prefix shingles that may be asked for, and what checking a candidate costs against meeting a posting.
 MOST_MATCHES, CHECK_COST = 4, 20
 #: Rounds of leaders, and candidate pairs for each posting up to which pairs are listed without another.
-LEADER_ROUNDS, PAIRS_PER_POSTING = 4, 2
+LEADER_ROUNDS, PAIRS_PER_POSTING = 3, 4
 #: Leaders that a document is held against in a round.
 LEADERS = 4
 _U = np.uint64
