@@ -107,8 +107,10 @@ class Items:
         """found: documents that hold each seed."""
         n = np.array([found.get(int(i), 0) for i in range(len(self.unique))], float)
         self.weight = np.log((documents + 1) / (n + 1)) + 0.01
-        each = self.weight[np.searchsorted(self.unique, self.seed)]
-        self.full = np.bincount(self.item, each, len(self.ids))
+        # as in a cluster, a seed counts once in an item
+        number = np.searchsorted(self.unique, self.seed)
+        item, number = np.divmod(np.unique(self.item * len(self.unique) + number), len(self.unique))
+        self.full = np.bincount(item, self.weight[number], len(self.ids))
 
     def hits(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start word and seed number of every seed in the texts."""

@@ -276,6 +276,13 @@ def test_decontamination_brute_force(spark, frame):
     assert decontam.leaks(spark, frame(rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_repetitive_items(spark, frame):
+    items = [(1, " ".join(["one line said thirteen times"] * 13)), (2, " ".join(["0000000012"] * 400)), (3, "plain words of another item altogether")]
+    rows = [(i, f"before {i} {items[i - 1][1]} behind it") for i in (1, 2)] + [(10 + i, f"other document number {i}") for i in range(20)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(spark, frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0}
+
+
 # personal data
 
 
