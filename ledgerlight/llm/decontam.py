@@ -1,17 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare links as seeds, then Smith-Waterman alignment.
 
-Texts are folded to lower-case words of letters and digits.  Seeds are the
-items' n-grams of SEED words.  A first pass over all documents counts in how
-many documents each seed stands (its rarity); a second finds, for each
-document and item, clusters of seeds on nearby diagonals whose summed rarity
-is at least GATE of the item's, and aligns the item with the words around
-each cluster.  The score is the best local alignment as a share of a perfect one.
+Texts are folded to lower-case words of letters and digits.  The score is the
+best local alignment as a share of a perfect one.
 
-Items are taken in blocks of at most ITEM_BLOCK seeds, so what is sent to the
+What may be a leak is found by links: two words of an item that are neighbours
+or have one word between them, which are so in the document too.  Of an
+alignment's matched words, each two that follow one another with e errors
+between them give 2 - e points besides the first word's, so 2 at most if they
+are neighbours on both sides, 1 at most with one word between on either, and
+else none.  A leak of an item of n words therefore has links that give
+2 * leak * n - 2 points (`need`), in a stretch of at most n * (3 - 2 * leak)
+words.  No rarity and no size of the corpus comes into this.
+
+A first pass over all documents counts in how many documents each link stands.
+As long as the most frequent ones give at most half of `need`, they are not
+looked for: the others must give the rest.  The second pass aligns each item
+with every stretch that its links allow.
+
+Items are taken in blocks of about ITEM_BLOCK words, so what is sent to the
 executors has a fixed bound and every item meets every document.
 
 Nulls: a null text matches nothing; a null item_id is kept as such.  An item
-of fewer than SEED words has no seed and matches nothing.  Items with equal
+of fewer than SHORTEST words matches nothing.  With `leak` below 1 / 2, an item
+of at most 1 / leak words needs one link.  Items with equal
 texts all match; repeated items or documents give repeated pairs only if their
 ids differ.  Of equal scores the first place is reported.  Empty tables give an
 empty table.  Other columns are ignored.
@@ -28,10 +39,10 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 
-#: Words in a seed; points of a match, a mismatch and a gap.
-SEED, MATCH, MISMATCH, GAP = 3, 2, -1, -1
-#: Share of an item's rarity that opens an alignment, and share of a perfect score that counts as a leak.
-GATE, LEAK = 0.08, 0.5
+#: Words of the shortest item; points of a match, a mismatch and a gap (the links' bound rests on these).
+SHORTEST, MATCH, MISMATCH, GAP = 3, 2, -1, -1
+#: Share of a perfect score that counts as a leak.
+LEAK = 0.5
 ITEM_BLOCK = 1 << 18
 PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long"
 
@@ -87,109 +98,149 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def pairs(names: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and name of every two words of one text that are `step` places apart."""
+    own = at.owners(first)
+    where = np.flatnonzero(own[:-step] == own[step:]) if len(own) > step else np.zeros(0, np.int64)
+    return where, at.fmix(names[where] * at.U64(0x9E3779B97F4A7C15) + names[where + step])
+
+
 class Items:
-    """A block of items with its seeds, sorted by name."""
+    """A block of items with its links, sorted by name."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], leak: float = LEAK):
         raw, offsets = at.buffers(pa.array(texts, pa.large_string()))
         names, first = fold_words(raw, offsets)
-        self.ids, self.words = ids, [names[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        where, seed = at.windows(names, first, SEED)
-        own = at.owners(first)[where] if len(where) else np.zeros(0, np.int64)
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.place = seed[order], own[order], (where - first[own])[order]
-        self.unique = np.unique(self.seed)
+        self.ids, self.words, self.leak = ids, [names[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], leak
+        self.length = np.diff(first)
+        self.need = np.maximum(1.0, MATCH * leak * self.length - MATCH - 1e-9)
+        own = at.owners(first)
+        (at_1, name_1), (at_2, name_2) = (pairs(names, first, step) for step in (1, 2))
+        name, item = np.append(name_1, name_2), np.append(own[at_1], own[at_2])
+        near = np.arange(len(name)) < len(name_1)
+        some = self.length[item] >= SHORTEST
+        self.unique, number = np.unique(name, return_inverse=True)
+        # numbers of each item's links by place, of neighbours and of those with a word between
+        self.links = [np.split(n, np.cumsum(np.maximum(0, self.length - step))[:-1]) for n, step in ((number[near], 1), (number[~near], 2))]
+        # for each link and item: what it can give at most where a document has neighbours, and otherwise
+        key, entry = np.unique(number[some] * len(ids) + item[some], return_inverse=True)
+        self.number, self.item = np.divmod(key, len(ids))
+        self.most = np.bincount(entry, np.where(near[some], 2, 1), len(key)).astype(np.int64)
+        self.least = np.bincount(entry, minlength=len(key))
         self.marks = np.zeros(1 << 22, bool)
         self.marks[(self.unique >> np.uint64(42)).astype(np.int64)] = True
-        self.weight, self.full = np.ones(len(self.unique)), None
-
-    def weigh(self, documents: int, found: dict[int, int]) -> None:
-        """found: documents that hold each seed."""
-        n = np.array([found.get(int(i), 0) for i in range(len(self.unique))], float)
-        self.weight = np.log((documents + 1) / (n + 1)) + 0.01
-        # as in a cluster, a seed counts once in an item
-        number = np.searchsorted(self.unique, self.seed)
-        item, number = np.divmod(np.unique(self.item * len(self.unique) + number), len(self.unique))
-        self.full = np.bincount(item, self.weight[number], len(self.ids))
-
-    def hits(self, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start word and seed number of every seed in the texts."""
-        where, name = at.windows(names, first, SEED)
+        self.weigh({})
+
+    def weigh(self, found: dict[int, int]) -> None:
+        """found: documents that hold each link.  An item's most frequent links, with up to half of what it needs, need not be looked for."""
+        n = np.zeros(len(self.unique), np.int64)
+        n[list(found.keys())] = list(found.values())
+        order = np.lexsort((self.number, -n[self.number], self.item))
+        item, most = self.item[order], self.most[order]
+        run = np.append(0, np.cumsum(most))
+        before = run[np.searchsorted(item, item)]
+        left_out = run[1:] - before <= self.need[item] / 2
+        spared = np.bincount(item[left_out], most[left_out], len(self.ids))
+        self.open = self.need - spared
+        self.sought = np.sort(order[~left_out])
+        self.low, self.high = (np.searchsorted(self.number[self.sought], np.arange(len(self.unique)), side) for side in ("left", "right"))
+
+    def hits(self, names: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and link number of every pair of the texts that is a link."""
+        where, name = pairs(names, first, step)
         some = np.flatnonzero(self.marks[(name >> np.uint64(42)).astype(np.int64)])
         number = np.minimum(np.searchsorted(self.unique, name[some]), len(self.unique) - 1)
         real = self.unique[number] == name[some]
         return where[some][real], number[real]
 
-    def leaks(self, names: np.ndarray, first: np.ndarray, leak: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def candidates(self, texts: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) whose sought links, each counted once in a text, may be enough."""
+        near = np.unique(texts[0] * len(self.unique) + numbers[0])
+        far = np.setdiff1d(texts[1] * len(self.unique) + numbers[1], near)
+        key = np.append(near, far)
+        text, number = np.divmod(key, len(self.unique))
+        count = (self.high - self.low)[number]
+        entry = self.sought[at.ranges(self.low[number], count)]
+        gives = np.where(np.repeat(np.arange(len(key)) < len(near), count), self.most[entry], self.least[entry])
+        pair, of = np.unique(np.repeat(text, count) * len(self.ids) + self.item[entry], return_inverse=True)
+        text, item = np.divmod(pair, len(self.ids))
+        enough = np.bincount(of, gives, len(pair)) >= self.open[item]
+        return text[enough], item[enough]
+
+    def leaks(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end word) of the best alignment of each pair."""
-        where, number = self.hits(names, first)
-        if not len(where):
-            return
-        low, high = np.searchsorted(self.seed, self.unique[number]), np.searchsorted(self.seed, self.unique[number], "right")
-        count = high - low
-        entry = at.ranges(low, count)
-        word, number = np.repeat(where, count), np.repeat(number, count)
-        text, item = np.searchsorted(first, word, "right") - 1, self.item[entry]
-        diagonal = word - self.place[entry]
-        order = np.lexsort((diagonal, item, text))
-        text, item, diagonal, number = text[order], item[order], diagonal[order], number[order]
-        length = np.array([len(w) for w in self.words])
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[item[1:]])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(text))
-        cluster = np.cumsum(new) - 1
-        # a seed counts once in a cluster
-        _, once = np.unique(cluster * len(self.unique) + number, return_index=True)
-        summed = np.bincount(cluster[once], self.weight[number[once]], len(begin))
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for c in np.flatnonzero(summed >= GATE * self.full[item[begin]]):
-            t, i = int(text[begin[c]]), int(item[begin[c]])
-            n = int(length[i])
-            a = max(int(first[t]), int(diagonal[begin[c]]) - n)
-            b = min(int(first[t + 1]), int(diagonal[end[c] - 1]) + 2 * n)
-            points, x, y = align(self.words[i], names[a:b])
-            score = points / (MATCH * n)
-            if score >= leak and score > best.get((t, i), (0.0,))[0]:
-                best[t, i] = (score, a + x - int(first[t]), a + y - int(first[t]))
-        for (t, i), (score, x, y) in best.items():
-            yield t, i, score, x, y
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """Items in order of id, at most ITEM_BLOCK seeds at once; they reach the driver row by row."""
+        (where_1, number_1), (where_2, number_2) = hits = [self.hits(names, first, step) for step in (1, 2)]
+        owners = [np.searchsorted(first, where, "right") - 1 for where, _ in hits]
+        near, far = np.zeros((2, len(self.unique)), np.int64)
+        for t, i in zip(*self.candidates(owners, [number_1, number_2]), strict=True):
+            n, begin, size = int(self.length[i]), int(first[t]), int(first[t + 1] - first[t])
+            link_1, link_2 = self.links[0][i], self.links[1][i]
+            (a_1, b_1), (a_2, b_2) = (np.searchsorted(where, [first[t], first[t + 1]]) for where, _ in hits)
+            place_1, link_at_1 = where_1[a_1:b_1] - begin, number_1[a_1:b_1]
+            place_2, link_at_2 = where_2[a_2:b_2] - begin, number_2[a_2:b_2]
+            near[link_2] = far[link_2] = far[link_1] = 1
+            near[link_1] = 2
+            gives = np.zeros(size, np.int64)
+            gives[place_1] = near[link_at_1]
+            gives[place_2] = np.maximum(gives[place_2], far[link_at_2])
+            near[link_1] = near[link_2] = far[link_1] = far[link_2] = 0
+            # a leak stands in `span` words
+            span = int(n + MATCH * n * (1 - self.leak)) + 1
+            run = np.append(0, np.cumsum(gives))
+            place = np.flatnonzero(gives)
+            place = place[run[np.minimum(place + span, size)] - run[place] >= self.need[i]]
+            best = (0.0, 0, 0)
+            for part in np.split(place, np.flatnonzero(np.diff(place) > 2 * span) + 1) if len(place) else ():
+                a, b = max(0, int(part[0]) - span), min(size, int(part[-1]) + span)
+                # and each place of the item gives once
+                near[link_at_2[(place_2 >= a) & (place_2 < b)]] = far[link_at_2[(place_2 >= a) & (place_2 < b)]] = 1
+                near[link_at_1[(place_1 >= a) & (place_1 < b)]] = 2
+                far[link_at_1[(place_1 >= a) & (place_1 < b)]] = 1
+                total = near[link_1]
+                total[: len(link_2)] = np.maximum(total[: len(link_2)], far[link_2])
+                near[link_at_1] = near[link_at_2] = far[link_at_1] = far[link_at_2] = 0
+                if total.sum() < self.need[i]:
+                    continue
+                points, x, y = align(self.words[i], names[begin + a : begin + b])
+                if points / (MATCH * n) > best[0]:
+                    best = (points / (MATCH * n), a + x, a + y)
+            if best[0] >= self.leak:
+                yield int(t), int(i), *best
+
+
+def blocks(benchmark: DataFrame, leak: float = LEAK) -> Iterator[Items]:
+    """Items in order of id, at most about ITEM_BLOCK words at once; they reach the driver row by row."""
     ids, texts, size = [], [], 0
     rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         n = len(row["text"].split())
         if ids and size + n > ITEM_BLOCK:
-            yield Items(ids, texts)
+            yield Items(ids, texts, leak)
             ids, texts, size = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += n
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, texts, leak)
 
 
-def _block_pairs(spark: SparkSession, docs: DataFrame, items: Items, leak: float) -> DataFrame:
+def _block_pairs(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
     counting = spark.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = counting.value
-        total, texts = np.zeros(len(held.unique), np.int64), 0
+        total = np.zeros(len(held.unique), np.int64)
         for batch in batches:
             for row, end, raw, offsets in at.pieces(batch.column("text")):
                 names, first = fold_words(raw, offsets)
-                texts += end - row
-                where, number = held.hits(names, first)
+                where, number = (np.concatenate(x) for x in zip(*(held.hits(names, first, step) for step in (1, 2)), strict=True))
                 text = np.searchsorted(first, where, "right") - 1
                 total += np.bincount(np.unique(text * len(total) + number) % max(1, len(total)), minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["link", "n"])
 
-    found = dict(docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
-    items.weigh(found.pop(-1, 0), found)
+    found = dict(docs.select("text").mapInArrow(count, "link long, n long").groupBy("link").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
+    items.weigh(found)
     aligned = spark.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +248,7 @@ def _block_pairs(spark: SparkSession, docs: DataFrame, items: Items, leak: float
         for batch in batches:
             for row, end, raw, offsets in at.pieces(batch.column("text")):
                 names, first = fold_words(raw, offsets)
-                found = list(held.leaks(names, first, leak))
+                found = list(held.leaks(names, first))
                 if found:
                     text, item, score, x, y = zip(*found, strict=True)
                     doc = batch.column("doc_id").slice(row, end - row).take(pa.array(text))
@@ -210,9 +261,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, leak: floa
     """Every (doc_id, item_id) whose alignment scores at least `leak`."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     out = None
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, leak):
         if len(items.unique):
-            pairs = _block_pairs(spark, texts, items, leak)
+            pairs = _block_pairs(spark, texts, items)
             out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         return spark.createDataFrame([], PAIRS)

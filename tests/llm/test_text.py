@@ -283,6 +283,16 @@ def test_decontamination_finds_repetitive_items(spark, frame):
     assert got == {(1, 1): 1.0, (2, 2): 1.0}
 
 
+def test_decontamination_does_not_depend_on_counts(spark, frame):
+    """A passage that half of all documents hold is 21 of an item's 40 words."""
+    passage = [f"hot{i}" for i in range(21)]
+    item = " ".join(passage + [f"own{i}" for i in range(19)])
+    for n in (6, 6000):
+        rows = [(i, f"number {i} of {n} " + (" ".join(passage) if i % 2 else "has none of it") + f" ends {i}") for i in range(n)]
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(spark, frame(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+        assert got == pytest.approx({(i, 1): 0.525 for i in range(1, n, 2)})
+
+
 # personal data
 
 
