@@ -293,6 +293,22 @@ def test_decontamination_does_not_depend_on_counts(spark, frame):
         assert got == pytest.approx({(i, 1): 0.525 for i in range(1, n, 2)})
 
 
+def test_decontamination_finds_dense_edits(spark, frame):
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(40)]
+    items = [(i, [str(w) for w in rng.choice(words, 24)]) for i in range(4)]
+    put = lambda w, step: [x for k, v in enumerate(w) for x in ([v, f"put{k}"] if k % step == step - 1 else [v])]
+    rows = []
+    for i, w in items:
+        edited = [put(w, 1), put(w, 2), [f"new{k}" if k % 3 == 2 else v for k, v in enumerate(w)], [v for k, v in enumerate(w) if k % 3], [v for k, v in enumerate(w) if k % 2], put(w[:12], 1)]
+        rows += [(10 * i + k, "before it " + " ".join(e) + " behind it") for k, e in enumerate(edited)]
+    rows += [(100 + i, " ".join(rng.choice(words, 120))) for i in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(spark, frame(rows), bench).collect()}
+    want = {(d, i): score for d, t in rows for i, w in items if (score := plain_alignment(w, t.split()) / (2 * len(w))) >= 0.5}
+    assert {want[10 * i + 1, i] for i in range(4)} == {0.75 + 1 / 48} and want[2, 0] >= 0.5 and got == pytest.approx(want)
+
+
 # personal data
 
 
