@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare links as seeds, then Smith-Waterman alignment.
 
-Texts are folded to lower-case words of letters and digits.  The score is the
+Texts are folded to lower-case words of letters, marks and digits of all
+scripts; in scripts without blanks each letter is a word.  The score is the
 best local alignment as a share of a perfect one.
 
 What may be a leak is found by links: two words of an item that are neighbours
@@ -21,7 +22,8 @@ Items are taken in blocks of about ITEM_BLOCK words, so what is sent to the
 executors has a fixed bound and every item meets every document.
 
 Nulls: a null text matches nothing; a null item_id is kept as such.  An item
-of fewer than SHORTEST words matches nothing.  With `leak` below 1 / 2, an item
+of fewer than SHORTEST words matches where all of them stand in sequence, and
+one without words matches nothing.  With `leak` below 1 / 2, an item
 of at most 1 / leak words needs one link.  Items with equal
 texts all match; repeated items or documents give repeated pairs only if their
 ids differ.  Of equal scores the first place is reported.  Empty tables give an
@@ -30,6 +32,8 @@ empty table.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,33 +43,58 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 
-#: Words of the shortest item; points of a match, a mismatch and a gap (the links' bound rests on these).
+#: Words of the shortest item that is aligned; points of a match, a mismatch and a gap (the links' bound rests on these).
 SHORTEST, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 #: Share of a perfect score that counts as a leak.
 LEAK = 0.5
 ITEM_BLOCK = 1 << 18
 PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long"
 
-_SIGN = np.zeros(256, bool)
-_SIGN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_SIGN[0x80:] = True
-
-
-def folded(raw: np.ndarray) -> np.ndarray:
-    """ASCII and Latin-1 capitals in lower case."""
-    out = at.LOWER[raw]
-    if len(raw) > 1:
-        capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[1:][capital] += 0x20
-    return out
+#: Kinds of characters: between words, part of a word, a word by itself.
+BETWEEN, PART, ALONE = 0, 1, 2
+#: Scripts written without blanks: from, to (Thai to Myanmar, Khmer, Tai, kana, ideographs).
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each code point, and a 64-bit name that capitals share with their small letters."""
+    kind, small = np.zeros(0x110000, np.uint8), np.arange(0x110000)
+    for c in range(0x20000):  # letters, marks and digits; no script with capitals lies above
+        sign = chr(c)
+        if unicodedata.category(sign)[0] in "LMN":
+            kind[c] = PART
+            small[c] = next((ord(low) for low in (sign.casefold(), sign.lower()) if len(low) == 1), c)
+    for a, b in UNSPACED:
+        kind[a : b + 1][kind[a : b + 1] == PART] = ALONE
+    kind[0x20000:0x40000] = ALONE
+    return kind, at.fmix(small.astype(np.uint64) + at.U64(1))
+
+
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts and where each begins; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        text = raw.tobytes().decode()
+        offsets = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
+    except UnicodeDecodeError:
+        each = [raw[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        text, offsets = "".join(each), np.append(0, np.cumsum([len(t) for t in each]))
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), offsets
 
 
 def fold_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the folded words and the first word of each text."""
-    low = folded(raw)
-    masked = np.where(_SIGN[low], low, np.uint8(32))
-    start, end, first = at.words(masked, offsets)
-    return at.word_names(masked, start, end), first
+    kinds, folded = characters()
+    points, offsets = code_points(raw, offsets)
+    kind = kinds[points]
+    head, tail = kind > BETWEEN, kind > BETWEEN
+    head[1:] &= (kind[:-1] != PART) | (kind[1:] == ALONE)
+    cut = offsets[(offsets > 0) & (offsets < len(points))]
+    head[cut] = kind[cut] > BETWEEN
+    tail[:-1] &= (kind[1:] == BETWEEN) | head[1:]
+    tail[cut - 1] = kind[cut - 1] > BETWEEN
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return at.word_names(folded[points], start, end), np.searchsorted(start, offsets)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -127,6 +156,12 @@ class Items:
         self.number, self.item = np.divmod(key, len(ids))
         self.most = np.bincount(entry, np.where(near[some], 2, 1), len(key)).astype(np.int64)
         self.least = np.bincount(entry, minlength=len(key))
+        # items of one word and of two, matched whole: sorted names and their items
+        self.whole = []
+        for size, (place, name) in ((1, (np.arange(len(names)), names)), (2, (at_1, name_1))):
+            mine = np.flatnonzero(self.length[own[place]] == size) if size < SHORTEST else np.zeros(0, np.int64)
+            mine = mine[np.argsort(name[mine], kind="stable")]
+            self.whole.append((name[mine], own[place[mine]]))
         self.marks = np.zeros(1 << 22, bool)
         self.marks[(self.unique >> np.uint64(42)).astype(np.int64)] = True
         self.weigh({})
@@ -167,8 +202,28 @@ class Items:
         enough = np.bincount(of, gives, len(pair)) >= self.open[item]
         return text[enough], item[enough]
 
+    def copies(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """As leaks(), of the items of fewer than SHORTEST words."""
+        for size, (known, item) in enumerate(self.whole, 1):
+            if not len(known):
+                continue
+            where, name = (np.arange(len(names)), names) if size == 1 else pairs(names, first, 1)
+            low = np.searchsorted(known, name)
+            count = np.searchsorted(known, name, "right") - low
+            where, entry = np.repeat(where, count), at.ranges(low, count)
+            text = np.searchsorted(first, where, "right") - 1
+            _, once = np.unique(text * len(self.ids) + item[entry], return_index=True)
+            for k in once:
+                t, x = int(text[k]), int(where[k] - first[text[k]])
+                yield t, int(item[entry[k]]), 1.0, x, x + size
+
     def leaks(self, names: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end word) of the best alignment of each pair."""
+        if not len(names):
+            return
+        yield from self.copies(names, first)
+        if not len(self.unique):
+            return
         (where_1, number_1), (where_2, number_2) = hits = [self.hits(names, first, step) for step in (1, 2)]
         owners = [np.searchsorted(first, where, "right") - 1 for where, _ in hits]
         near, far = np.zeros((2, len(self.unique)), np.int64)
@@ -213,7 +268,7 @@ def blocks(benchmark: DataFrame, leak: float = LEAK) -> Iterator[Items]:
     ids, texts, size = [], [], 0
     rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
-        n = len(row["text"].split())
+        n = int(fold_words(*at.buffers(pa.array([row["text"]], pa.large_string())))[1][-1])
         if ids and size + n > ITEM_BLOCK:
             yield Items(ids, texts, leak)
             ids, texts, size = [], [], 0
@@ -262,9 +317,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, leak: floa
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     out = None
     for items in blocks(benchmark, leak):
-        if len(items.unique):
-            pairs = _block_pairs(spark, texts, items)
-            out = pairs if out is None else out.unionByName(pairs)
+        if items.length.any():
+            found = _block_pairs(spark, texts, items)
+            out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], PAIRS)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word"))

@@ -309,6 +309,16 @@ def test_decontamination_finds_dense_edits(spark, frame):
     assert {want[10 * i + 1, i] for i in range(4)} == {0.75 + 1 / 48} and want[2, 0] >= 0.5 and got == pytest.approx(want)
 
 
+def test_decontamination_folds_all_scripts(spark, frame):
+    items = [(1, "東京の人口は何人ですか"), (2, "ประเทศไทย"), (3, "КАКАЯ СТОЛИЦА У ΕΛΛΆΣ"), (4, "what\u2014is \u201cthe capital\u201d of\u00a0France"), (5, "42"), (6, "New York"), (7, "\u2026!"), (8, None)]
+    rows = [
+        (1, "問題:東京の人口は何人ですか。答えてください"), (2, "ใน" + items[1][1] + "มี"), (3, "так какая столица у ελλάς теперь"), (4, "so: What is the CAPITAL of france?"),
+        (5, "it is 42\u2019"), (6, "in new\u2013york, new york"), (7, "new 421 york"), (8, "東京に行きました"), (9, "\u2026!"), (10, None),
+    ]
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontam.leaks(spark, frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (1.0, 2, 13), (2, 2): (1.0, 2, 11), (3, 3): (1.0, 1, 5), (4, 4): (1.0, 1, 7), (5, 5): (1.0, 2, 3), (6, 6): (1.0, 1, 3)}
+
+
 # personal data
 
 
