@@ -1,7 +1,9 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-One slot array serves all languages: bit l of a slot belongs to the filter of
-language l, so k lookups and an AND give every language that holds an n-gram.
+One slot array serves each WORD languages: bit l of a slot belongs to the filter
+of the array's language l, so k lookups and an AND give every language of the
+array that holds an n-gram.  Any number of languages may be taught; each WORD of
+them take SLOTS * 8 bytes more.
 A text's n-grams are counted for each language, the expected number of false
 positives, known from how full each filter is, is taken out, and the largest
 remainder decides.
@@ -32,7 +34,8 @@ GRAM, SLOTS, LOOKUPS = 4, 1 << 20, 3
 PER_LANGUAGE = 4000
 #: An n-gram belongs to a language where it is at least this share of its highest rate in any language.
 RATE_SHARE = 0.3
-MOST_LANGUAGES = 63
+#: Languages of one slot array: the bits of a non-negative long.
+WORD = 63
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -71,25 +74,20 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, slot array and false positive rate of each language's filter.
+    """Languages, slot arrays and false positive rate of each language's filter.
 
-    Comes to the driver: a row for each language and at most SLOTS slots.
+    Comes to the driver: a row for each language and at most SLOTS slots for each WORD languages.
     """
+    spark = docs.sparkSession
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    filters = np.zeros(SLOTS, np.uint64)
+    arrays = max(1, -(-len(languages) // WORD))
+    filters = np.zeros((arrays, SLOTS), np.uint64)
     if not languages:
         return languages, filters, np.zeros(0)
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, min(1.0, per_language / n)).otherwise(share)
-    number = F.lit(-1)
-    for i, name in enumerate(languages):
-        number = F.when(F.col("lang") == name, i).otherwise(number)
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(number.alias("l"), "text")
+    taught = spark.createDataFrame([(name, i, min(1.0, per_language / sizes[name])) for i, name in enumerate(languages)], "lang string, l int, share double")
+    chosen = labelled.join(F.broadcast(taught), "lang").filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("l", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,26 +99,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
 
     counted = chosen.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     by_language = counted.select(F.shiftright("key", 32).cast("int").alias("l"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("code"), "n")
-    totals = {r["l"]: r["n"] for r in by_language.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    total = F.lit(1.0)
-    for i, n in totals.items():
-        total = F.when(F.col("l") == i, float(n)).otherwise(total)
-    rated = by_language.filter("n > 1").withColumn("rate", F.col("n") / total)
+    totals = [(r["l"], float(r["n"])) for r in by_language.groupBy("l").agg(F.sum("n").alias("n")).collect()]
+    total = spark.createDataFrame(totals, "l int, total double")
+    rated = by_language.filter("n > 1").join(F.broadcast(total), "l").withColumn("rate", F.col("n") / F.col("total"))
     masks = (
         rated.groupBy("code")
         .agg(F.max("rate").alias("top"), F.collect_list(F.struct("l", "rate")).alias("of"))
-        .select("code", F.expr(f"aggregate(of, 0L, (m, x) -> if(x.rate >= {RATE_SHARE} * top, m | shiftleft(1L, x.l), m))").alias("mask"))
+        .select("code", F.expr(f"filter(of, x -> x.rate >= {RATE_SHARE} * top)").alias("of"))
+        .select("code", "of", F.explode(F.expr(f"array_distinct(transform(of, x -> x.l div {WORD}))")).alias("array"))
+        .select("code", "array", F.expr(f"aggregate(of, 0L, (m, x) -> if(x.l div {WORD} = array, m | shiftleft(1L, cast(x.l % {WORD} as int)), m))").alias("mask"))
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = batch.column("mask").to_numpy()
             at_slots = slots(batch.column("code").to_numpy().astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at_slots)), pa.array(np.tile(mask, LOOKUPS))], ["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at_slots)), pa.array(np.tile(batch.column("array").to_numpy(), LOOKUPS)), pa.array(np.tile(mask, LOOKUPS))], ["slot", "array", "mask"])
 
-    placed = masks.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filters[placed.column("slot").to_numpy()] = placed.column("mask").to_numpy().astype(np.uint64)
-    full = np.array([np.mean(filters >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))])
+    placed = masks.mapInArrow(place, "slot long, array long, mask long").groupBy("slot", "array").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filters[placed.column("array").to_numpy(), placed.column("slot").to_numpy()] = placed.column("mask").to_numpy().astype(np.uint64)
+    full = np.array([np.mean(filters[i // WORD] >> np.uint64(i % WORD) & np.uint64(1)) for i in range(len(languages))])
     return languages, filters, full**LOOKUPS
 
 
@@ -129,12 +127,12 @@ def decide(raw: np.ndarray, offsets: np.ndarray, filters: np.ndarray, wrong: np.
     n, languages = len(offsets) - 1, len(wrong)
     code, own = grams(raw, offsets)
     first, second, third = slots(code)
-    mask = filters[first] & filters[second] & filters[third]
+    masks = [f[first] & f[second] & f[third] for f in filters]
     bounds = np.searchsorted(own, np.arange(n + 1))
     total = np.diff(bounds)
     hits = np.empty((languages, n))
     for i in range(languages):
-        run = np.append(0, np.cumsum(mask >> np.uint64(i) & np.uint64(1), dtype=np.int64))
+        run = np.append(0, np.cumsum(masks[i // WORD] >> np.uint64(i % WORD) & np.uint64(1), dtype=np.int64))
         hits[i] = run[bounds[1:]] - run[bounds[:-1]]
     right = np.maximum(0, (hits - total * wrong[:, None]) / (1 - np.minimum(wrong, 0.999))[:, None])
     best = right.argmax(0)
@@ -145,7 +143,7 @@ def decide(raw: np.ndarray, offsets: np.ndarray, filters: np.ndarray, wrong: np.
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
     languages, filters, wrong = model
-    shared = spark.sparkContext.broadcast((filters, wrong))  # SLOTS * 8 bytes
+    shared = spark.sparkContext.broadcast((filters, wrong))  # SLOTS * 8 bytes for each WORD languages
     names = np.array([*languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

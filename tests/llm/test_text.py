@@ -189,6 +189,16 @@ def test_langid(spark, frame):
     assert [r.lang_pred for r in langid.identify(spark, frame([(1, "abc", None)])).collect()] == ["und"]
 
 
+def test_langid_many_languages(spark, frame):
+    rng = np.random.default_rng(6)
+    letters = [chr(0x4E00 + 8 * i + j) for i in range(130) for j in range(6)]
+    rows = [(4 * i + j, " ".join("".join(rng.choice(letters[6 * i : 6 * i + 6], 4)) for _ in range(30)), f"l{i:03}") for i in range(130) for j in range(4)]
+    rows = [(8 * d + k, text, lang) for d, text, lang in rows for k in range(2)]
+    by = {r.doc_id: r.lang_pred for r in langid.identify(spark, frame(rows)).collect()}
+    assert by == {d: lang for d, _, lang in rows}
+    assert langid.accepted(frame(rows)).count() == len(rows)
+
+
 def test_langid_filters_hold_every_ngram():
     text = "Ab cd é12 f"
     raw, offsets = at_buffers([text, "", "x"])
