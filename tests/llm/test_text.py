@@ -385,12 +385,75 @@ def test_pii_model_adds_what_looks_right(frame):
                 return d
 
     rows = [(i, f"word card {card()} word {other()} end") for i in range(400)]
+    rows += [(400 + i, f"word tel {'+49 30 ' if i % 2 else '030 '}{5550000 + i} and order {80000000 + i} end, 10.0.{i}.7 of 1.2.{i}.4.5") for i in range(200)]
+    rows += [(800 + i, f"ask name{i} [at] host{i} [dot] org or other{i}@host.org") for i in range(50)]
     hidden = card()
     rows.append((1000, f"word card {hidden}/77 end {other()}"))
     rows.append((1001, f"word card 12 {hidden} end"))
+    rows.append((1002, f"word card {hidden}\n{other()}/8.8.8.8 end"))
     got = {r.doc_id: r for r in pii.find(frame(rows)).collect()}
     assert all(got[i].n_card == 1 and got[i].n_added == 0 for i in range(400))
-    assert got[1001].n_card == 0
+    assert got[1001].n_card == 0 and got[1001].spans == "card:13:29" and got[1001].n_added == 1
+    for i in range(200):
+        t = rows[400 + i][1]
+        phone = t.index("+49") if i % 2 else t.index("030")
+        spans = set(got[400 + i].spans.split(","))
+        assert f"phone:{phone}:{t.index(' and order')}" in spans, t
+        assert not any(s.startswith(("phone", "card")) and int(s.split(":")[1]) >= t.index("order") for s in spans)
+    assert all(got[800 + i].n_email == 1 and got[800 + i].spans.count("email") == 2 for i in range(50))
+
+
+def test_pii_calibration_against_brute_force():
+    """Pooled by margin, the isotonic fit is the least-squares one: its value is the min-max of averages."""
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        rows = [((int(k), int(r.integers(3))) + (0,) * (len(pii.FEATURES) - 2), int(a), int(b)) for k in range(2) for a, b in r.integers(0, 6, (7, 2))]
+        tree = pii.Tree(0.0, 1, 0, pii.Tree(-1.0), pii.Tree(0.0, 1, 1, pii.Tree(0.5), pii.Tree(2.0)))
+        model = pii.calibrate(pii.Model(0.0, (tree,), ()), rows)
+        for kind in range(2):
+            by = defaultdict(lambda: [0, 0])
+            for x, a, b in rows:
+                if x[0] == kind:
+                    by[tree.of(x)][0] += a
+                    by[tree.of(x)][1] += a + b
+            steps = [(m, a, n) for m, (a, n) in sorted(by.items()) if n]
+            share = lambda lo, hi: sum(s[1] for s in steps[lo : hi + 1]) / sum(s[2] for s in steps[lo : hi + 1])
+            fitted = [max(min(share(lo, hi) for hi in range(i, len(steps))) for lo in range(i + 1)) for i in range(len(steps))]
+            good = [m for (m, _, _), f in zip(steps, fitted, strict=True) if f >= pii.TARGET - 1e-12]
+            assert {m for m, _, _ in steps if m >= model.thresholds[kind]} == set(good)
+
+
+def test_pii_new_spans_against_brute_force(frame):
+    """Every proposal scored in Python, then chosen greedily, gives the operator's added spans."""
+    import random
+
+    r = random.Random(6)
+    bits = ["4785380592391139", "+49 30 1234567", "tel ", "1.2.3.4", ".", "-", "/", " 12 ", "030 5551234", ", ", "x", "a@b.org ", "a [at] b [dot] org ", "99"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(9)))) for i in range(300)]
+    marked = pii.written(pii.marked(frame(rows)))
+    proposed = pii.written(pii.proposals(marked))
+    model = pii.fit(proposed)
+    texts, every = dict(rows), defaultdict(list)
+    known = {m.row: m.doc_id for m in marked.collect()}
+    for p in proposed.collect():
+        x = tuple(p[f] for f in pii.FEATURES)
+        if p.free and (m := model.margin(x)) >= model.thresholds[p.kind]:
+            every[known[p.row]].append((-round(m, 9), p["at"] - p["to"], p["at"], p["to"], p.kind))
+    added = 0
+    for x in pii.find(frame(rows)).collect():
+        base = [(k.split(":")[0], *map(int, k.split(":")[1:])) for k in base_spans(texts[x.doc_id])]
+        new = []
+        for _, _, a, b, k in sorted(every[x.doc_id]):
+            if all(b <= c or d <= a for c, d, _ in new):
+                new.append((a, b, k))
+        emails = [(c, d) for k, c, d in base if k == "email"]
+        new = [(a, b, k) for a, b, k in new if all(b <= c or d <= a for c, d in ([(c, d) for _, c, d in base] if k == 0 else emails))]
+        mails = [(a, b) for a, b, k in new if k == 0]
+        new = [(a, b, k) for a, b, k in new if k == 0 or all(b <= c or d <= a for c, d in mails)]
+        want = Counter(f"{k}:{a}:{b}" for k, a, b in base) + Counter(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in new)
+        added += len(new)
+        assert Counter(filter(None, x.spans.split(","))) == want and x.n_added == len(new), texts[x.doc_id]
+    assert added > 50
 
 
 def test_pii_trees_say_the_same_in_sql(spark):
