@@ -1,11 +1,14 @@
 """Exact deduplication by content sort, with DataFrame functions alone.
 
 Texts are normalised (white space `[\\x20\\x09-\\x0D]` deleted), range-partitioned
-by content at splitters that the engine samples, and sorted externally inside
+at splitters that the engine samples, and sorted externally by content inside
 each range, so equal texts stand side by side; neighbours are compared in full.
-The range key carries a salt behind the content: a group of copies, however
-large, is cut into SALTS runs in different ranges, each run is summed up first,
-and the few sums of a group meet by digest.
+The range key is the content's beginning and two hashes of bounded size, so the
+samples that reach the driver don't grow with the texts: equal texts have equal
+beginnings and first hashes, and different texts with one beginning, such as a
+license, spread by them.  The last hash is a salt: a group of copies, however
+large, is cut into as many runs as the engine has shuffle partitions, each run
+is summed up first, and the sums of a group meet by digest.
 
 Null text is the empty text.  Of equal texts the row with the most code points
 in the original text stays, then the smallest doc_id; of rows that repeat both,
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Runs into which a group of copies is cut.
-SALTS = 32
+#: Code points of a text's beginning by which texts are dealt into ranges.
+HEAD = 32
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -34,28 +37,32 @@ def normalised(text: Column) -> Column:
 
 def sorted_runs(docs: DataFrame) -> DataFrame:
     """One row for each document: its digest, and the head and size of its run of equal neighbours."""
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         normalised(F.col("text")).alias("content"),
         F.length(F.coalesce("text", F.lit(""))).alias("points"),
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    ranged = rows.repartitionByRange("content", "salt")
-    beside = Window.partitionBy("content", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
+    )
+    head, mixed, salt = F.left("content", F.lit(HEAD)).alias("head"), F.xxhash64("content").alias("mixed"), F.pmod(F.xxhash64("doc_id", "points"), F.lit(salts)).cast("int").alias("salt")
+    ranged = rows.select("*", head, mixed, salt).repartitionByRange("head", "mixed", "salt")
+    # in the order of the contents; the hashes behind them only tell the engine that the ranges hold whole runs
+    run = ["head", "content", "mixed", "salt"]
+    beside = Window.partitionBy(*run).orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
     return ranged.select(
         "doc_id",
         "points",
         "salt",
         F.sha2(F.col("content"), 256).alias("text_sha256"),
         F.row_number().over(beside).alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy("content", "salt")).alias("run"),
+        F.count(F.lit(1)).over(Window.partitionBy(*run)).alias("run"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
-    runs = written(sorted_runs(docs), free=True)  # small columns; the texts are sorted once
+    runs = written(sorted_runs(docs))  # small columns; the texts are sorted once
     heads = runs.filter("place = 1").select("text_sha256", "salt", "run", F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id")).alias("best"))
-    # a group has at most SALTS heads; each run meets its own head, so a large group's rows meet in as many places
+    # a group has one head for each salt at most; each run meets its own head, so a large group's rows meet in as many places
     whole = Window.partitionBy("text_sha256")
     groups = heads.select("text_sha256", "salt", F.min("best").over(whole).alias("best"), F.sum("run").over(whole).cast("long").alias("group_size"))
     keep = F.col("best.doc_id")
@@ -71,7 +78,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, unchanged, that deduplicate() keeps."""
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_id")
-    kept = written(deduplicate(docs).filter("kept").select(known, F.col("text_sha256").alias("_sha")), free=True)
+    kept = written(deduplicate(docs).filter("kept").select(known, F.col("text_sha256").alias("_sha")))
     rows = docs.select(F.struct("*").alias("_row"), known, F.sha2(normalised(F.col("text")), 256).alias("_sha"))
     near = rows.join(kept, ["_id", "_sha"], "left_semi")
     # of rows that repeat an identifier and a content the longest text stays

@@ -375,15 +375,15 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     count = bl.block_count(docs)
     ranges = bl.range_count(count)
     by_block = bl.blocked(docs, count).groupBy("block")
-    asked = written(by_block.applyInArrow(_ask(ranges, depth), _ASK_DDL), free=True)
+    asked = written(by_block.applyInArrow(_ask(ranges, depth), _ASK_DDL))
     code_lists, word_lists = asked.filter("not words"), asked.filter("words and rng >= 0")
-    summed = written(code_lists.groupBy("rng").applyInArrow(_summed(depth), _PART_DDL), free=True)
+    summed = written(code_lists.groupBy("rng").applyInArrow(_summed(depth), _PART_DDL))
     # at most 255 decisions for each of 256 recent bytes
     at_top = summed.groupBy("part").applyInArrow(_part_tops(depth), _TOP_DDL).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
     tops = top(*(at_top[c].to_numpy() for c in ("node", "zeros", "ones", "below")))
     model = summed.groupBy("part").applyInArrow(_model(ranges, depth, tops), _MODEL_DDL)
     for_codes = code_lists.groupBy("rng").cogroup(model.groupBy("rng")).applyInArrow(_answer_codes, _TOLD_DDL)
-    for_words = written(word_lists.groupBy("rng").applyInArrow(_answer_words, _TOLD_DDL), free=True)
+    for_words = written(word_lists.groupBy("rng").applyInArrow(_answer_words, _TOLD_DDL))
     texts = asked.filter("rng = -1").agg(F.sum("texts")).first()[0] or 0
     sums = for_words.filter("block = -1").agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
     final = _score(ranges, depth, int(texts), int(sums["tokens"] or 0), int(sums["known"] or 0))

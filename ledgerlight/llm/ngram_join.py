@@ -304,23 +304,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_block = bl.blocked(docs, count).groupBy("block")
     ddl = lambda s: ", ".join(f"{f.name} { {pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary', pa.bool_(): 'boolean', pa.list_(pa.int64()): 'array<long>', pa.list_(pa.int32()): 'array<int>'}[f.type]}" for f in s)
     told = by_block.applyInArrow(_ask(bl.range_count(count)), ddl(_ASK)).groupBy("rng").applyInArrow(_answer, ddl(_TOLD))
-    posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)), free=True)
+    posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)))
     sets = posted.filter("shingles is not null")
     prefixes = sets.select("doc", "n", "shared", "asks", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("doc", "n", "shared", "asks", F.col("p.prefix").alias("shingle"), F.col("p.place").alias("place"))
     # only shingles that stand in two prefixes lead to candidates
     # the leader of a shingle is the document with the fewest shingles of its own, which most copies of a family are close to
     met = prefixes.groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), -F.col("doc"))).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    postings = written(prefixes.join(met, "shingle"), free=True)
-    found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")), LEADERS), sets), free=True)
+    postings = written(prefixes.join(met, "shingle"))
+    found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")), LEADERS), sets))
     postings = postings.drop("lead")
     for turn in range(1, LEADER_ROUNDS + 1):
-        postings = written(_labelled(postings, components(found)), free=True)
+        postings = written(_labelled(postings, components(found)))
         size = postings.groupBy("shingle").agg(F.max(F.col("others") * F.col("all")).alias("pairs"), F.count("*").alias("n")).agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
             break
         last = turn == LEADER_ROUNDS or size["pairs"] <= PAIRS_PER_POSTING * size["n"]
         pairs = _across(postings) if last else _leaders(postings, turn)
-        found = written(found.unionByName(verified(pairs, sets)), free=True)
+        found = written(found.unionByName(verified(pairs, sets)))
         if last:
             break
         postings = postings.select("doc", "n", "shared", "asks", "shingle", "place")
@@ -347,5 +347,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat that identifier stay too.
     """
     part = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    gone = written(part.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")), free=True)
+    gone = written(part.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,22 +21,24 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, free: bool = False) -> DataFrame:
-    """The same rows, written to the shared folder and read again, which cuts the lineage.
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Within it, the engine removes an execution's shuffle files as soon as the execution has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
-    With `free`, the driver collects its garbage, so that Spark's cleaner removes
-    the shuffle files of plans that nothing refers to any more.
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again, which cuts the lineage and frees the shuffle files."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if free:
-        del df
-        forget(spark)
-    return out
-
-
-def forget(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with releasing(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
