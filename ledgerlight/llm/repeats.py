@@ -1,18 +1,23 @@
 """Removal of repeated passages by recompression.
 
-Words get names (hashes of their bytes).  In each round runs of equal symbols
-are named, then every symbol is a left or a right one by a hash bit and each
-left symbol takes a following right symbol with it into a named pair.  Names
-are hashes of what they stand for, so all tasks of a round name alike without
-an exchange, and equal substrings get equal symbols except at their ends, where
-a symbol might have joined what stands outside.  Per window of WINDOW words
-those ends are stripped round by round; what remains, the interior symbols,
-depends on the window's words alone.
-
-First round of questions: which interiors stand in more than one document?
-Second: of the windows around those, compared in full by 96 bits of content
-names, which document is the smallest that holds each.  Then each word covered
-by a window that also starts in a document with a smaller id goes.
+Words are symbols.  In each round runs of equal symbols get a name, then every
+symbol is a left or a right one by a hash bit and each left symbol joins a
+following right symbol in a named pair.  A name is a hash of what it stands for,
+so equal substrings get equal symbols except at their ends, where a symbol might
+have joined what stands outside.  Per window of WINDOW words those ends are
+taken off round by round; what remains, the interior symbols, and what was taken
+off depend on the window's words alone, and together they spell the window.
+
+First exchange: ranges of the name space see the names of all words, runs and
+pairs of all documents, each with a check of what it stands for.  A name that
+stands for two things is told back, and the rounds are repeated with such names
+mixed anew, until every name of every round stands for one thing in all
+documents (about n * n / 2**65 names clash among n).  The same exchange tells
+which interiors stand in more than one document.  Second exchange: of the
+windows around shared interiors, the smallest document that holds each; windows
+are compared by their symbols, 96 bits of the interior and of each round's ends.
+Then each word covered by a window that also starts in a document with a smaller
+id goes.
 
 Null text has no words.  A null doc_id counts as the largest; rows that repeat
 a doc_id are one document for the comparison and return a row each.  An empty
@@ -29,104 +34,159 @@ from pyspark.sql import DataFrame
 
 from . import arrowtext as at
 from . import blocks as bl
+from .shared import written
 
 WINDOW, ROUNDS = 13, 2
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _U = np.uint64
-_ASK = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary())])
-_HELD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
+_ASK = pa.schema([("names", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("check", pa.binary())])
+_HELD = pa.schema([("names", pa.bool_()), ("block", pa.int32()), ("rng", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
 _MIN = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("least", pa.binary()), ("most", pa.binary())])
 _TOLD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("least", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    kinds = {pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def recompressed(names: np.ndarray, own: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One round: new symbols, their owners, and for each old boundary the new index of what remains to its right and left.
+class Names:
+    """Names given so far in a block, each with a check of what it stands for; clashing names are mixed with the check."""
+
+    def __init__(self, clashes: np.ndarray, bits: int = 64):
+        self.clashes, self.drop, self.names, self.checks = clashes, _U(64 - bits), [], []
+
+    def given(self, names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        names, checks = names >> self.drop << self.drop, checks >> _U(32)
+        if len(self.clashes):
+            again = self.clashes[np.minimum(np.searchsorted(self.clashes, names), len(self.clashes) - 1)] == names
+            names = np.where(again, at.fmix(names + at.fmix(checks + _U(1))), names)
+        self.names.append(names)
+        self.checks.append(checks)
+        return names
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted names with their checks; a name with several checks stands once for each."""
+        names, checks = np.concatenate(self.names), np.concatenate(self.checks)
+        order = np.argsort(names, kind="stable")
+        names, checks = names[order], checks[order]
+        begin = bl.firsts(names)
+        same = np.repeat(checks[begin], np.diff(np.append(begin, len(names)))) == checks
+        keep = ~same
+        keep[begin] = True
+        return names[keep], checks[keep]
 
-    The last two have an entry for each old index 0..n: `right[i]` is the first new symbol that is the same
-    whatever stands before old symbol i, and `left[i]` ends the new symbols that are the same whatever follows
-    old symbol i - 1.
+
+class Level:
+    """The symbols after some rounds.
+
+    `begin` has the old index at which each symbol begins; `right[i]` is the first symbol that is the same whatever
+    stands before old symbol i, `left[i]` ends the symbols that are the same whatever follows old symbol i - 1.
     """
-    n = len(names)
-    seed = _U(0xA5A5_0000 + number)
-    same = np.zeros(n + 1, bool)
-    same[1:n] = (names[1:] == names[:-1]) & (own[1:] == own[:-1])
-    head = np.flatnonzero(~same[:n])
-    length = np.diff(np.append(head, n))
-    run = names[head].copy()
-    long = length > 1
-    run[long] = at.fmix(run[long] * _U(0x9E3779B97F4A7C15) + length[long].astype(_U) + seed)
-    run_own = own[head]
-    run_of = np.cumsum(~same[:n]) - 1
-    # a run at the end of a substring may go on outside it
-    right = np.append(run_of + 1, len(run))
-    left = np.append(0, run_of)
-    side = (at.fmix(run ^ (seed << _U(32))) & _U(1)).astype(bool)  # True: a right symbol
-    joins = np.zeros(len(run), bool)
-    joins[:-1] = ~side[:-1] & side[1:] & (run_own[1:] == run_own[:-1])
-    second = np.zeros(len(run) + 1, bool)
-    second[1:] = joins
-    symbol = run.copy()
-    a = np.flatnonzero(joins)
-    symbol[a] = at.fmix(at.fmix(run[a] + seed) * _U(3) + run[a + 1])
-    keep = ~second[: len(run)]
-    index = np.append(np.cumsum(keep) - keep, keep.sum())  # the new index at which an old one begins
-    # a right symbol at the beginning, a left one at the end may have joined a neighbour outside
-    wide = np.append(side, False)
-    right = right + wide[right]
-    before = np.maximum(left - 1, 0)
-    left = left - ((left > 0) & ~side[before]) if len(side) else left
-    return symbol[keep], run_own[keep], index[np.minimum(right, len(run))], index[left]
-
-
-def interiors(names: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A name for what recompression leaves of each window, from the deepest round that leaves anything."""
-    family = at.HASH_A
-    key = family.slices(family.prefix(names), start, start + WINDOW)
-    first, last = start.copy(), start + WINDOW
-    for r in range(ROUNDS):
-        if not len(names):
-            break
-        names, own, right, left = recompressed(names, own, r)
-        first, last = right[first], left[last]
-        some = first < last
-        inner = family.slices(family.prefix(names), np.where(some, first, 0), np.where(some, last, 0))
-        key = np.where(some, at.fmix(inner + _U(r + 1)), key)
-        last = np.maximum(first, last)
-    return key
+
+    def __init__(self, names, own, begin=None, right=None, left=None):
+        self.names, self.own, self.begin, self.right, self.left = names, own, begin, right, left
+        self.sums: dict[int, np.ndarray] = {}
+
+    def sum(self, family: at.Rolling) -> np.ndarray:
+        if id(family) not in self.sums:
+            self.sums[id(family)] = family.prefix(self.names)
+        return self.sums[id(family)]
+
+    def next(self, number: int, book: Names) -> Level:
+        """One round."""
+        names, own, n = self.names, self.own, len(self.names)
+        seed = _U(0xA5A5_0000 + number)
+        same = np.zeros(n + 1, bool)
+        same[1:n] = (names[1:] == names[:-1]) & (own[1:] == own[:-1])
+        head = np.flatnonzero(~same[:n])
+        length = np.diff(np.append(head, n))
+        run = names[head].copy()
+        long = length > 1
+        times = length[long].astype(_U)
+        run[long] = book.given(at.fmix(run[long] * _U(0x9E3779B97F4A7C15) + times + seed), at.fmix(at.fmix(run[long] ^ seed) + times))
+        run_own = own[head]
+        run_of = np.cumsum(~same[:n]) - 1
+        # a run at the end of a substring may go on outside it
+        right = np.append(run_of + 1, len(run))
+        left = np.append(0, run_of)
+        side = (at.fmix(run ^ (seed << _U(32))) & _U(1)).astype(bool)  # True: a right symbol
+        joins = np.zeros(len(run), bool)
+        joins[:-1] = ~side[:-1] & side[1:] & (run_own[1:] == run_own[:-1])
+        second = np.zeros(len(run) + 1, bool)
+        second[1:] = joins
+        symbol = run.copy()
+        a = np.flatnonzero(joins)
+        x, y = run[a], run[a + 1]
+        symbol[a] = book.given(at.fmix(at.fmix(x + seed) * _U(3) + y), at.fmix((x ^ seed) * _U(0xC2B2AE3D27D4EB4F) + at.fmix(y - seed)))
+        keep = ~second[: len(run)]
+        index = np.append(np.cumsum(keep) - keep, keep.sum())  # the new index at which an old one begins
+        # a right symbol at the beginning, a left one at the end may have joined a neighbour outside
+        wide = np.append(side, False)
+        right = right + wide[right]
+        before = np.maximum(left - 1, 0)
+        left = left - ((left > 0) & ~side[before]) if len(side) else left
+        return Level(symbol[keep], run_own[keep], np.append(head[keep], n), index[np.minimum(right, len(run))], index[left])
 
 
 class Block:
-    """A block's words and windows."""
+    """A block's words, windows and recompressed symbols."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, clashes: np.ndarray, bits: int, checked: bool = False):
         table = bl.in_order(table.select(["doc_id", "text"]))
         self.raw, offsets = at.buffers(table.column("text"))
         self.ids = bl.doc_ids(table.column("doc_id"))
+        self.book = Names(clashes, bits)
+        need = checked or len(clashes) > 0  # else the words' names are as they were
         parts, firsts, count, byte = [], [np.zeros(1, np.int64)], 0, 0
         for _, _, raw, offs in at.pieces(table.column("text")):
             start, end, first = at.words(raw, offs)
-            parts.append((start + byte, end + byte, at.word_names(raw, start, end), at.word_names(raw, start, end, at.HASH_B)))
+            names = at.word_names(raw, start, end)
+            if need:
+                names = self.book.given(names, at.word_names(raw, start, end, at.HASH_B))
+            parts.append((start + byte, end + byte, names))
             firsts.append(first[1:] + count)
             count, byte = count + len(start), byte + len(raw)
         self.first = np.concatenate(firsts).astype(np.int64)
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))
-        self.start, self.end, self.names, self.others = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
-        self.own = at.owners(self.first)
-        n = len(self.own) - WINDOW + 1
-        self.at = np.flatnonzero(self.own[: max(0, n)] == self.own[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
-        self.doc = self.ids[self.own[self.at]]
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+        self.start, self.end, names = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
+        own = at.owners(self.first)
+        n = len(own) - WINDOW + 1
+        self.at = np.flatnonzero(own[: max(0, n)] == own[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        self.doc = self.ids[own[self.at]]
+        self.levels = [Level(names, own)]
+        for r in range(ROUNDS if len(names) else 0):
+            self.levels.append(self.levels[-1].next(r, self.book))
 
-    def full(self) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits for each window."""
-        a, b = at.HASH_A, at.HASH_B
-        more = b.slices(b.prefix(self.others), self.at, self.at + WINDOW) >> _U(32)
-        return a.slices(a.prefix(self.names), self.at, self.at + WINDOW), more
+    def interiors(self) -> np.ndarray:
+        """A name for what recompression leaves of each window, from the deepest round that leaves anything."""
+        family, start = at.HASH_A, self.at
+        first, last = start, start + WINDOW
+        key = family.slices(self.levels[0].sum(family), first, last)
+        for r, level in enumerate(self.levels[1:], 1):
+            first, last = level.right[first], level.left[last]
+            some = first < last
+            key = np.where(some, at.fmix(family.slices(level.sum(family), np.where(some, first, 0), np.where(some, last, 0)) + _U(r)), key)
+            last = np.maximum(first, last)
+        return key
+
+    def spelled(self, some: np.ndarray, family: at.Rolling = at.HASH_A) -> np.ndarray:
+        """64 bits of each chosen window's symbols: its ends of each round, then its last interior."""
+        first, last = self.at[some], self.at[some] + WINDOW
+        out = np.zeros(len(first), _U)
+        for r in range(len(self.levels)):
+            level, above = self.levels[r], self.levels[r + 1] if r + 1 < len(self.levels) else None
+            if above is None:
+                ends = family.slices(level.sum(family), first, last)
+            else:
+                inner_first, inner_last = above.right[first], above.left[last]
+                gone = inner_first >= inner_last  # nothing is left: the ends are all there is
+                a, b = np.where(gone, last, above.begin[inner_first]), np.where(gone, last, above.begin[inner_last])
+                ends = family.slices(level.sum(family), first, a) * _U(3) + family.slices(level.sum(family), b, last)
+                first, last = np.where(gone, 0, inner_first), np.where(gone, 0, inner_last)
+            out = at.fmix(out * _U(0x9E3779B97F4A7C15) + ends)
+        return out
 
 
 def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,38 +203,71 @@ def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return short[order][begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), number
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    count = bl.block_count(docs)
-    ranges = bl.range_count(count)
-    by_block = bl.blocked(docs, count).groupBy("block")
+def _named(sizes: list[int], keys: list[bytes], checks: list[bytes]) -> np.ndarray:
+    """Names that stand for more than one thing."""
+    names = np.concatenate([bl.unpacked(k, n) for k, n in zip(keys, sizes, strict=True)])
+    check = np.concatenate([bl.unplain(c, n) for c, n in zip(checks, sizes, strict=True)])
+    order = np.argsort(names, kind="stable")
+    names, check = names[order], check[order]
+    return np.unique(names[1:][(names[1:] == names[:-1]) & (check[1:] != check[:-1])])
+
+
+def ask_blocks(docs: DataFrame, count: int, ranges: int, clashes: np.ndarray, bits: int) -> DataFrame:
+    """What blocks ask: each range of names, and each range of interiors, in packed pieces."""
+    sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        b = Block(table)
-        keys, _, _ = _asked(interiors(b.names, b.own, b.at), b.doc)
-        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(keys[s] >> _U(24))) for r, s in bl.by_range(keys, ranges)]
+        b, block = Block(table, sent.value, bits, checked=True), key[0].as_py()
+        names, checks = b.book.distinct()
+        rows = [(True, r, block, s.stop - s.start, bl.packed(names[s]), bl.plain(checks[s])) for r, s in bl.by_range(names, ranges)]
+        keys, _, _ = _asked(b.interiors(), b.doc)
+        rows += [(False, r, block, s.stop - s.start, bl.packed(keys[s] >> _U(24)), b"") for r, s in bl.by_range(keys, ranges)]
         return bl.table(rows, _ASK)
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        parts = [bl.unpacked(k, n) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)]
-        every = np.sort(np.concatenate(parts))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = []
-        for block, n, part in zip(table.column("block").to_pylist(), sizes, parts, strict=True):
-            held = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part if len(shared) else np.zeros(n, bool)
-            rows.append((block, key[0].as_py(), n, np.packbits(held).tobytes()))
-        return bl.table(rows, _HELD)
+    return bl.blocked(docs, count).groupBy("block").applyInArrow(ask, _ddl(_ASK))
+
+
+def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """Names that clash; for each block which of its interiors stand in another block, too."""
+    names, rng = key[0].as_py(), key[1].as_py()
+    sizes, keys = table.column("n").to_pylist(), table.column("keys").to_pylist()
+    if names:
+        clash = _named(sizes, keys, table.column("check").to_pylist())
+        return bl.table([(True, -1, rng, len(clash), clash.tobytes())] if len(clash) else [], _HELD)
+    parts = [bl.unpacked(k, n) for k, n in zip(keys, sizes, strict=True)]
+    every = np.sort(np.concatenate(parts))
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    rows = []
+    for block, n, part in zip(table.column("block").to_pylist(), sizes, parts, strict=True):
+        held = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part if len(shared) else np.zeros(n, bool)
+        rows.append((False, block, rng, n, np.packbits(held).tobytes()))
+    return bl.table(rows, _HELD)
+
+
+def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; names have so many bits at first."""
+    count = bl.block_count(docs)
+    ranges = bl.range_count(count)
+    by_block = bl.blocked(docs, count).groupBy("block")
+    clashes = np.zeros(0, _U)
+    while True:
+        told = written(ask_blocks(docs, count, ranges, clashes, bits).groupBy("names", "rng").applyInArrow(_answer, _ddl(_HELD)))
+        # the few names of 64 bits that clash, none below some billions
+        more = [np.frombuffer(bytes(r["bits"]), _U) for r in told.filter("names").select("bits").collect()]
+        if not more:
+            break
+        clashes = np.unique(np.concatenate([clashes, *more]))
+    held = told.filter("not names").drop("names")
+    sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def compare(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block(table)
-        keys, several, number = _asked(interiors(b.names, b.own, b.at), b.doc)
+        b = Block(table, sent.value, bits)
+        keys, several, number = _asked(b.interiors(), b.doc)
         told = told.sort_by("rng")
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told.column("bits").to_pylist(), told.column("n").to_pylist(), strict=True)]
-        held = np.concatenate([np.zeros(0, bool), *bits]) | several
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told.column("bits").to_pylist(), told.column("n").to_pylist(), strict=True)]
+        held = np.concatenate([np.zeros(0, bool), *flags]) | several
         some = np.flatnonzero(held[number]) if len(number) else number
-        one, two = b.full()
-        one, two, doc = one[some], two[some], b.doc[some]
+        one, two, doc = b.spelled(some), b.spelled(some, at.HASH_B) >> _U(32), b.doc[some]
         order = np.lexsort((two, one))
         one, two, doc = one[order], two[order], doc[order]
         new = np.ones(len(one), bool)
@@ -210,21 +303,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return bl.table(rows, _TOLD)
 
     def keep(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block(table)
+        b = Block(table, sent.value, bits)
         told = told.sort_by("rng")
         sizes = told.column("n").to_pylist()
         read = lambda c, f: np.concatenate([np.zeros(0, _U), *(f(x, n) for x, n in zip(told.column(c).to_pylist(), sizes, strict=True))])
         one, two, least = read("keys", bl.unpacked), read("more", bl.unplain), read("least", bl.unplain).view(np.int64)
-        covered = np.zeros(len(b.names) + 1, np.int64)
+        covered = np.zeros(len(b.start) + 1, np.int64)
         if len(one):
-            a, m = b.full()
+            a = b.spelled(np.arange(len(b.at)))
             place = np.searchsorted(one, a)
-            for _ in range(2):  # the second for a key of which the first part stands twice
-                at_place = np.minimum(place, len(one) - 1)
-                gone = b.at[(one[at_place] == a) & (two[at_place] == m) & (least[at_place] < b.doc)]
-                covered[gone] += 1
-                covered[gone + WINDOW] -= 1
-                place = place + 1
+            hit = np.flatnonzero(one[np.minimum(place, len(one) - 1)] == a)
+            place, m = place[hit], b.spelled(hit, at.HASH_B) >> _U(32)
+            # keys of which the first part is the same stand side by side
+            left = np.arange(len(hit))
+            while len(left):
+                p = place[left]
+                good = left[(two[p] == m[left]) & (least[p] < b.doc[hit[left]])]
+                gone = b.at[hit[good]]
+                np.add.at(covered, gone, 1)
+                np.add.at(covered, gone + WINDOW, -1)
+                place[left] += 1
+                left = left[place[left] < len(one)]
+                left = left[one[place[left]] == a[hit[left]]]
         kept = np.cumsum(covered)[:-1] == 0
         n_words = np.diff(b.first)
         run = np.append(0, np.cumsum(kept))
@@ -240,8 +340,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             digests.append(hashlib.sha256(text[:-1]).hexdigest())
         return pa.Table.from_arrays([bl.restored(b.ids), pa.array(n_words), pa.array(n_words - n_kept), pa.array(digests, pa.string())], schema=_OUT)
 
-    asked = by_block.applyInArrow(ask, _ddl(_ASK))
-    held = asked.groupBy("rng").applyInArrow(answer, _ddl(_HELD))
     compared = by_block.cogroup(held.groupBy("block")).applyInArrow(compare, _ddl(_MIN))
     decided = compared.groupBy("rng").applyInArrow(decide, _ddl(_TOLD))
     return by_block.cogroup(decided.groupBy("block")).applyInArrow(keep, RESULT)

@@ -2,8 +2,11 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from ledgerlight.llm import arrowtext as at
 from ledgerlight.llm import blocks, components, content_sort, ngram_join, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +136,24 @@ def test_repeats_brute_force(frame, prose, monkeypatch, block_bytes):
     assert repeats.remove_repeats(frame([])).collect() == []
 
 
+def test_repeats_names_anew_what_clashes(frame, prose):
+    """With names of few bits, words, runs and pairs clash all over; the rounds are repeated until none does."""
+    want = {tuple(r) for r in repeats.remove_repeats(frame(prose)).collect()}
+    assert {tuple(r) for r in repeats.remove_repeats(frame(prose), bits=10).collect()} == want
+
+
+def test_repeats_symbols_spell_their_windows():
+    """Windows are equal where their symbols are, wherever they stand; runs at their ends included."""
+    rng = np.random.default_rng(9)
+    words = [" ".join(f"w{x}" for x in rng.choice(4, 60, p=[0.7, 0.1, 0.1, 0.1])) for _ in range(60)]
+    b = repeats.Block(pa.table({"doc_id": list(range(60)), "text": words}), np.zeros(0, np.uint64), 64, checked=True)
+    split = [t.split() for t in words]
+    window = [tuple(split[d][i : i + 13]) for d in range(60) for i in range(48)]
+    symbols = list(zip(b.spelled(np.arange(len(b.at))).tolist(), b.spelled(np.arange(len(b.at)), at.HASH_B).tolist(), b.interiors().tolist(), strict=True))
+    assert len(window) == len(symbols) and len(set(window)) < len(window)
+    assert len(set(zip(window, symbols, strict=True))) == len(set(window)) == len({s[:2] for s in symbols})
+
+
 def test_repeats_null_identifier_is_the_largest(frame):
     t = " ".join(f"w{i}" for i in range(13))
     got = {(r.doc_id, r.n_removed) for r in repeats.remove_repeats(frame([(None, t), (1, t), (2, "w0 " + t)])).collect()}
