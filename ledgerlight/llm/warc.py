@@ -2,9 +2,13 @@
 
 Every record's length follows from small columns (payload size, URL, type), so
 the index (archive, offset, length, URL, digest) is computed and written before
-any archive exists.  The archives are then written by the engine's own text
-writer, one record a row, with the record separator as line separator: a lost
-executor's archives are written again and committed once, on any file system.
+any archive exists.  There are as many archives as ARCHIVE_BYTES asks for, and
+no fewer than the engine has shuffle partitions.  They are then written by the
+engine's own text writer, one record a row, with the record separator as line
+separator: a lost executor's archives are written again and committed once, on
+any file system.  Records are dealt by page, URL and digest, so rows that share
+a page_id or have none spread; pages with one payload meet their response by
+salted sums.
 Reading takes selected index rows, sorts them by place, joins byte ranges that
 lie close together into one read each, and checks URL, length and digest.
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import folder, forget
+from .shared import folder, releasing, written
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -37,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GAP, READ = 1 << 16, 8 << 20
 #: Archives are written in so many waves, so that only a part of the payloads is in shuffle files at once.
 WAVES = 2
+#: Bytes of an archive, about.
+ARCHIVE_BYTES = 256 << 20
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -78,35 +84,48 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
-def _key() -> Column:
-    """page_id, with a number for null, so that equal keys can be joined without a null test."""
-    return F.coalesce("page_id", F.lit(-(2**63)).cast("long"))
+def _number(archives: int) -> Column:
+    """The archive of a record, by a hash of page, URL and digest."""
+    return F.pmod(F.hash("key"), F.lit(archives))
 
 
-def plan(pages: DataFrame, archives: int, least: int = 0) -> DataFrame:
-    """The index: one row for each record, in small columns only."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64("page_id", "url", "digest"))
+
+
+def plan(pages: DataFrame, least: int = 0) -> DataFrame:
+    """One row for each record, in small columns only: what it is, and its length."""
+    salts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(pages).select("page_id", "url", base32_sha1(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    first = rows.groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    typed = rows.join(first, ["digest", "size"]).withColumn("kind", F.when((F.col("size") < least) | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
-    typed = typed.withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("first"))).drop("first")
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")))
+    # the pages of one payload are summed up by salt, then their few sums meet
+    some = rows.groupBy("digest", "size", "salt").agg(F.min("page_id").alias("first"))
+    first = some.withColumn("first", F.min("first").over(Window.partitionBy("digest", "size")))
+    typed = rows.join(first, ["digest", "size", "salt"]).withColumn("kind", F.when((F.col("size") < least) | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
+    typed = typed.withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("first"))).drop("first", "salt")
     head = _head(F.col("kind"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers_to"), F.col("size"))
     length = F.octet_length(head) + F.when(F.col("kind") == "revisit", 0).otherwise(F.col("size")) + len(END)
-    placed = typed.withColumn("length", length).withColumn("archive", F.pmod(F.hash(_key()), F.lit(archives)))
+    return _keyed(typed.withColumn("length", length.cast("long")))
+
+
+def placed(planned: DataFrame, archives: int) -> DataFrame:
+    """The index: the planned records with archive and offset."""
     before = Window.partitionBy("archive").orderBy("page_id", "digest", "url").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    dealt = planned.withColumn("archive", _number(archives))
+    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def write(pages: DataFrame, index: DataFrame, path: str, archives: int) -> None:
     """Writes the archives that the index describes; moves every payload once."""
-    known = index.groupBy(_key().alias("key")).agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known"))
+    known = index.groupBy("key").agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known"))
     # both sides are dealt by the same number of the same hash as the archives, so the join keeps each archive in one task
-    number = F.pmod(F.hash("key"), F.lit(archives))
-    all_rows = _rows(pages).withColumn("key", _key())
+    number = _number(archives)
+    all_rows = _keyed(_rows(pages).withColumn("digest", base32_sha1(F.col("html"))))
     for wave in range(WAVES):
-        now = all_rows.filter(number % WAVES == wave).withColumn("digest", base32_sha1(F.col("html"))).repartition(archives, "key")
+        now = all_rows.filter(number % WAVES == wave).repartition(archives, "key")
         both = now.join(known.filter(number % WAVES == wave).repartition(archives, "key").hint("merge"), "key")
-        _write_wave(both, number, path)
-        forget(pages.sparkSession)
+        with releasing(pages.sparkSession):
+            _write_wave(both, number, path)
 
 
 def _write_wave(both: DataFrame, number: Column, path: str) -> None:
@@ -189,10 +208,12 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> tuple[
     """Writes index and archives below `path`; returns the index and the list of archives."""
     spark = pages.sparkSession
     path = path or folder(spark)
-    archives = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan(pages, archives, least).write.parquet(f"{path}/index")
+    planned = written(plan(pages, least))
+    size = planned.agg(F.sum("length")).first()[0] or 0
+    archives = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // ARCHIVE_BYTES))
+    with releasing(spark):
+        placed(planned, archives).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
-    forget(spark)
     write(pages, index, f"{path}/archives", archives)
     files = archive_files(spark, f"{path}/archives")
     wrong = index.groupBy("archive").agg(F.sum("length").alias("planned")).join(files.groupBy("archive").agg(F.sum("file_length").alias("there"), F.count("*").alias("n")), "archive", "full").filter("planned is distinct from there or n <> 1")
