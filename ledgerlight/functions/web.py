@@ -78,11 +78,22 @@ def strip_controls(x: Text) -> Column:
     return F.regexp_replace(null_to_blank(x), r"[\p{Cc}\p{Cf}]", "")
 
 
+def _escaped(x: Column, safe: str) -> Column:
+    """Percent-escapes of the UTF-8 bytes of all signs but letters, digits and those in `safe`; `safe` is part of a pattern."""
+    parts = F.regexp_extract_all(x, F.lit(rf"([A-Za-z0-9{safe}]+|[^A-Za-z0-9{safe}]+)"), F.lit(1))
+    quoted = F.transform(parts, lambda p: F.when(p.rlike(rf"^[A-Za-z0-9{safe}]"), p).otherwise(F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "%$1")))
+    return F.array_join(quoted, "")
+
+
 def normal_url(x: Text) -> Column:
-    """no fragment, single slashes in the path, blanks escaped."""
-    plain = F.regexp_replace(F.trim(strip_controls(x)), "#.*$", "")
-    single = F.regexp_replace(plain, "(?<!:)/{2,}", "/")
-    return F.regexp_replace(single, r"\s", "%20")
+    """no fragment, single slashes in the path, path and query escaped but for the signs that may stand there."""
+    plain = F.trim(F.regexp_replace(F.trim(strip_controls(x)), "#.*$", ""))
+    whole = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?]*)?([^?]*)(\?.*)?$"
+    scheme, host_part, path, query = (F.regexp_extract(plain, whole, i) for i in range(1, 5))
+    single = F.regexp_replace(F.when(path == "", "/").otherwise(path), "/+", "/")
+    marks = r"/%:@!$&'()*+,;=\-._~"
+    asked = F.when(F.length(query) > 1, F.concat(F.lit("?"), _escaped(F.substring(query, F.lit(2), F.length(query)), marks + "?"))).otherwise("")
+    return F.concat(F.lower(scheme), host_part, _escaped(single, marks), asked)
 
 
 def link_scheme(href: Text) -> Column:
@@ -130,6 +141,24 @@ def portal_date(x: Text) -> Column:
     return F.coalesce(F.date_format(at, "M/d/yyyy h:mm a"), raw)
 
 
+def display_size(x: Text) -> Column:
+    """bytes in the largest unit that leaves 1 or more, one decimal from KB on; null is Missing."""
+    n, out = _c(x).cast("double"), None
+    units = ("B", "KB", "MB", "GB", "TB")
+    for i, unit in reversed(list(enumerate(units))):
+        said = F.concat(F.call_function("format_number", n / 1024**i, F.lit("0.0" if i else "0")), F.lit(f" {unit}"))
+        out = said if out is None else F.when(n < 1024 ** (i + 1), said).otherwise(out)
+    return F.when(n.isNull(), "Missing").otherwise(out)
+
+
+def years_list(text: str) -> list[int] | None:
+    """years written with blanks or commas between them; none for an empty text."""
+    words = text.replace(",", " ").split()
+    if not all(w.removeprefix("-").isdigit() for w in words):
+        raise ValueError("years must be whole numbers with blanks or commas between them")
+    return [int(w) for w in words] or None
+
+
 def slug(x: Text, size: int = 80) -> Column:
     """F26"""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(null_to_blank(x)), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, size)

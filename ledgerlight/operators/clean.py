@@ -40,6 +40,13 @@ def sql_names(names: list[str]) -> list[str]:
     return out
 
 
+def identifier(name: str) -> str:
+    """The name itself if it is a plain SQL identifier."""
+    if not re.fullmatch(r"[A-Za-z_]\w*", name, re.ASCII):
+        raise ValueError(f"{name!r} is no identifier")
+    return name
+
+
 def titled(df: DataFrame) -> DataFrame:
     return df.toDF(*map(title, df.columns))
 

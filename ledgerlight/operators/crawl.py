@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import null_to_blank
-from ..functions.web import allowed_host, normal_date, normal_url, recent_enough, skipped_url, strip_controls, years_in
+from ..functions.web import allowed_host, document_url, normal_date, normal_url, recent_enough, skipped_url, strip_controls, years_in
 
 FETCHED = ("fetched", "saved")
 
@@ -53,19 +53,38 @@ def meetings(archived: DataFrame, upcoming: DataFrame, portal: str, years: list[
     return out.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_rank").orderBy(F.desc("year"), F.desc("label"))
 
 
-def reachable(starts: DataFrame, edges: DataFrame, most_depth: int, keep=lambda df: df) -> DataFrame:
-    """Pages by breadth-first search: url, depth, referrer. `edges` has source and target; `keep` cuts each round's lineage."""
+def reachable(starts: DataFrame, edges: DataFrame, most_depth: int, keep=lambda df: df, most_pages: int | None = None, most_documents: int | None = None) -> DataFrame:
+    """Pages by breadth-first search: url, depth, referrer. `edges` has source and target; `keep` cuts each round's lineage.
+
+    Documents (by URL) lead nowhere.  With caps, pages and documents count in order of depth, then URL.
+    """
     seen = keep(starts.select(normal_url("url").alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")).dropDuplicates(["url"]))
-    front = seen
+    seen = front = _capped(seen, None, most_pages, most_documents, keep)
     for depth in range(1, most_depth + 1):
-        met = front.join(edges, front["url"] == edges["source"]).groupBy(normal_url("target").alias("url")).agg(F.min("source").alias("referrer"))
+        met = front.filter(~document_url("url")).join(edges, F.col("url") == edges["source"]).groupBy(normal_url("target").alias("url")).agg(F.min("source").alias("referrer"))
         front = keep(met.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "referrer"))
+        front = _capped(front, seen, most_pages, most_documents, keep)
         if front.isEmpty():
             break
         seen = keep(seen.unionByName(front))
     return seen
 
 
+def _capped(front: DataFrame, seen: DataFrame | None, most_pages: int | None, most_documents: int | None, keep) -> DataFrame:
+    """The part of a front that the caps leave room for; the caps are the crawl's own."""
+    if most_pages is None and most_documents is None:
+        return front
+    is_document = document_url("url")
+    used = dict.fromkeys((False, True), 0)
+    if seen is not None:
+        used |= {r["d"]: r["n"] for r in seen.groupBy(is_document.alias("d")).agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for flag, most in ((False, most_pages), (True, most_documents)):
+        part = front.filter(is_document if flag else ~is_document)
+        parts.append(part if most is None else part.orderBy("url").limit(max(0, most - used[flag])))
+    return keep(parts[0].unionByName(parts[1]))
+
+
 def first_per_url(rows: DataFrame, url: Column | str, *order: Column | str) -> DataFrame:
     """The first entry of each URL."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, collapse, null_to_blank
-from ..functions.web import joined_url, link_scheme
+from ..functions.web import joined_url, link_scheme, normal_url
 
 ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|\'([^\']*)\')[^>]*>(.*?)</a\s*>'
 # Words of labels that lead to votes, and of URLs that lead to meetings.
@@ -22,22 +23,16 @@ GRID = {"name": "body", "meeting date": "meeting_date", "meeting time": "meeting
 GRID_LINKS = {"meeting details": "meeting_url", "agenda": "agenda_url", "minutes": "minutes_url"}
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.parts: list[str] = []
-
-    def handle_data(self, data):
-        if data.strip():
-            self.parts.append(data.strip())
+def text_of(page: str | None) -> str:
+    """Text nodes with more than white space, as they stand, one after another on lines of their own.
 
-
-def text_of(html: str | None) -> str:
-    """Non-blank text nodes, one a line; scripts and styles count as text."""
-    reader = _Text()
-    reader.feed(html or "")
-    reader.close()
-    return "\n".join(reader.parts)
+    Scripts and styles count as text; references are resolved in the nodes and once more in the whole.
+    """
+    nodes: list[str] = []
+    reader = HTMLParser()
+    reader.handle_data = nodes.append
+    reader.feed(page or "")
+    return unescape("\n".join(n for n in nodes if not n.isspace()))
 
 
 def html_text(html: Column | str) -> Column:
@@ -81,6 +76,32 @@ def meeting_links(found: DataFrame, key: str, most: int = 25) -> DataFrame:
     return _once(first, key).withColumn("meeting_title", title)
 
 
+def consent_items(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """rows of consent items with the URL and number of their matter, once each."""
+    rows = F.filter(F.regexp_extract_all(null_to_blank(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: r.contains("Consent Calendar Item"))
+    link = r'(?i)href="([^"]*LegislationDetail\.aspx[^"]*)"[^>]*>([^<]+)</a>'
+    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(rows).alias("pos", "_r")).filter(F.col("_r").rlike(link))
+    href = F.replace(F.regexp_extract("_r", link, 1), F.lit("&amp;"), F.lit("&"))
+    found = each.select(key, "pos", normal_url(joined_url("_base", href)).alias("url"), F.nullif(F.trim(F.regexp_extract("_r", link, 2)), F.lit("")).alias("matter_file"))
+    return found.groupBy(key, "url", "matter_file").agg(F.min("pos").alias("pos"))
+
+
+def attachment_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """links of a page's table of attachments, once each."""
+    part = F.regexp_extract(null_to_blank(html), r'(?is)<table[^>]+id="ctl00_ContentPlaceHolder1_tblAttachments"[^>]*>(.*?)</table>', 1)
+    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(part, F.lit(r'(?i)href="([^"]+)"'), F.lit(1))).alias("pos", "_h"))
+    return each.groupBy(key, normal_url(joined_url("_base", F.replace("_h", F.lit("&amp;"), F.lit("&")))).alias("url")).agg(F.min("pos").alias("pos"))
+
+
+def first_meetings(found: DataFrame, key: str, most_pages: int | None = None, most_meetings: int | None = None) -> DataFrame:
+    """A grid's meetings (page_no, row_no) up to a number of pages and of meetings; None sets no limit."""
+    some = found if not most_pages else found.filter(F.col("page_no") <= most_pages)
+    if not most_meetings:
+        return some
+    place = F.row_number().over(Window.partitionBy(key).orderBy("page_no", "row_no"))
+    return some.withColumn("_n", place).filter(F.col("_n") <= most_meetings).drop("_n")
+
+
 class _Grid(HTMLParser):
     """Rows of a table: each a class and a list of (text, first link)."""
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import token_set_score, weighted_score
 from ..functions.text import company_key, null_to_blank
 
+#: Signs of a name's beginning by which longer names that begin with it are found.
+PREFIX = 8
 #: Above this many rows the small side is no longer sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -47,18 +49,44 @@ def containment(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return out
 
 
-def best_fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, threshold: int = 90, score=token_set_score) -> DataFrame:
-    """For each left key the right key with the highest score, the first in `order` on a tie, if it reaches the threshold.
+def common_run(threshold: int, longest: int = 400) -> int:
+    """The length of a common substring that two strings have at least if their ratio reaches the threshold.
 
-    Each distinct left key is held against the stated set of distinct right keys.
+    Strings of S signs together at distance d have (S - d) / 2 signs in common, in d + 1 pieces at most.
     """
+    least = longest
+    for s in range(2, longest):
+        for d in range(s % 2, int(s * (100 - threshold) / 100 + 1e-9) + 1, 2):
+            least = min(least, -(-((s - d) // 2) // (d + 1)))
+    return max(1, least)
+
+
+def close_candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of distinct keys whose token-set score may reach the threshold, by equi-joins, with equal `within` columns.
+
+    Keys that share a token meet by it.  Keys without a common token are compared as sorted tokens alone: they meet
+    by a run of signs that they must have in common, and their lengths are close.
+    """
+    q = common_run(threshold)
+    words = lambda k: F.array_distinct(F.filter(F.split(F.col(k), r"(?U)\s+"), lambda w: w != ""))
+    plain = lambda k: F.array_join(F.array_sort(words(k)), " ")
+    runs = lambda c: F.when(F.length(c) >= q, _grams(c, q)).otherwise(F.array().cast("array<string>"))
+    by_word = left.select(*within, left_key, F.explode(words(left_key)).alias("_w")).join(right.select(*within, right_key, F.explode(words(right_key)).alias("_w")), [*within, "_w"])
+    a = left.select(*within, left_key, plain(left_key).alias("_a")).select(*within, left_key, F.length("_a").alias("_m"), F.explode(runs(F.col("_a"))).alias("_g"))
+    b = right.select(*within, right_key, plain(right_key).alias("_b")).select(*within, right_key, F.length("_b").alias("_n"), F.explode(runs(F.col("_b"))).alias("_g"))
+    near = F.abs(F.col("_m") - F.col("_n")) * 100 <= (F.col("_m") + F.col("_n")) * (100 - threshold)
+    by_run = a.join(b, [*within, "_g"]).filter(near)
+    return by_word.select(*within, left_key, right_key).unionByName(by_run.select(*within, left_key, right_key)).distinct()
+
+
+def best_fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, threshold: int = 90) -> DataFrame:
+    """For each left key the right key with the highest token-set score, the first in `order` on a tie, if it reaches the threshold."""
     names = left.select(left_key).filter(F.col(left_key) != "").distinct()
     stated = right.filter(F.col(right_key) != "").groupBy(right_key).agg(F.min(order).alias("_o"))
-    met = names.join(small(stated))
-    scored = met.withColumn("_s", score(F.col(left_key), F.col(right_key)))
-    best = scored.groupBy(left_key).agg(F.max_by(F.struct(right_key, "_s"), F.struct("_s", (-F.col("_o")).alias("o"))).alias("_b"))
-    kept = best.filter(F.col("_b._s") >= threshold)
-    return left.join(kept.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b._s").alias("score")), left_key)
+    scored = close_candidates(names, stated, left_key, right_key, threshold).withColumn("_s", token_set_score(F.col(left_key), F.col(right_key)))
+    met = scored.filter(F.col("_s") >= threshold).join(stated, right_key)
+    best = met.groupBy(left_key).agg(F.max_by(F.struct(right_key, "_s"), F.struct("_s", (-F.col("_o")).alias("o"))).alias("_b"))
+    return left.join(best.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b._s").alias("score")), left_key)
 
 
 def cascade(left: DataFrame, right: DataFrame, left_id: str, left_key: str, right_key: str, order: str, threshold: int = 90) -> DataFrame:
@@ -153,17 +181,20 @@ def agenda_conflicts(officials: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def less_complete(df: DataFrame, row: str, groups: list[str], name: str, threshold: int = 94) -> DataFrame:
-    """Rows for which another of the same group (nulls equal) has a longer name that begins with this one or is close to it."""
-    keyed = df.select(row, *groups, company_key(name).alias("_k")).filter("_k <> ''")
-    other = keyed.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_k").alias("_o")).distinct()
-    same = F.length("_o") > F.length("_k")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    pairs = keyed.select(*groups, "_k").distinct().join(other, same)
-    prefix = pairs.filter(F.col("_o").startswith(F.col("_k"))).select(*groups, "_k")
-    near = pairs.filter(~F.col("_o").startswith(F.col("_k"))).filter(token_set_score(F.col("_k"), F.col("_o")) >= threshold).select(*groups, "_k")
-    gone = prefix.unionByName(near).distinct()
-    on = keyed["_k"] == gone["_k"]
-    for g in groups:
-        on = on & keyed[g].eqNullSafe(gone[g])
-    return keyed.join(gone, on, "left_semi").select(row)
+    """Rows for which another of the same group (nulls equal) has a longer name that begins with this one or is close to it.
+
+    Both meet by equi-joins inside their group: the longer name by one of its first PREFIX beginnings, close names
+    as in `close_candidates`.
+    """
+    group = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
+    keyed = df.select(row, group.alias("_q"), company_key(name).alias("_k")).filter("_k <> ''")
+    each = keyed.select("_q", "_k").distinct()
+    head = F.least(F.length("_k"), F.lit(PREFIX))
+    short = each.withColumn("_h", F.left("_k", head))
+    sizes = F.transform(F.sequence(F.lit(1), head), lambda n: F.left("_k", n))
+    other = each.select("_q", F.col("_k").alias("_o"), F.explode(sizes).alias("_h"))
+    prefix = short.join(other, ["_q", "_h"]).filter((F.length("_o") > F.length("_k")) & F.col("_o").startswith(F.col("_k"))).select("_q", "_k")
+    longer = (F.length("_o") > F.length("_k")) & ~F.col("_o").startswith(F.col("_k"))
+    pairs = close_candidates(each, each.withColumnRenamed("_k", "_o"), "_k", "_o", threshold, ("_q",)).filter(longer)
+    near = pairs.filter(token_set_score(F.col("_k"), F.col("_o")) >= threshold).select("_q", "_k")
+    return keyed.join(prefix.unionByName(near).distinct(), ["_q", "_k"], "left_semi").select(row)

@@ -15,19 +15,32 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(search_key(text), " "), lambda w: w != "")
 
 
+#: Words of a phrase's beginning by which texts are looked through.
+HEAD = 4
+
+
 def occurrences(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """J6 as an equi-join: (text_id, phrase) where the phrase's words stand next to each other in the text.
 
-    Only runs of the lengths that phrases have, and that begin with a word that begins a phrase, are made.
-    Both lists come from the phrases, a stated set whose lengths are few.
+    A text's distinct runs of up to HEAD words meet the phrases that begin so; only those lengths are made that
+    phrases begin with.  Longer phrases are then looked for in the few texts that hold their beginning.
     """
     keyed = phrases.select(search_key(phrase).alias("_p")).filter(F.length("_p") >= 3).distinct()
-    sized = keyed.withColumn("_n", F.size(F.split("_p", " "))).withColumn("_w", F.substring_index("_p", " ", 1))
-    starts = sized.groupBy("_w").agg(F.array_sort(F.collect_set("_n")).alias("_sizes"))
+    begun = keyed.withColumn("_n", F.size(F.split("_p", " "))).withColumn("_h", F.substring_index("_p", " ", HEAD))
+    lengths = sorted(r[0] for r in begun.select(F.least("_n", F.lit(HEAD))).distinct().collect())  # HEAD numbers at most
     words = texts.select(F.col(text_id), tokens(text).alias("_t"))
-    at = words.select(text_id, "_t", F.posexplode("_t").alias("_i", "_w")).join(starts, "_w")
-    runs = at.select(text_id, F.explode(F.transform("_sizes", lambda n: F.when(F.col("_i") + n <= F.size("_t"), F.array_join(F.slice("_t", F.col("_i") + 1, n), " ")))).alias("_p"))
-    return runs.filter("_p is not null").distinct().join(keyed, "_p").select(text_id, F.col("_p").alias("phrase"))
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.concat_ws(" ", *(F.get("_t", i + k) for k in range(n))))
+        return F.when(F.size("_t") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    if not lengths:
+        return words.select(text_id, F.lit("").alias("phrase")).limit(0)
+    met = words.select(text_id, F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("_h")).join(begun, "_h").select(text_id, "_p", "_n")
+    short = met.filter(F.col("_n") <= HEAD).select(text_id, "_p")
+    padded = texts.select(F.col(text_id), F.concat(F.lit(" "), search_key(text), F.lit(" ")).alias("_s"))
+    long = met.filter(F.col("_n") > HEAD).join(padded, text_id).filter(F.col("_s").contains(F.concat(F.lit(" "), F.col("_p"), F.lit(" "))))
+    return short.unionByName(long.select(text_id, "_p")).distinct().withColumnRenamed("_p", "phrase")
 
 
 def confidence(alias: Column, name: Column) -> Column:
@@ -124,6 +137,16 @@ def with_minutes(votes: DataFrame, minutes: DataFrame) -> DataFrame:
     return votes.join(minutes.select("minutes_cache_key", "jurisdiction", "platform", "minutes_url"), "minutes_cache_key").orderBy(F.desc("meeting_date"), "matter_id", "politician_name")
 
 
+def minutes_in_order(minutes: DataFrame) -> DataFrame:
+    """O2: minutes that have a text, latest date first (dates as text), then by body."""
+    return minutes.filter("text_path <> ''").orderBy(F.desc("meeting_date"), "body")
+
+
+def entities_in_order(rows: DataFrame) -> DataFrame:
+    """O4"""
+    return rows.orderBy("owner_last_name", "owner_first_name", "entity_name")
+
+
 def owners(filings: DataFrame) -> DataFrame:
     """Distinct owners by name, those with the latest filing first among equal names."""
     names = ["filer_last_name", "filer_first_name", "filer_middle_name", "filer_full_name", "agency_name"]

@@ -91,10 +91,10 @@ def vote_block(text: Column) -> Column:
 
 
 def line_votes(texts: DataFrame, key: str, text: str, politician: str, confidence: float = 0.45) -> DataFrame:
-    """Lines with a vote word that name the politician; the first marker in a fixed order gives the label."""
+    """Lines with a vote word that name the politician; one marker of a fixed order gives the label."""
     each = lines(texts, key, text).filter(likely_vote_line("line") & contains_name("line", F.lit(politician)))
     vote = F.lit("Unknown")
-    # Markers in order of precedence, with their labels.
+    # Markers with their labels; of several the last listed wins.
     for marker, label in (("recused", "Recused"), ("absent", "Absent"), ("abstain", "Abstain"), ("nay", "No"), ("no", "No"), ("yes", "Aye"), ("aye", "Aye")):
         vote = F.when(F.lower("line").contains(marker), label).otherwise(vote)
     return each.select(key, "pos", F.lit(politician).alias("member_name"), vote.alias("vote"), F.col("line").alias("snippet"), F.lit(confidence).alias("confidence"))

@@ -7,39 +7,16 @@ lines; events = fetch log; supplier, part, nation, region = dictionaries.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import web
 from ..operators import awards, clean, crawl, filings, html, matching, phrase, store, votes
 from ..streaming import incremental
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: search_key and company_key in SQL.
-_KEY = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-_COMPANY = "trim(regexp_replace(" + _KEY + ", '((^| )(inc|llc|corp|corporation|co|company|ltd|lp|llp|pllc))+$', ''))"
+from .registry import COMPANY as _COMPANY
+from .registry import KEY as _KEY
+from .registry import folder, query, table
 
 
 @query("""
@@ -78,22 +55,34 @@ def containment_match(spark, sf_dir):
 
 @query(f"""
     WITH l AS (SELECT p_partkey AS id, {_COMPANY.format("CASE WHEN p_size > 25 THEN p_name ELSE p_brand END")} AS k FROM part),
-    r AS (SELECT DISTINCT {_COMPANY.format("p_name")} AS k FROM part WHERE p_type = 'ECONOMY' UNION SELECT DISTINCT {_COMPANY.format("p_brand")} FROM part WHERE p_size < 3),
-    e AS (SELECT DISTINCT l.id FROM l JOIN r ON l.k = r.k),
-    p AS (SELECT DISTINCT l.id FROM l, r WHERE l.id NOT IN (FROM e) AND (contains(l.k, r.k) OR contains(r.k, l.k)))
-    SELECT (SELECT count(*) FROM e) AS exact, (SELECT count(*) FROM p) AS partial, (SELECT count(*) FROM l) - (SELECT count(*) FROM e) - (SELECT count(*) FROM p) AS rest""")
+    r AS (SELECT DISTINCT {_COMPANY.format("substr(p_name, 1, 1 + p_size % 9) || ' Inc.'")} AS k FROM part),
+    e AS (SELECT DISTINCT l.k FROM l JOIN r ON l.k = r.k),
+    p AS (SELECT DISTINCT x.k FROM (SELECT DISTINCT k FROM l) x, r WHERE x.k NOT IN (FROM e) AND r.k <> '' AND (contains(x.k, r.k) OR contains(r.k, x.k)))
+    SELECT count(*) FILTER (k IN (FROM e)) AS exact, count(*) FILTER (k IN (FROM p)) AS partial,
+           count(*) FILTER (k NOT IN (FROM e) AND k NOT IN (FROM p)) AS rest FROM l""")
 def match_cascade_counts(spark, sf_dir):
     """Each stage takes what the one before left."""
     part = table(spark, sf_dir, "part")
-    left = part.select(F.col("p_partkey").alias("id"), tx.company_key(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_brand"))).alias("lk"))
-    right = part.filter("p_type = 'ECONOMY'").select(tx.company_key("p_name").alias("rk")).union(part.filter("p_size < 3").select(tx.company_key("p_brand"))).distinct()
-    hit = matching.exact(left, right, "lk", "rk").select("id").distinct()
-    rest = left.join(hit, "id", "left_anti")
-    # parts share few names, so containment is found on distinct keys
-    keys = matching.containment(rest.select("lk").distinct(), right, "lk", "rk").select("lk").distinct()
-    partial = rest.join(keys, "lk", "left_semi").select("id")
-    marked = left.select("id").join(hit.withColumn("e", F.lit(1)), "id", "left").join(partial.withColumn("p", F.lit(1)), "id", "left")
-    return marked.agg(F.count("e").alias("exact"), F.count("p").alias("partial"), (F.count("*") - F.count("e") - F.count("p")).alias("rest"))
+    left = part.select(tx.company_key(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_brand"))).alias("lk")).groupBy("lk").agg(F.count("*").alias("n"))
+    right = part.select(tx.company_key(F.concat(F.expr("substr(p_name, 1, 1 + p_size % 9)"), F.lit(" Inc."))).alias("rk")).filter("rk <> ''").distinct()
+    # parts share few names, so stages work on distinct keys with their counts
+    hit = matching.exact(left, right, "lk", "rk").select("lk").distinct()
+    rest = left.join(hit, "lk", "left_anti")
+    partial = matching.containment(rest, right, "lk", "rk").select("lk").distinct()
+    marked = left.join(hit.withColumn("e", F.lit(1)), "lk", "left").join(partial.withColumn("p", F.lit(1)), "lk", "left")
+    return marked.agg(F.sum(F.when(F.col("e").isNotNull(), F.col("n")).otherwise(0)).alias("exact"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("partial"), F.sum(F.when(F.coalesce("e", "p").isNull(), F.col("n")).otherwise(0)).alias("rest"))
+
+
+@query()
+def compared_counts(spark, sf_dir):
+    """The whole comparison with its fuzzy stage, counted by type; misspelt names against names."""
+    part = table(spark, sf_dir, "part")
+    written = F.when(F.col("p_size") > 30, F.col("p_name")).when(F.col("p_size") > 20, F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)"))).when(F.col("p_size") > 10, F.split("p_name", " ")[0]).otherwise(F.concat(F.lit("zz"), F.reverse("p_name")))
+    people = part.select(written.alias("entity")).distinct().withColumn("row_id", F.xxhash64("entity"))
+    people = people.select("row_id", "entity", F.lit("").alias("name"), F.lit("").alias("email"), F.lit("").alias("position"))
+    companies = part.groupBy(F.concat("p_name", F.lit(", Inc.")).alias("company")).agg(F.min("p_partkey").alias("ord"))
+    companies = companies.select("ord", "company", F.lit("u").alias("source_url"), F.lit("").alias("source_path"), F.lit("").alias("snippet"))
+    return matching.counts(matching.compared(people, companies))
 
 
 @query()
@@ -101,19 +90,19 @@ def fuzzy_best_match(spark, sf_dir):
     """Names with a letter lost, against the names."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     left = names.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("written"))
-    right = names.select("p_name", F.row_number().over(Window.orderBy("p_name")).alias("ord"))
+    right = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
     return matching.best_fuzzy(left, right, "written", "p_name", "ord", 85)
 
 
 @query("""
-    WITH i AS (SELECT DISTINCT p_type AS interest, split_part(p_name, ' ', 1) AS keyword FROM part WHERE p_size < 10),
+    WITH i AS (SELECT DISTINCT p_type AS interest, split_part(p_name, ' ', 1) AS keyword FROM part),
     n AS (SELECT DISTINCT p_name AS company FROM part),
     m AS (SELECT company, interest, min(keyword) AS k FROM n JOIN i ON contains(lower(company), lower(keyword)) GROUP BY ALL)
     SELECT company, string_agg(interest, '; ' ORDER BY interest) AS interests FROM m GROUP BY ALL""")
 def keyword_interest_match(spark, sf_dir):
     """J12, A10."""
     part = table(spark, sf_dir, "part")
-    words = part.filter("p_size < 10").select(F.col("p_type").alias("interest"), F.split("p_name", " ")[0].alias("keyword")).distinct()
+    words = part.select(F.col("p_type").alias("interest"), F.split("p_name", " ")[0].alias("keyword")).distinct()
     words = words.select("interest", F.col("interest").alias("interest_ord"), "keyword", F.col("keyword").alias("keyword_ord"))
     return matching.keyword_interests(part.select(F.col("p_name").alias("company")).distinct(), words).select("company", "interests")
 
@@ -128,14 +117,15 @@ def keyword_best_match(spark, sf_dir):
 
 
 @query(f"""
-    WITH p AS (SELECT DISTINCT array_to_string(string_split({_KEY.format("text")}, ' ')[1:4], ' ') AS phrase FROM benchmark),
+    WITH p AS (SELECT DISTINCT {_KEY.format("text")} AS phrase FROM benchmark
+               UNION SELECT DISTINCT array_to_string(string_split({_KEY.format("text")}, ' ')[1:3], ' ') FROM benchmark),
     d AS (SELECT doc_id, ' ' || {_KEY.format("text")} || ' ' AS t FROM documents)
     SELECT doc_id, phrase FROM d JOIN p ON contains(t, ' ' || phrase || ' ') WHERE length(phrase) >= 3""")
 def phrase_match_documents(spark, sf_dir):
-    """J6, J8, F3."""
-    words = F.slice(phrase.tokens("text"), 1, 4)
-    phrases = table(spark, sf_dir, "benchmark").select(F.array_join(words, " ").alias("p")).distinct()
-    return phrase.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", phrases, "p")
+    """Whole benchmark texts, and their first three words as names of a few words."""
+    items = table(spark, sf_dir, "benchmark").select("text")
+    names = items.select(F.array_join(F.slice(phrase.tokens("text"), 1, 3), " ").alias("text"))
+    return phrase.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items.union(names), "text")
 
 
 @query("""
@@ -203,14 +193,21 @@ def longest_link(spark, sf_dir):
     return clean.longest_link(rows, ["city", "source_url"], "o_orderkey")
 
 
-@query(f"""
-    WITH k AS (SELECT n_nationkey, n_regionkey, {_COMPANY.format("n_name")} AS k FROM nation)
-    SELECT n_nationkey FROM k a WHERE NOT EXISTS (
-      SELECT 1 FROM k b WHERE a.n_regionkey = b.n_regionkey AND length(b.k) > length(a.k) AND starts_with(b.k, a.k))""")
+@query()
 def more_complete_antijoin(spark, sf_dir):
-    """J15, the part that SQL can say: longer names that begin alike."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
-    return rows.join(matching.less_complete(rows, "n_nationkey", ["n_regionkey"], "n_name", threshold=101), "n_nationkey", "left_anti").select("n_nationkey")
+    """J15 on all parts: names of a type without another that is longer and begins alike or is close."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.lit("Works"))).alias("name"))
+    return rows.join(matching.less_complete(rows, "p_partkey", ["p_type"], "name"), "p_partkey", "left_anti").select("p_partkey", "name")
+
+
+@query(f"""
+    WITH k AS (SELECT DISTINCT p_type AS t, {_COMPANY.format("p_name || CASE WHEN p_size % 3 = 0 THEN ' ' || p_brand ELSE '' END")} AS k FROM part)
+    SELECT t AS p_type, k AS name FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE a.t = b.t AND length(b.k) > length(a.k) AND starts_with(b.k, a.k))""")
+def longer_name_antijoin(spark, sf_dir):
+    """J15, the part that SQL can say: longer names that begin alike (no score is above 100)."""
+    name = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")))
+    rows = table(spark, sf_dir, "part").select("p_type", tx.company_key(name).alias("name")).distinct().withColumn("row", F.concat_ws("|", "p_type", "name"))
+    return rows.join(matching.less_complete(rows, "row", ["p_type"], "name", threshold=101), "row", "left_anti").select("p_type", "name")
 
 
 @query("""
@@ -290,8 +287,7 @@ def status_machine_latest(spark, sf_dir):
 def stream_incremental_equals_batch(spark, sf_dir):
     """The log taken in as a stream, its state merged batch by batch."""
     batch = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = folder(spark)
     snapshots = incremental.Snapshots(spark, f"{root}/state", "user_id long, ts timestamp, event_id long, event_type string")
     order = F.struct("ts", "event_id")
     merge = lambda old, new: old.unionByName(new.select(old.columns)).groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type"), order).alias("e")).select("user_id", "e.*")
@@ -312,24 +308,6 @@ def url_features(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.host("url").alias("host"), web.document_url("url").alias("is_document"), web.recent_enough("url", 2020, 2027).alias("recent"), web.normal_url("url").alias("clean_url"))
 
 
-@query()
-def html_links(spark, sf_dir):
-    """X8."""
-    return html.links(table(spark, sf_dir, "pages"), "page_id", "url", "html")
-
-
-@query()
-def html_meeting_links(spark, sf_dir):
-    """X10."""
-    return html.meeting_links(html.links(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "page_id", most=25)
-
-
-@query()
-def html_plain_text(spark, sf_dir):
-    """S9."""
-    return table(spark, sf_dir, "pages").select("page_id", html.html_text("html").alias("text"))
-
-
 @query("""
     SELECT 'customer' AS source, c_name AS "last name", CAST(c_acctbal AS VARCHAR) AS email FROM customer WHERE contains(lower(trim(c_name)), '0012') OR contains(CAST(c_acctbal AS VARCHAR), '0012')
     UNION ALL SELECT 'supplier', s_name, NULL FROM supplier WHERE contains(lower(trim(s_name)), '0012')""")
@@ -424,11 +402,12 @@ def award_phrase_extract(spark, sf_dir):
     return awards.awards(docs).select("doc_key", name.alias("company_name"), "item_id", F.size("vote_ayes").cast("long").alias("n_ayes")).distinct()
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_key, source || ' Paving, LLC' AS company_name, '4.2' AS item_id, false AS has_negative_context FROM documents""")
 def award_phrases_in_documents(spark, sf_dir):
-    """X1 over the documents themselves."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.lit("").alias("site"), F.lit("document").alias("source_kind"), F.col("source").alias("source_path"), F.lit(None).cast("string").alias("source_url"), "text")
-    return awards.candidates(docs).select("doc_key", "pattern_no", "company_name", "item_id", "has_negative_context")
+    """X1 over all documents, each with an award behind its own text."""
+    award = F.concat(F.coalesce("text", F.lit("")), F.lit("\n4.2 Award a contract to "), "source", F.lit(" Paving, LLC, in an amount of $5.\n"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.lit("").alias("site"), F.lit("document").alias("source_kind"), F.col("source").alias("source_path"), F.lit(None).cast("string").alias("source_url"), award.alias("text"))
+    return awards.candidates(docs).select("doc_key", "company_name", "item_id", "has_negative_context")
 
 
 @query("""
@@ -441,10 +420,13 @@ def vote_rows_extract(spark, sf_dir):
     return votes.vote_rows(minutes).select(F.col("minutes_cache_key").alias("s_suppkey"), "vote_bucket", "politician_name", "matter_id", "result")
 
 
-@query()
+@query("""
+    SELECT doc_id AS minutes_cache_key, b AS vote_bucket, n AS politician_name, 'D-' || doc_id AS matter_id, r AS result FROM documents,
+      (VALUES ('Ayes', 'Ann Lee', ''), ('Ayes', 'Bo Diaz', ''), ('Noes', 'C. Fox', 'ADOPTED')) v(b, n, r)""")
 def vote_rows_in_documents(spark, sf_dir):
-    """X2 over the documents themselves."""
-    return votes.vote_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("minutes_cache_key"), "text"))
+    """X2 over all documents, each with a vote behind its own lines."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nFile No. D-"), "doc_id", F.lit(" Paving\nAyes:\nAnn Lee,\n Bo Diaz\nNoes:\nC. Fox and None\nThe resolution was Adopted."))
+    return votes.vote_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("minutes_cache_key"), text.alias("text"))).select("minutes_cache_key", "vote_bucket", "politician_name", "matter_id", "result")
 
 
 @query("SELECT " + ", ".join(f"(SELECT count(*) FROM {t}) AS {t}" for t in ("customer", "orders", "lineitem", "events", "documents", "pages")))
@@ -488,15 +470,15 @@ def distinct_owners(spark, sf_dir):
 
 
 @query("""
-    WITH h AS (SELECT DISTINCT p_brand AS name, p_name AS company_name FROM part WHERE p_size > 45),
-    d AS (SELECT p_partkey AS title, 'Lease of ' || p_name || ' goods' AS description FROM part WHERE p_type = 'PROMO')
-    SELECT name, company_name, title FROM h JOIN d ON contains(description, company_name)""")
+    WITH h AS (SELECT DISTINCT p_brand AS name, p_name AS company_name FROM part),
+    d AS (SELECT 'Lease of ' || p_name || ' goods' AS description, count(*) AS n FROM part GROUP BY ALL)
+    SELECT name, company_name, description, n AS items FROM h JOIN d ON contains(description, company_name)""")
 def agenda_conflicts(spark, sf_dir):
-    """J14."""
+    """Equal descriptions are one item with a count."""
     part = table(spark, sf_dir, "part")
-    officials = part.filter("p_size > 45").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set(F.struct(F.col("p_name").alias("company_name"), F.lit("stock").alias("interest_type"))).alias("interests"))
-    items = part.filter("p_type = 'PROMO'").select(F.col("p_partkey").alias("title"), F.concat(F.lit("Lease of "), F.col("p_name"), F.lit(" goods")).alias("description"))
-    return matching.agenda_conflicts(officials, items).select("name", "company_name", "title")
+    officials = part.groupBy(F.col("p_brand").alias("name")).agg(F.collect_set(F.struct(F.col("p_name").alias("company_name"), F.lit("stock").alias("interest_type"))).alias("interests"))
+    items = part.groupBy(F.concat(F.lit("Lease of "), F.col("p_name"), F.lit(" goods")).alias("description")).agg(F.count("*").alias("items"))
+    return matching.agenda_conflicts(officials, items).select("name", "company_name", "description", "items")
 
 
 @query("""

@@ -1,16 +1,19 @@
-"""Readers (survey S1-S8, S11-S15, S18, S21)."""
+"""Readers (survey S1-S8, S11-S15, S18, S21, A14)."""
 
 from __future__ import annotations
 
 import csv
+import io
 import os
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.clean import identifier
+from . import files, sheets
+
 MANIFEST = T.StructType([T.StructField(n, T.IntegerType() if n == "depth" else T.StringType()) for n in ("site", "url", "kind", "status", "meeting_date", "content_type", "local_path", "referrer", "depth", "error")])
 SHEETS = (".xls", ".xlsx", ".xlsm")
 
@@ -21,22 +24,18 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def chosen_sheet(names: Iterable[str]) -> str:
-    """The sheet called Schedule A-1 in any spelling, else the first."""
-    names = list(names)
-    if not names:
-        raise ValueError("the workbook is empty")
-    return next((n for n in names if re.sub("[^a-z0-9]", "", n.lower()) == "schedulea1"), names[0])
-
-
 def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The chosen sheet of a workbook, where pandas has a reader for it; else export its sheets as CSV."""
-    if not path.lower().endswith(SHEETS):
+    """The chosen sheet of a workbook; the old binary format is read by pandas where it has a reader for it."""
+    low = path.lower()
+    if not low.endswith(SHEETS):
         raise ValueError(f"{path} is no workbook")
+    if not low.endswith(".xls"):
+        return sheets.read(spark, path)
     import pandas as pd
 
-    book = pd.ExcelFile(path)
-    return spark.createDataFrame(book.parse(chosen_sheet(book.sheet_names), dtype=str))
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    book = pd.ExcelFile(io.BytesIO(content))
+    return spark.createDataFrame(book.parse(sheets.chosen_sheet(book.sheet_names), dtype=str))
 
 
 def spreadsheet(spark: SparkSession, path: str) -> DataFrame:
@@ -45,12 +44,17 @@ def spreadsheet(spark: SparkSession, path: str) -> DataFrame:
 
 def folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """S3: a frame for each sheet file of a folder by name, without lock files; or for a single file."""
-    if not os.path.isdir(path):
-        return {os.path.basename(path): spreadsheet(spark, path)}
-    names = sorted(n for n in os.listdir(path) if not n.startswith("~$") and n.lower().endswith((".csv", *SHEETS)))
+    if not files.is_folder(spark, path):
+        return {path.rstrip("/").rsplit("/", 1)[-1]: spreadsheet(spark, path)}
+    names = [n for n, _ in files.listed(spark, path) if not n.startswith("~$") and n.lower().endswith((".csv", *SHEETS))]
     if not names:
         raise ValueError(f"{path} holds no sheet files")
-    return {n: spreadsheet(spark, os.path.join(path, n)) for n in names}
+    return {n: spreadsheet(spark, files.child(path, n)) for n in names}
+
+
+def companies(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet with a Company column."""
+    return required(spreadsheet(spark, path), "Company")
 
 
 def required(df: DataFrame, *columns: str) -> DataFrame:
@@ -72,12 +76,12 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def sites(root: str) -> tuple[list[str], list[str]]:
+def sites(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
     """Sites below the root that have a manifest, sorted, and warnings for those without."""
-    if not os.path.isdir(root):
+    if not files.is_folder(spark, root):
         return [], [f"no such folder: {root}"]
-    names = sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n)))
-    have = [n for n in names if os.path.exists(os.path.join(root, n, "manifest.jsonl"))]
+    names = [n for n, is_folder in files.listed(spark, root) if is_folder]
+    have = [n for n in names if files.exists(spark, files.child(files.child(root, n), "manifest.jsonl"))]
     return have, [f"no manifest: {n}" for n in names if n not in have]
 
 
@@ -106,6 +110,19 @@ def base_tables(spark: SparkSession, schema: str, words: Iterable[str] = ()) ->
     return some or names
 
 
+def profile(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes below a path of CSV files, and their rows."""
+    return files.size(spark, path), spark.read.option("header", True).option("multiLine", True).csv(path).count()
+
+
+def table_rows(spark: SparkSession, name: str, schema: str | None = None, url: str | None = None, **options: str) -> DataFrame:
+    """A table of the catalog, or of a database by JDBC; names are checked first."""
+    full = ".".join(map(identifier, [schema, name] if schema else [name]))
+    if url is None:
+        return spark.table(full)
+    return spark.read.format("jdbc").options(url=url, dbtable=full, **options).load()
+
+
 def first_available(sources: Iterable[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """The first source that can be read, with its name as source_type."""
     failures = []
@@ -129,8 +146,7 @@ def entity_rows(spark: SparkSession, path: str) -> DataFrame:
     """Entities from JSON, or from CSV with the separator found in its first lines."""
     if path.lower().endswith(".json"):
         return spark.read.option("multiLine", True).json(path)
-    with open(path, encoding="utf-8", errors="replace") as f:
-        head = f.read(4096)
+    head = "\n".join(r["value"] for r in spark.read.text(path).limit(20).collect())[:4096]
     try:
         sep = csv.Sniffer().sniff(head, ",;|\t").delimiter
     except csv.Error:

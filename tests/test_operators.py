@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import awards, clean, crawl, filings, html, matching, phrase, store, votes
 from ledgerlight.plans import flows
-from ledgerlight.sources import readers, sinks
+from ledgerlight.sources import readers, sheets, sinks
 from ledgerlight.streaming import incremental
 
 
@@ -205,7 +207,7 @@ def test_company_rules(spark):
 
 def test_html(spark):
     pages = spark.createDataFrame([(1, "http://a/b/", '<p>x &amp; y</p><script>z</script><a href="m.pdf"><b>Minutes</b> 1</a><a href="#t">t</a><a href=\'/agenda\'>A</a><a href="m.pdf">again</a>')], "id int, url string, html string")
-    assert pages.select(html.html_text("html").alias("t")).first().t == "x & y\nz\nMinutes\n1\nt\nA\nagain"
+    assert pages.select(html.html_text("html").alias("t")).first().t == "x & y\nz\nMinutes\n 1\nt\nA\nagain"
     found = html.links(pages, "id", "url", "html")
     assert rows(found, "url", "label") == [("http://a/agenda", "A"), ("http://a/b/m.pdf", "Minutes 1"), ("http://a/b/m.pdf", "again")]
     assert rows(html.vote_links(found, "id"), "url", "kind") == [("http://a/b/m.pdf", "pdf")]
@@ -265,9 +267,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "s" / "a.csv").write_text("Email Address,x\na@b,1\n")
     (tmp_path / "s" / "~$a.csv").write_text("")
     assert list(readers.folder(spark, str(tmp_path / "s"))) == ["a.csv"]
-    assert readers.chosen_sheet(["One", "Schedule A-1"]) == "Schedule A-1" and readers.chosen_sheet(["One"]) == "One"
+    assert sheets.chosen_sheet(["One", "Schedule A-1"]) == "Schedule A-1" and sheets.chosen_sheet(["One"]) == "One"
     with pytest.raises(ValueError):
-        readers.chosen_sheet([])
+        sheets.chosen_sheet([])
     (tmp_path / "m.jsonl").write_text('{"url":"u","depth":1}\n\nbroken\n')
     assert readers.manifest(spark, str(tmp_path / "m.jsonl"), strict=False).count() == 1
     with pytest.raises(Exception, match="(?i)malformed"):
@@ -282,7 +284,9 @@ def test_files(spark, tmp_path):
     assert df.first().source_type == "csv"
     sinks.csv(spark.createDataFrame([], "a string, b array<string>"), str(tmp_path / "out.csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out.csv")).columns == ["a", "b"]
-    assert sinks.json_array(spark.createDataFrame([(2,), (1,)], "a int"), "a").first().json.split() == '[ { "a" : 1 }, { "a" : 2 } ]'.split()
+    lines = [r.value for r in sinks.json_array(spark.createDataFrame([(2,), (None,), (1,)], "a int"), "a").collect()]
+    assert json.loads("\n".join(lines)) == [{"a": None}, {"a": 1}, {"a": 2}]
+    assert json.loads("\n".join(r.value for r in sinks.json_array(spark.createDataFrame([], "a int"), "a").collect())) == []
     assert flows.statement(spark, "SELECT 1 AS one").first().one == 1
 
 
