@@ -126,8 +126,8 @@ def _names(r, n):
     out = set()
     while len(out) < n:
         name = " ".join(r.choice(words) for _ in range(r.randrange(1, 4)))
-        for _ in range(r.randrange(3)):
-            i = r.randrange(len(name) or 1)
+        for _ in range(r.randrange(min(3, len(name)))):
+            i = r.randrange(len(name))
             name = name[:i] + r.choice(["", "x", name[i] * 2]) + name[i + 1 :]
         if name.strip():
             out.add(" ".join(name.split()))
