@@ -49,6 +49,12 @@ def agency_is(column: str, agency: str | None) -> Column:
     return F.lit(True) if not (agency or "").strip() else F.lower(collapse(column)) == agency.strip().lower()
 
 
+#: A filing's payload as it is delivered, in JSON lines.
+PAYLOADS = (
+    "form700_cache_key string, payload struct<coverPage:struct<firstName:string,middleName:string,lastName:string,agencyName:string,position:string>,"
+    "a1Investments:array<struct<name:string>>,a2Entities:array<struct<name:string,realPropertyNameOrAddress:string,realPropertyDescription:string,singleSourceNames:array<string>>>,"
+    "bProperties:array<struct<parcelNumberOrAddress:string>>,cIncomes:array<struct<sourceName:string>>>"
+)
 # What each schedule's items are called.
 KINDS = {"A1": "investment", "A2": "business_entity", "A2_property": "business_entity_property", "A2_source": "business_entity_source", "B": "real_property", "C": "income"}
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, made once: written to the session's checkpoint folder where there is one, else kept with their lineage."""
+    """The same rows, made once, written to the checkpoint folder; only a local master without one keeps them in memory."""
     spark = df.sparkSession
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(base)
-        return df.checkpoint()
-    return df.persist()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.web import years_list
 from ..operators import awards, clean, filings, matching, phrase, store, votes
-from ..sources import readers, sinks
+from ..sources import feed, files, readers, sinks
 
 
 def votes_and_holdings(minutes: DataFrame, payloads: DataFrame, agency: str | None = None, least: float = 0.75) -> dict[str, DataFrame]:
@@ -54,10 +57,67 @@ def statement(spark: SparkSession, sql: str) -> DataFrame | None:
     return df if df.columns else None
 
 
-def main(argv: list[str] | None = None) -> None:
-    """Q5: sql STATEMENT | sheets PATH [--out FOLDER] [--tables fail|replace|append] | awards PATH --out FOLDER"""
-    parser = argparse.ArgumentParser(prog="ledgerlight")
-    sub = parser.add_subparsers(dest="command", required=True)
+def vote_run(spark: SparkSession, texts: str, payloads: str, out: str, agency: str = "", least: float = 0.75, known: str | None = None, reparse: bool = False) -> dict[str, int]:
+    """One cycle: minutes texts (a file each) and disclosure payloads (JSON lines) to CSV files below `out`; rows of each.
+
+    `known` is a folder of minutes keys that earlier cycles have taken in; those are left out unless `reparse` is set.
+    """
+    minutes = readers.texts(spark, texts).select(F.sha1(F.encode("path", "UTF-8")).alias("minutes_cache_key"), "text", F.lit("").alias("meeting_date"), F.element_at(F.split("path", "/"), -1).alias("body"))
+    if known and not reparse and files.exists(spark, known):
+        minutes = store.unseen(minutes, spark.read.parquet(known), "minutes_cache_key")
+    found = votes_and_holdings(minutes, spark.read.schema(filings.PAYLOADS).json(payloads), agency or None, least)
+    counts = {}
+    for name, df in found.items():
+        plain = df.select(*(c for c, t in df.dtypes if not t.startswith("struct")))
+        sinks.csv(plain, files.child(out, f"{name}.csv"), mode="overwrite")
+        counts[name] = plain.count()
+    if known:
+        minutes.select("minutes_cache_key").write.mode("append").parquet(known)
+    return counts
+
+
+def cycles(run: Callable[[], object], live: bool, minutes: float = 60.0, pause: Callable[[float], None] = time.sleep, most: int | None = None) -> int:
+    """Once, where an error ends the run; or live, again and again with a pause of a second at least, whatever fails."""
+    done = 0
+    while True:
+        try:
+            run()
+        except Exception as e:
+            if not live:
+                raise
+            print(f"the run failed: {e}", flush=True)
+        done += 1
+        if not live or most is not None and done >= most:
+            return done
+        pause(max(minutes * 60, 1))
+
+
+def keyword_run(spark: SparkSession, companies: str, interests: str, out: str, threshold: int = 90) -> DataFrame:
+    """A workbook's companies with their interests, written as a workbook."""
+    rows = readers.companies(spark, companies).select(F.col("Company").alias("company"))
+    done = matching.keyword_match(rows, readers.interests(spark, interests), threshold)
+    sinks.workbook(done, out)
+    return done
+
+
+def compare_run(spark: SparkSession, people: str, companies: str, out: str, threshold: int = 90) -> DataFrame:
+    """Officials' sheet against a companies' sheet: ranked matches as CSV."""
+    sheet = readers.spreadsheet(spark, people)
+    names = {clean.title(c).lower(): F.col(f"`{c}`") for c in sheet.columns}
+    of = lambda *wanted: next((names[w] for w in wanted if w in names), F.lit(""))
+    left = sheet.select(F.monotonically_increasing_id().alias("row_id"), of(*clean.ENTITY_COLUMNS, "company").alias("entity"), F.concat_ws(" ", of("first name"), of("last name")).alias("name"), of(*clean.EMAIL_COLUMNS).alias("email"), of("position").alias("position"))
+    right = readers.companies(spark, companies)
+    more = {clean.title(c).lower(): F.col(f"`{c}`") for c in right.columns}
+    extra = [more.get(c.replace("_", " "), more.get(c, F.lit(""))).alias(c) for c in ("source_url", "source_path", "snippet")]
+    ranked, counted = compare(left, right.select(F.monotonically_increasing_id().alias("ord"), F.col("Company").alias("company"), *extra), threshold)
+    sinks.csv(ranked, out, mode="overwrite")
+    return counted
+
+
+def parser() -> argparse.ArgumentParser:
+    """Q5: the commands and their options."""
+    top = argparse.ArgumentParser(prog="ledgerlight")
+    sub = top.add_subparsers(dest="command", required=True)
     sub.add_parser("sql").add_argument("statement")
     sheets = sub.add_parser("sheets")
     sheets.add_argument("path")
@@ -66,7 +126,32 @@ def main(argv: list[str] | None = None) -> None:
     found = sub.add_parser("awards")
     found.add_argument("path")
     found.add_argument("--out", required=True)
-    args = parser.parse_args(argv)
+    voted = sub.add_parser("votes")
+    voted.add_argument("texts")
+    voted.add_argument("payloads")
+    voted.add_argument("--out", default="votes")
+    voted.add_argument("--agency", default="")
+    voted.add_argument("--min-confidence", type=float, default=0.75)
+    voted.add_argument("--known")
+    voted.add_argument("--reparse", action="store_true")
+    voted.add_argument("--live", action="store_true")
+    voted.add_argument("--live-interval-minutes", type=float, default=60.0)
+    for name in ("compare", "keywords"):
+        one = sub.add_parser(name)
+        one.add_argument("left")
+        one.add_argument("right")
+        one.add_argument("--out", required=True)
+        one.add_argument("--threshold", type=int, default=90)
+    crawled = sub.add_parser("events")
+    crawled.add_argument("base")
+    crawled.add_argument("--body", required=True)
+    crawled.add_argument("--years", required=True)
+    crawled.add_argument("--out", required=True)
+    return top
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "sql":
         if (df := statement(spark, args.statement)) is not None:
@@ -74,6 +159,15 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "sheets":
         for df in spreadsheets(spark, args.path, args.out, args.tables).values():
             df.show(5)
+    elif args.command == "votes":
+        cycles(lambda: print(vote_run(spark, args.texts, args.payloads, args.out, args.agency, args.min_confidence, args.known, args.reparse), flush=True), args.live, args.live_interval_minutes)
+    elif args.command == "compare":
+        compare_run(spark, args.left, args.right, args.out, args.threshold).show()
+    elif args.command == "keywords":
+        keyword_run(spark, args.left, args.right, args.out, args.threshold)
+    elif args.command == "events":
+        found = [feed.events(spark, args.base, args.body, year) for year in years_list(args.years) or []]
+        sinks.csv(clean.union_all(*found), args.out, mode="overwrite")
     else:
         docs = readers.texts(spark, args.path).select(F.col("path").alias("doc_key"), F.lit("").alias("site"), F.lit("document").alias("source_kind"), F.col("path").alias("source_path"), F.lit(None).cast("string").alias("source_url"), "text")
         sinks.csv(awards.awards(docs).drop("ord"), args.out)
