@@ -107,7 +107,3 @@ def _column(score):
 
 def token_set_score(a: Column, b: Column) -> Column:
     return _column(token_set_ratio)(a, b)
-
-
-def weighted_score(a: Column, b: Column) -> Column:
-    return _column(weighted_ratio)(a, b)

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_set_score, weighted_score
+from ..functions.fuzzy import token_set_score, weighted_ratio
 from ..functions.text import company_key, null_to_blank
 
 #: Signs of a name's beginning by which longer names that begin with it are found.
 PREFIX = 8
-#: Above this many rows the small side is no longer sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast if a count, cut off at the bound, shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Keywords that are held against all names at once.
+KEYWORDS = 20_000
 
 
 def exact(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -163,14 +162,39 @@ def keyword_match(companies: DataFrame, interests: DataFrame, threshold: int = 9
     hit = keyword_interests(companies, interests, name).withColumn("score", F.lit(100))
     rest = companies.select(name).filter(F.length(F.trim(null_to_blank(name))) > 0).distinct().join(hit.select(name), name, "left_anti")
     words = interests.select(F.lower(F.trim("keyword")).alias("_k")).filter("_k <> ''").distinct()
-    met = rest.join(small(words)).withColumn("score", weighted_score(F.lower(F.trim(F.col(name))), F.col("_k")))
-    best = met.groupBy(name).agg(F.max("score").alias("score"), F.min_by("_k", F.struct(-F.col("score"), F.col("_k"))).alias("keywords"))
+    best = best_keywords(rest, name, words)
     of = interests.select(F.lower(F.trim("keyword")).alias("keywords"), "interest", "interest_ord").groupBy("keywords", "interest").agg(F.min("interest_ord").alias("o"))
     joined = of.groupBy("keywords").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "interest"))), lambda x: x["interest"]), "; ").alias("_i"))
     near = best.join(joined, "keywords", "left").select(name, F.when(F.col("score") >= threshold, F.col("_i")).otherwise("").alias("interests"), "keywords", "score")
     return hit.unionByName(near)
 
 
+def best_keywords(names: DataFrame, name: str, words: DataFrame) -> DataFrame:
+    """The keyword (column _k) with the highest weighted ratio for each name, the first in order on a tie, whatever the score.
+
+    The dictionary is the stated set: it is held against all names in blocks of KEYWORDS, one block sent along at a time.
+    """
+    spark, found = names.sparkSession, None
+    listed = (r["_k"] for r in words.orderBy("_k").toLocalIterator())
+    while block := list(itertools.islice(listed, KEYWORDS)):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for written in frame[name]:
+                    plain = written.strip(" ").lower()
+                    score, place = max((int(weighted_ratio(plain, k)), -i) for i, k in enumerate(sent.value))
+                    rows.append((written, score, sent.value[-place]))
+                yield pd.DataFrame(rows, columns=[name, "score", "keywords"])
+
+        part = names.select(name).mapInPandas(run, f"`{name}` string, score int, keywords string")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return names.select(name, F.lit(0).alias("score"), F.lit(None).cast("string").alias("keywords"))
+    return found.groupBy(name).agg(F.max("score").alias("score"), F.min_by("keywords", F.struct(-F.col("score"), F.col("keywords"))).alias("keywords"))
+
+
 def agenda_conflicts(officials: DataFrame, items: DataFrame) -> DataFrame:
     """A company of an official's interests stands, case and all, in an agenda item's description.
 
