@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, blank_to_null, null_to_blank
@@ -137,10 +137,13 @@ def sheet(df: DataFrame, order: str, empty_rows: bool = False) -> DataFrame:
 
 
 def keep_longest(df: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
-    """A4: of rows with equal keys (nulls equal) the one with the longest text, then the first; `first_seen` is the earliest."""
-    w = Window.partitionBy(*keys)
-    best = w.orderBy(F.desc(F.length(name)), order)
-    return df.withColumn("first_seen", F.min(order).over(w)).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    """A4: of rows with equal keys (nulls equal) the one with the longest text, then the first; `first_seen` is the earliest.
+
+    Rows are compared as they are met, so a key that many rows have is summed up before it moves.
+    """
+    best = F.min_by(F.struct(*map(_q, df.columns)), F.struct(F.coalesce(-F.length(name), F.lit(1)), order))
+    grouped = df.groupBy(*(_q(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(best.alias("_best"), F.min(order).alias("first_seen"))
+    return grouped.select("_best.*", "first_seen")
 
 
 def longest_link(df: DataFrame, keys: list[str], order: str) -> DataFrame:
