@@ -11,8 +11,8 @@ probabilities, so -score / log10(2) / bytes is the code length per byte.
 
 Counts cover every training text.  Blocks sum up their own contexts and words,
 even ranges of the keys sum up the blocks, and trees are built from the sums in
-parts that share their most recent byte and a class of the byte before.  Parts
-meet only in the two shallowest depths, 256 * 255 decisions at most.  Each
+parts of about PART_CODES contexts, whole classes of the two most recent bytes.
+Parts meet only in the two shallowest depths, 256 * 255 decisions at most.  Each
 block is answered for the contexts and words that it holds, so no task ever
 holds the whole model.
 
@@ -25,6 +25,7 @@ empty table.  Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from . import blocks as bl
-from .shared import written
+from .shared import drop, written
 
 DEPTH = 5
 #: Stands for the beginning and the end of a text; no UTF-8 text holds this byte.
@@ -41,14 +42,10 @@ MARK = 0xFF
 HELD_OUT, FOLDS = 2, 7
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _U = np.uint64
-_ASK = pa.schema([("words", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary()), ("texts", pa.int64())])
-_ASK_DDL = "words boolean, rng int, block int, n int, keys binary, value binary, texts long"
 _PART = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary())])
 _PART_DDL = "part int, n int, keys binary, value binary"
 _MODEL = pa.schema([("rng", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("value", pa.binary())])
 _MODEL_DDL = "rng int, n int, keys binary, value binary"
-_TOLD = pa.schema([("words", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("value", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64())])
-_TOLD_DDL = "words boolean, rng int, block int, n int, value binary, known long, tokens long"
 _TOP = pa.schema([("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("below", pa.float64())])
 _TOP_DDL = "node int, zeros long, ones long, below double"
 
@@ -237,14 +234,19 @@ def _tally(keys: np.ndarray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _counted([(a, n), (b, np.zeros(len(b), np.int64))])
 
 
-def ranged(codes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """Codes by range, in order inside each, and the ranges; those with the same older context share a range."""
+def ranged(codes: np.ndarray, ranges: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """How codes are dealt: by range, in order inside each; those with the same older context share a range."""
     rng = (at.fmix(codes >> _U(16)) >> _U(32)) * _U(ranges) >> _U(32)
     order = np.argsort(rng, kind="stable")
     begin = bl.firsts(rng[order])
     return order, [(int(rng[order[a]]), slice(int(a), int(b))) for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True)]
 
 
+#: Words and codes with their counts; the number of training texts.
+WORDS, CODES, TEXTS = 0, 1, 2
+KINDS = {WORDS: bl.Kind(reduce=("sum",)), CODES: bl.Kind(reduce=("sum",), real=True, deal=ranged)}
+
+
 def _tallied(table: pa.Table, learns: np.ndarray, depth: int) -> tuple[tuple, tuple]:
     none = (np.zeros(0, _U), np.zeros(0, np.int64))
     words, codes = none, none
@@ -257,21 +259,23 @@ def _tallied(table: pa.Table, learns: np.ndarray, depth: int) -> tuple[tuple, tu
     return words, codes
 
 
-def _ask(ranges: int, depth: int):
+def _ask(p: bl.Plan, depth: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table, block = bl.in_order(table), key[0].as_py()
         learns = trained(bl.doc_ids(table.column("doc_id")))
         (keys, n), (codes, m) = _tallied(table, learns, depth)
-        rows = [(True, r, block, x.stop - x.start, bl.packed(keys[x]), bl.plain(n[x]), 0) for r, x in bl.by_range(keys, ranges)]
-        rows.append((True, -1, block, 0, b"", b"", int(learns.sum())))
-        order, cuts = ranged(codes, ranges)
-        codes, m = codes[order], m[order]
-        rows += [(False, r, block, x.stop - x.start, bl.packed(codes[x]), bl.plain(m[x]), 0) for r, x in cuts]
-        return bl.table(rows, _ASK)
+        rows = bl.ask(KINDS, WORDS, block, p.first, keys, None, [n]) + bl.ask(KINDS, CODES, block, p.first, codes, None, [m])
+        return bl.table([*rows, (TEXTS, -1, block, int(learns.sum()), b"", b"", [])], bl.ASK)
 
     return ask
 
 
+def word_sums(words: bl.Merged) -> tuple:
+    """Distinct words and tokens of the training texts, in a range."""
+    n = words.values[0]
+    return int((n > 0).sum()), b"", b"", [bl.plain(np.array([n.sum()], _U))]
+
+
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All distinct keys of a group's rows with their summed counts."""
     size = table.column("n").to_pylist()
@@ -280,20 +284,52 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _counted(parts)
 
 
+#: Distinct codes that a part of the trees holds, about.
+PART_CODES = 1 << 20
+
+
 def _part_of(codes: np.ndarray, depth: int) -> np.ndarray:
-    """The most recent byte and three bits of the one before."""
-    return (codes >> _U(8 * (depth - 1) + 5)).astype(np.int64)
+    """The two most recent bytes: no node of depth 2 or more lies in two such classes."""
+    return (codes >> _U(8 * (depth - 1))).astype(np.int64)
 
 
-def _summed(depth: int):
-    def summed(table: pa.Table) -> pa.Table:
-        codes, n = _gathered(table)
-        part = _part_of(codes, depth)
-        begin = bl.firsts(part)
-        rows = [(int(part[a]), int(b - a), bl.packed(codes[a:b]), bl.plain(n[a:b])) for a, b in zip(begin, np.append(begin[1:], len(codes)), strict=True)]
-        return bl.table(rows, _PART)
+def _summed(table: pa.Table) -> pa.Table:
+    m = bl.merged(KINDS[CODES], bl.asked(KINDS[CODES], table))
+    return bl.table([(table.column("rng")[0].as_py(), len(m.keys), bl.packed(m.keys), bl.plain(m.values[0]))], _MODEL)
+
+
+def _sizes(depth: int):
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, keys in zip(batch.column("n").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                part, size = np.unique(_part_of(bl.unpacked(keys, n), depth), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(size)], ["pair", "codes"])
 
-    return summed
+    return sizes
+
+
+def parted(sizes: np.ndarray, most: int) -> np.ndarray:
+    """A part for each pair of recent bytes: neighbours share one while it has at most so many codes; a larger pair is alone."""
+    part, held, out = 0, 0, np.zeros(len(sizes), np.int32)
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            part, held = part + 1, 0
+        out[i] = part
+        held += n
+    return out
+
+
+def _split(depth: int, part_of_pair: np.ndarray):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, keys, value in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "value")), strict=True):
+                codes, counts = bl.unpacked(keys, n), bl.unplain(value, n)
+                part = part_of_pair[_part_of(codes, depth)]  # rises with the codes
+                begin = bl.firsts(part)
+                rows = [(int(part[a]), int(b - a), bl.packed(codes[a:b]), bl.plain(counts[a:b])) for a, b in zip(begin, np.append(begin[1:], n), strict=True)]
+                yield from bl.table(rows, _PART).to_batches()
+
+    return split
 
 
 def _part_tops(depth: int):
@@ -315,28 +351,19 @@ def _model(ranges: int, depth: int, tops: list[Top]):
     return model
 
 
-def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
-    r = key[0].as_py()
-    keys, n = _gathered(table)
-    rows = []
-    for x in table.select(["block", "n", "keys"]).to_pylist():
-        rows.append((True, r, x["block"], x["n"], bl.plain(n[np.searchsorted(keys, bl.unpacked(x["keys"], x["n"]))]), 0, 0))
-    return bl.table([*rows, (True, r, -1, 0, b"", int((n > 0).sum()), int(n.sum()))], _TOLD)
-
-
 def _answer_codes(key: tuple, table: pa.Table, model: pa.Table) -> pa.Table:
-    r = key[0].as_py()
+    """The probabilities of each piece's codes."""
     own = [(bl.unpacked(x["keys"], x["n"]), np.frombuffer(x["value"], np.float32)) for x in model.to_pylist()]
     codes, p = (np.concatenate(x) for x in zip(*own, strict=True))
     order = np.argsort(codes)
     codes, p = codes[order], p[order]
     rows = []
-    for x in table.select(["block", "n", "keys"]).to_pylist():
-        rows.append((False, r, x["block"], x["n"], p[np.searchsorted(codes, bl.unpacked(x["keys"], x["n"]))].tobytes(), 0, 0))
-    return bl.table(rows, _TOLD)
+    for x in table.select(["asker", "n", "keys"]).to_pylist():
+        rows.append((CODES, key[0].as_py(), x["asker"], x["n"], b"", b"", [p[np.searchsorted(codes, bl.unpacked(x["keys"], x["n"]))].tobytes()]))
+    return bl.table(rows, bl.ASK)
 
 
-def _score(ranges: int, depth: int, texts: int, tokens: int, distinct: int):
+def _score(p: bl.Plan, depth: int, texts: int, tokens: int, distinct: int):
     total, kinds = tokens + texts, distinct + (texts > 0)
     base = np.log10(total + kinds + 1)
 
@@ -345,8 +372,8 @@ def _score(ranges: int, depth: int, texts: int, tokens: int, distinct: int):
         ids = bl.doc_ids(table.column("doc_id"))
         told = told.sort_by("rng").to_pylist()
         (word_keys, _), (code_keys, _) = _tallied(table, np.ones(len(ids), bool), depth)
-        word_n = np.concatenate([np.zeros(0, np.int64), *(bl.unplain(r["value"], r["n"]).astype(np.int64) for r in told if r["words"])])
-        codes = Found(code_keys[ranged(code_keys, ranges)[0]], np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["value"], np.float32) for r in told if not r["words"])]))
+        word_n = np.concatenate([np.zeros(0, np.int64), *(bl.unplain(r["vals"][0], r["n"]).astype(np.int64) for r in told if r["kind"] == WORDS)])
+        codes = Found(code_keys[ranged(code_keys, p.first)[0]], np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["vals"][0], np.float32) for r in told if r["kind"] == CODES)]))
         out = []
         for row, end, raw, offsets in at.pieces(table.column("text")):
             low = at.LOWER[raw]
@@ -372,20 +399,28 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
-    count = bl.block_count(docs)
-    ranges = bl.range_count(count)
-    by_block = bl.blocked(docs, count).groupBy("block")
-    asked = written(by_block.applyInArrow(_ask(ranges, depth), _ASK_DDL))
-    code_lists, word_lists = asked.filter("not words"), asked.filter("words and rng >= 0")
-    summed = written(code_lists.groupBy("rng").applyInArrow(_summed(depth), _PART_DDL))
+    p = bl.plan(bl.block_count(docs))
+    by_block = bl.blocked(docs, p.blocks).groupBy("block")
+    asks = written(by_block.applyInArrow(_ask(p, depth), bl.ASK_DDL))
+    code_asks = asks.filter(F.col("kind") == CODES)
+    fine = bl.up(code_asks, KINDS, p)
+    fine = written(fine) if p.wide else fine
+    summed = written(fine.groupBy("rng").applyInArrow(_summed, _MODEL_DDL))
+    # the number of codes of each of 65,536 pairs of recent bytes comes to the driver, which deals them into parts
+    found = summed.mapInArrow(_sizes(depth), "pair long, codes long").groupBy("pair").agg(F.sum("codes").alias("codes")).toPandas()
+    sizes = np.zeros(1 << 16, np.int64)
+    sizes[found["pair"].to_numpy()] = found["codes"].to_numpy()
+    parts = written(summed.mapInArrow(_split(depth, parted(sizes, PART_CODES)), _PART_DDL))
+    drop(summed)
     # at most 255 decisions for each of 256 recent bytes
-    at_top = summed.groupBy("part").applyInArrow(_part_tops(depth), _TOP_DDL).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
+    at_top = parts.groupBy("part").applyInArrow(_part_tops(depth), _TOP_DDL).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
     tops = top(*(at_top[c].to_numpy() for c in ("node", "zeros", "ones", "below")))
-    model = summed.groupBy("part").applyInArrow(_model(ranges, depth, tops), _MODEL_DDL)
-    for_codes = code_lists.groupBy("rng").cogroup(model.groupBy("rng")).applyInArrow(_answer_codes, _TOLD_DDL)
-    for_words = written(word_lists.groupBy("rng").applyInArrow(_answer_words, _TOLD_DDL))
-    texts = asked.filter("rng = -1").agg(F.sum("texts")).first()[0] or 0
-    sums = for_words.filter("block = -1").agg(F.sum("known").alias("known"), F.sum("tokens").alias("tokens")).first()
-    final = _score(ranges, depth, int(texts), int(sums["tokens"] or 0), int(sums["known"] or 0))
-    told = for_words.filter("block >= 0").unionByName(for_codes)
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(final, RESULT)
+    model = parts.groupBy("part").applyInArrow(_model(p.ranges, depth, tops), _MODEL_DDL)
+    for_codes = fine.groupBy("rng").cogroup(model.groupBy("rng")).applyInArrow(_answer_codes, bl.ASK_DDL)
+    for_codes = bl.down(code_asks, for_codes, KINDS, p, {CODES: bl.tell_all})
+    for_words = written(bl.exchange(asks.filter(F.col("kind") == WORDS), KINDS, p, {WORDS: bl.tell_all}, {WORDS: word_sums}))
+    texts = asks.filter(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
+    sums = [(r["n"], int(bl.unplain(bytes(r["vals"][0]), 1)[0])) for r in for_words.filter("asker = -1").select("n", "vals").collect()]  # a row for each range
+    final = _score(p, depth, int(texts), sum(t for _, t in sums), sum(n for n, _ in sums))
+    told = for_words.filter("asker >= 0").unionByName(for_codes)
+    return by_block.cogroup(told.groupBy("asker")).applyInArrow(final, RESULT)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from . import blocks as bl
 from .components import components
-from .shared import written
+from .shared import drop, written
 
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Largest number of shared prefix shingles that may be asked for, and what checking a candidate costs against meeting a posting.
@@ -42,9 +42,14 @@ MOST_MATCHES, CHECK_COST = 4, 20
 LEADER_ROUNDS, PAIRS_PER_POSTING = 3, 4
 #: Leaders that a document is held against in a round.
 LEADERS = 4
+#: Shingles for each shuffle partition, at most, whose rows are not dealt by the shingle.
+HOT = 4
+#: Rows that any shingle may have without being hot.
+FEW = 64
 _U = np.uint64
-_ASK = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("value", pa.binary()), ("rows", pa.binary())])
-_TOLD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("sets", pa.bool_()), ("n", pa.int32()), ("bits", pa.binary()), ("value", pa.binary())])
+#: Shingles with the documents that hold each; whole sets with their smallest document and their rows.
+SHINGLES, SETS = 0, 1
+KINDS = {SHINGLES: bl.Kind(shift=24, reduce=("sum",)), SETS: bl.Kind(more=True, reduce=("min", "sum"))}
 _POST = pa.schema([("doc", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("asks", pa.int32()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("place", pa.list_(pa.int32()))])
 
 
@@ -112,53 +117,20 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return -(-n * NUM // DEN)
 
 
-def _ask(ranges: int):
+def _ask(p: bl.Plan):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         s, block = Sets(table), key[0].as_py()
         keys, docs, _ = s.keys()
-        rows = [(r, block, False, x.stop - x.start, bl.packed(keys[x] >> _U(24)), b"", bl.plain(docs[x]), b"") for r, x in bl.by_range(keys, ranges)]
         one, two, least, _, n_rows = s.classes()
-        rows += [(r, block, True, x.stop - x.start, bl.packed(one[x]), bl.plain(two[x]), bl.plain(least[x].view(_U)), bl.plain(n_rows[x])) for r, x in bl.by_range(one, ranges)]
-        return bl.table(rows, _ASK)
+        return bl.table(bl.ask(KINDS, SHINGLES, block, p.first, keys, None, [docs]) + bl.ask(KINDS, SETS, block, p.first, one, two, [least, n_rows]), bl.ASK)
 
     return ask
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """How many documents hold each key that more than one holds; the smallest id and the size of each class."""
-    rows = []
-    for kind in (False, True):
-        some = [r for r in table.to_pylist() if r["sets"] == kind]
-        if not some:
-            continue
-        parts = [bl.unpacked(r["keys"], r["n"]) for r in some]
-        every, value = np.concatenate(parts), np.concatenate([bl.unplain(r["value"], r["n"]) for r in some])
-        if kind:
-            more = np.concatenate([bl.unplain(r["more"], r["n"]) for r in some])
-            order = np.lexsort((more, every))
-            new = np.ones(len(order), bool)
-            new[1:] = (every[order][1:] != every[order][:-1]) | (more[order][1:] != more[order][:-1])
-            begin = np.flatnonzero(new)
-            found = np.minimum.reduceat(value[order].view(np.int64), begin).view(_U)
-            n_rows = np.concatenate([bl.unplain(r["rows"], r["n"]) for r in some])
-            size = np.empty(len(order), _U)
-            size[order] = np.repeat(np.add.reduceat(n_rows[order], begin), np.diff(np.append(begin, len(order))))
-        else:
-            order = np.argsort(every, kind="stable")
-            begin = bl.firsts(every[order])
-            found = np.add.reduceat(value[order], begin)
-        each = np.empty(len(order), _U)
-        each[order] = np.repeat(found, np.diff(np.append(begin, len(order))))
-        i = 0
-        for r in some:
-            mine, at_row = each[i : i + r["n"]], i
-            i += r["n"]
-            if kind:
-                rows.append((r["block"], key[0].as_py(), True, r["n"], bl.plain(size[at_row:i]), bl.plain(mine)))
-            else:
-                shared = mine > 1
-                rows.append((r["block"], key[0].as_py(), False, r["n"], np.packbits(shared).tobytes(), bl.plain(mine[shared])))
-    return bl.table(rows, _TOLD)
+def tell_counts(piece: bl.Piece, docs: list[np.ndarray]) -> tuple:
+    """How many documents hold each key that more than one holds."""
+    shared = docs[0] > 1
+    return len(piece.keys), np.packbits(shared).tobytes(), b"", [bl.plain(docs[0][shared])]
 
 
 def choose(others: np.ndarray, base: int) -> int:
@@ -185,13 +157,13 @@ def _post(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
     count = np.ones(len(s.keys()[0]), np.int64) if not told else None
     shares, reps, class_rows = [], [], []
     for r in told:
-        if r["sets"]:
-            reps.append(bl.unplain(r["value"], r["n"]))
-            class_rows.append(bl.unplain(r["bits"], r["n"]))
+        if r["kind"] == SETS:
+            reps.append(bl.unplain(r["vals"][0], r["n"]))
+            class_rows.append(bl.unplain(r["vals"][1], r["n"]))
         else:
-            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
+            bits = np.unpackbits(np.frombuffer(r["keys"], np.uint8), count=r["n"]).astype(bool)
             part = np.ones(r["n"], np.int64)
-            part[bits] = bl.unplain(r["value"], int(bits.sum()))
+            part[bits] = bl.unplain(r["vals"][0], int(bits.sum()))
             shares.append(part)
     if count is None:
         count = np.concatenate([np.zeros(0, np.int64), *shares])
@@ -255,12 +227,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_check, "a long, b long")
 
 
-def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _hot(rows: DataFrame) -> DataFrame:
+    """Shingles with more rows than a task should take alone: so many rows make at most HOT shingles for each shuffle partition."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(FEW, rows.count() // (HOT * partitions))
+    return written(rows.groupBy("shingle").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > most))
+
+
+def _joined(rows: DataFrame, few: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with what `few` says of their shingle, a row for each; rows of hot shingles, which are few, stay where they are."""
+    known = F.broadcast(hot.select("shingle"))
+    cold = rows.join(known, "shingle", "left_anti").join(few, "shingle")
+    return cold.unionByName(rows.join(F.broadcast(few.join(known, "shingle", "left_semi")), "shingle"))
+
+
+def _labelled(postings: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """Postings of shingles that still join several components, with their documents' components and the largest of each shingle."""
     rows = postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("label", "doc")).drop("label")
     sizes = rows.groupBy("shingle", "part").agg(F.count("*").alias("m"))
     most = sizes.groupBy("shingle").agg(F.max(F.struct("m", F.col("part"))).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    return rows.join(most.select("shingle", F.col("top.part").alias("main"), (F.col("all") - F.col("top.m")).alias("others"), "all"), "shingle")
+    return _joined(rows, most.select("shingle", F.col("top.part").alias("main"), (F.col("all") - F.col("top.m")).alias("others"), "all"), hot)
 
 
 def _voted(met: DataFrame, most: int) -> DataFrame:
@@ -271,14 +257,14 @@ def _voted(met: DataFrame, most: int) -> DataFrame:
     return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _leaders(rows: DataFrame, turn: int) -> DataFrame:
+def _leaders(rows: DataFrame, turn: int, hot: DataFrame) -> DataFrame:
     """For each document outside its shingles' largest component, some documents inside to be held against.
 
     Leaders are drawn anew in each turn, shingle by shingle, from the documents with few shingles of their own.
     """
     few = F.floor(F.col("shared") * 20 / F.col("n"))
     lead = rows.filter("part = main").groupBy("shingle").agg(F.max_by("doc", F.struct(few, F.xxhash64("doc", "shingle", F.lit(turn)))).alias("b"))
-    return _voted(rows.filter("part <> main").join(lead, "shingle").select(F.col("doc").alias("a"), "b"), LEADERS)
+    return _voted(_joined(rows.filter("part <> main"), lead, hot).select(F.col("doc").alias("a"), "b"), LEADERS)
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -300,30 +286,37 @@ def _across(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All documents (doc, rep, n, ...) and verified links between class representatives, enough to join every component."""
-    count = bl.block_count(docs)
-    by_block = bl.blocked(docs, count).groupBy("block")
-    ddl = lambda s: ", ".join(f"{f.name} { {pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary', pa.bool_(): 'boolean', pa.list_(pa.int64()): 'array<long>', pa.list_(pa.int32()): 'array<int>'}[f.type]}" for f in s)
-    told = by_block.applyInArrow(_ask(bl.range_count(count)), ddl(_ASK)).groupBy("rng").applyInArrow(_answer, ddl(_TOLD))
-    posted = written(by_block.cogroup(told.groupBy("block")).applyInArrow(_post, ddl(_POST)))
+    p = bl.plan(bl.block_count(docs))
+    by_block = bl.blocked(docs, p.blocks, together=True).groupBy("block")
+    asks = by_block.applyInArrow(_ask(p), bl.ASK_DDL)
+    told = bl.exchange(written(asks) if p.wide else asks, KINDS, p, {SHINGLES: tell_counts, SETS: bl.tell_all})
+    ddl = ", ".join(f"{f.name} { {pa.int64(): 'long', pa.int32(): 'int', pa.binary(): 'binary', pa.list_(pa.int64()): 'array<long>', pa.list_(pa.int32()): 'array<int>'}[f.type]}" for f in _POST)
+    posted = written(by_block.cogroup(told.groupBy("asker")).applyInArrow(_post, ddl))
     sets = posted.filter("shingles is not null")
     prefixes = sets.select("doc", "n", "shared", "asks", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("doc", "n", "shared", "asks", F.col("p.prefix").alias("shingle"), F.col("p.place").alias("place"))
     # only shingles that stand in two prefixes lead to candidates
     # the leader of a shingle is the document with the fewest shingles of its own, which most copies of a family are close to
     met = prefixes.groupBy("shingle").agg(F.max_by("doc", F.struct(F.col("shared") / F.col("n"), -F.col("doc"))).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    postings = written(prefixes.join(met, "shingle"))
+    hot = _hot(prefixes)
+    postings = written(_joined(prefixes, met, hot))
     found = written(verified(_voted(postings.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")), LEADERS), sets))
-    postings = postings.drop("lead")
+    met_by, rows = postings, postings.drop("lead")
     for turn in range(1, LEADER_ROUNDS + 1):
-        postings = written(_labelled(postings, components(found)))
+        labels = components(found)
+        postings = written(_labelled(rows, labels, hot))
+        drop(met_by, labels)
+        met_by, rows = postings, postings.select("doc", "n", "shared", "asks", "shingle", "place")
         size = postings.groupBy("shingle").agg(F.max(F.col("others") * F.col("all")).alias("pairs"), F.count("*").alias("n")).agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
             break
         last = turn == LEADER_ROUNDS or size["pairs"] <= PAIRS_PER_POSTING * size["n"]
-        pairs = _across(postings) if last else _leaders(postings, turn)
-        found = written(found.unionByName(verified(pairs, sets)))
+        pairs = _across(postings) if last else _leaders(postings, turn, hot)
+        more = written(found.unionByName(verified(pairs, sets)))
+        drop(found)
+        found = more
         if last:
             break
-        postings = postings.select("doc", "n", "shared", "asks", "shingle", "place")
+    drop(met_by, hot)
     return posted, found
 
 

@@ -70,6 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) END AS g FROM w),
+        k AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS h FROM s),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM k x JOIN k y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM b JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a)
+        SELECT id AS doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(root) AS component_id FROM r JOIN s ON id = s.doc_id GROUP BY id""",
     "op3_chat_format": chat.oracle(),
     "op4_exact_dedup": """
         WITH n AS (

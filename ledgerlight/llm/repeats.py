@@ -39,18 +39,14 @@ from .shared import written
 WINDOW, ROUNDS = 13, 2
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _U = np.uint64
-_ASK = pa.schema([("names", pa.bool_()), ("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("check", pa.binary())])
-_HELD = pa.schema([("names", pa.bool_()), ("block", pa.int32()), ("rng", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
-_MIN = pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("least", pa.binary()), ("most", pa.binary())])
-_TOLD = pa.schema([("block", pa.int32()), ("rng", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("least", pa.binary())])
+#: Places in a block: what one Arrow column of text can hold.
+_I = np.int32
+#: Names with a check each; interiors; windows with the smallest and the largest document that holds each.
+NAMES, INTERIORS, WINDOWS = 0, 1, 2
+KINDS = {NAMES: bl.Kind(more=True), INTERIORS: bl.Kind(shift=24, reduce=("sum",)), WINDOWS: bl.Kind(more=True, reduce=("min", "max"), delta=True)}
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
-
-
 class Names:
     """Names given so far in a block, each with a check of what it stands for; clashing names are mixed with the check."""
 
@@ -87,12 +83,13 @@ class Level:
 
     def __init__(self, names, own, begin=None, right=None, left=None):
         self.names, self.own, self.begin, self.right, self.left = names, own, begin, right, left
-        self.sums: dict[int, np.ndarray] = {}
+        self.sums: tuple[at.Rolling | None, np.ndarray | None] = (None, None)
 
     def sum(self, family: at.Rolling) -> np.ndarray:
-        if id(family) not in self.sums:
-            self.sums[id(family)] = family.prefix(self.names)
-        return self.sums[id(family)]
+        """Prefix sums of the family that was asked for last."""
+        if self.sums[0] is not family:
+            self.sums = (family, family.prefix(self.names))
+        return self.sums[1]
 
     def next(self, number: int, book: Names) -> Level:
         """One round."""
@@ -100,17 +97,17 @@ class Level:
         seed = _U(0xA5A5_0000 + number)
         same = np.zeros(n + 1, bool)
         same[1:n] = (names[1:] == names[:-1]) & (own[1:] == own[:-1])
-        head = np.flatnonzero(~same[:n])
+        head = np.flatnonzero(~same[:n]).astype(_I)
         length = np.diff(np.append(head, n))
         run = names[head].copy()
         long = length > 1
         times = length[long].astype(_U)
         run[long] = book.given(at.fmix(run[long] * _U(0x9E3779B97F4A7C15) + times + seed), at.fmix(at.fmix(run[long] ^ seed) + times))
         run_own = own[head]
-        run_of = np.cumsum(~same[:n]) - 1
+        run_of = np.cumsum(~same[:n], dtype=_I) - _I(1)
         # a run at the end of a substring may go on outside it
-        right = np.append(run_of + 1, len(run))
-        left = np.append(0, run_of)
+        right = np.append(run_of + _I(1), _I(len(run)))
+        left = np.append(_I(0), run_of)
         side = (at.fmix(run ^ (seed << _U(32))) & _U(1)).astype(bool)  # True: a right symbol
         joins = np.zeros(len(run), bool)
         joins[:-1] = ~side[:-1] & side[1:] & (run_own[1:] == run_own[:-1])
@@ -121,13 +118,13 @@ class Level:
         x, y = run[a], run[a + 1]
         symbol[a] = book.given(at.fmix(at.fmix(x + seed) * _U(3) + y), at.fmix((x ^ seed) * _U(0xC2B2AE3D27D4EB4F) + at.fmix(y - seed)))
         keep = ~second[: len(run)]
-        index = np.append(np.cumsum(keep) - keep, keep.sum())  # the new index at which an old one begins
+        index = np.append(np.cumsum(keep, dtype=_I) - keep, keep.sum(dtype=_I))  # the new index at which an old one begins
         # a right symbol at the beginning, a left one at the end may have joined a neighbour outside
         wide = np.append(side, False)
         right = right + wide[right]
         before = np.maximum(left - 1, 0)
         left = left - ((left > 0) & ~side[before]) if len(side) else left
-        return Level(symbol[keep], run_own[keep], np.append(head[keep], n), index[np.minimum(right, len(run))], index[left])
+        return Level(symbol[keep], run_own[keep], np.append(head[keep], _I(n)), index[np.minimum(right, _I(len(run)))], index[left])
 
 
 class Block:
@@ -145,15 +142,15 @@ class Block:
             names = at.word_names(raw, start, end)
             if need:
                 names = self.book.given(names, at.word_names(raw, start, end, at.HASH_B))
-            parts.append((start + byte, end + byte, names))
+            parts.append(((start + byte).astype(_I), (end + byte).astype(_I), names))
             firsts.append(first[1:] + count)
             count, byte = count + len(start), byte + len(raw)
         self.first = np.concatenate(firsts).astype(np.int64)
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+        empty = (np.zeros(0, _I), np.zeros(0, _I), np.zeros(0, _U))
         self.start, self.end, names = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
-        own = at.owners(self.first)
+        own = at.owners(self.first).astype(_I)
         n = len(own) - WINDOW + 1
-        self.at = np.flatnonzero(own[: max(0, n)] == own[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        self.at = np.flatnonzero(own[: max(0, n)] == own[WINDOW - 1 :]).astype(_I) if n > 0 else np.zeros(0, _I)
         self.doc = self.ids[own[self.at]]
         self.levels = [Level(names, own)]
         for r in range(ROUNDS if len(names) else 0):
@@ -203,68 +200,61 @@ def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return short[order][begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), number
 
 
-def _named(sizes: list[int], keys: list[bytes], checks: list[bytes]) -> np.ndarray:
-    """Names that stand for more than one thing."""
-    names = np.concatenate([bl.unpacked(k, n) for k, n in zip(keys, sizes, strict=True)])
-    check = np.concatenate([bl.unplain(c, n) for c, n in zip(checks, sizes, strict=True)])
-    order = np.argsort(names, kind="stable")
-    names, check = names[order], check[order]
-    return np.unique(names[1:][(names[1:] == names[:-1]) & (check[1:] != check[:-1])])
-
-
-def ask_blocks(docs: DataFrame, count: int, ranges: int, clashes: np.ndarray, bits: int) -> DataFrame:
-    """What blocks ask: each range of names, and each range of interiors, in packed pieces."""
+def ask_blocks(docs: DataFrame, p: bl.Plan, clashes: np.ndarray, bits: int) -> DataFrame:
+    """What blocks ask: each range of names, and each range of interiors."""
     sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         b, block = Block(table, sent.value, bits, checked=True), key[0].as_py()
-        names, checks = b.book.distinct()
-        rows = [(True, r, block, s.stop - s.start, bl.packed(names[s]), bl.plain(checks[s])) for r, s in bl.by_range(names, ranges)]
+        names = b.book.distinct()
+        b.book.names.clear(), b.book.checks.clear()
+        rows = bl.ask(KINDS, NAMES, block, p.first, *names)
+        del names
         keys, _, _ = _asked(b.interiors(), b.doc)
-        rows += [(False, r, block, s.stop - s.start, bl.packed(keys[s] >> _U(24)), b"") for r, s in bl.by_range(keys, ranges)]
-        return bl.table(rows, _ASK)
+        return bl.table(rows + bl.ask(KINDS, INTERIORS, block, p.first, keys), bl.ASK)
+
+    return bl.blocked(docs, p.blocks).groupBy("block").applyInArrow(ask, bl.ASK_DDL)
 
-    return bl.blocked(docs, count).groupBy("block").applyInArrow(ask, _ddl(_ASK))
 
+def clashing(names: bl.Merged) -> tuple | None:
+    """Names that stand for more than one thing: they stand there once for each check."""
+    twice = np.unique(names.keys[1:][names.keys[1:] == names.keys[:-1]])
+    return (len(twice), twice.tobytes(), b"", []) if len(twice) else None
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Names that clash; for each block which of its interiors stand in another block, too."""
-    names, rng = key[0].as_py(), key[1].as_py()
-    sizes, keys = table.column("n").to_pylist(), table.column("keys").to_pylist()
-    if names:
-        clash = _named(sizes, keys, table.column("check").to_pylist())
-        return bl.table([(True, -1, rng, len(clash), clash.tobytes())] if len(clash) else [], _HELD)
-    parts = [bl.unpacked(k, n) for k, n in zip(keys, sizes, strict=True)]
-    every = np.sort(np.concatenate(parts))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    rows = []
-    for block, n, part in zip(table.column("block").to_pylist(), sizes, parts, strict=True):
-        held = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part if len(shared) else np.zeros(n, bool)
-        rows.append((False, block, rng, n, np.packbits(held).tobytes()))
-    return bl.table(rows, _HELD)
+
+def tell_shared(piece: bl.Piece, blocks: list[np.ndarray]) -> tuple:
+    """Which interiors stand in another block, too."""
+    return len(piece.keys), np.packbits(blocks[0] > piece.values[0]).tobytes(), b"", []
+
+
+def tell_smaller(piece: bl.Piece, of: list[np.ndarray]) -> tuple | None:
+    """The windows that stand in a smaller document than the largest of the block that holds them."""
+    least, most = of[0].view(np.int64), piece.values[1].view(np.int64)
+    need = np.flatnonzero(least < most)
+    return (len(need), bl.packed(piece.keys[need]), bl.plain(piece.more[need]), [bl.plain(of[0][need])]) if len(need) else None
 
 
 def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; names have so many bits at first."""
-    count = bl.block_count(docs)
-    ranges = bl.range_count(count)
-    by_block = bl.blocked(docs, count).groupBy("block")
+    p = bl.plan(bl.block_count(docs))
+    by_block = bl.blocked(docs, p.blocks).groupBy("block")
     clashes = np.zeros(0, _U)
     while True:
-        told = written(ask_blocks(docs, count, ranges, clashes, bits).groupBy("names", "rng").applyInArrow(_answer, _ddl(_HELD)))
+        asks = ask_blocks(docs, p, clashes, bits)
+        told = written(bl.exchange(written(asks) if p.wide else asks, KINDS, p, {INTERIORS: tell_shared}, {NAMES: clashing}))
         # the few names of 64 bits that clash, none below some billions
-        more = [np.frombuffer(bytes(r["bits"]), _U) for r in told.filter("names").select("bits").collect()]
+        more = [np.frombuffer(bytes(r["keys"]), _U) for r in told.filter(f"kind = {NAMES}").select("keys").collect()]
         if not more:
             break
         clashes = np.unique(np.concatenate([clashes, *more]))
-    held = told.filter("not names").drop("names")
+    held = told.filter(f"kind = {INTERIORS}")
     sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def compare(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(table, sent.value, bits)
         keys, several, number = _asked(b.interiors(), b.doc)
         told = told.sort_by("rng")
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told.column("bits").to_pylist(), told.column("n").to_pylist(), strict=True)]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told.column("keys").to_pylist(), told.column("n").to_pylist(), strict=True)]
         held = np.concatenate([np.zeros(0, bool), *flags]) | several
         some = np.flatnonzero(held[number]) if len(number) else number
         one, two, doc = b.spelled(some), b.spelled(some, at.HASH_B) >> _U(32), b.doc[some]
@@ -274,40 +264,17 @@ def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         begin = np.flatnonzero(new)
         if not len(begin):
-            return bl.table([], _MIN)
+            return bl.table([], bl.ASK)
         least, most = (f.reduceat(doc, begin).view(_U) for f in (np.minimum, np.maximum))
-        one, two = one[begin], two[begin]
-        rows = [(r, key[0].as_py(), s.stop - s.start, bl.packed(one[s]), bl.plain(two[s]), bl.plain(least[s]), bl.plain(most[s] - least[s])) for r, s in bl.by_range(one, ranges)]
-        return bl.table(rows, _MIN)
-
-    def decide(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        one = [bl.unpacked(k, n) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)]
-        two, least, spread = ([bl.unplain(k, n) for k, n in zip(table.column(c).to_pylist(), sizes, strict=True)] for c in ("more", "least", "most"))
-        every, more, low = (np.concatenate(x) for x in (one, two, least))
-        order = np.lexsort((more, every))
-        new = np.ones(len(order), bool)
-        e, m = every[order], more[order]
-        new[1:] = (e[1:] != e[:-1]) | (m[1:] != m[:-1])
-        begin = np.flatnonzero(new)
-        least_of = np.minimum.reduceat(low[order].view(np.int64), begin)
-        each = np.empty(len(order), np.int64)
-        each[order] = np.repeat(least_of, np.diff(np.append(begin, len(order))))
-        rows, i = [], 0
-        for block, n, a, b, c, d in zip(table.column("block").to_pylist(), sizes, one, two, least, spread, strict=True):
-            told = each[i : i + n].view(_U)
-            need = np.flatnonzero(told < c + d)
-            if len(need):
-                rows.append((block, key[0].as_py(), len(need), bl.packed(a[need]), bl.plain(b[need]), bl.plain(told[need])))
-            i += n
-        return bl.table(rows, _TOLD)
+        return bl.table(bl.ask(KINDS, WINDOWS, key[0].as_py(), p.first, one[begin], two[begin], [least, most]), bl.ASK)
 
     def keep(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(table, sent.value, bits)
         told = told.sort_by("rng")
         sizes = told.column("n").to_pylist()
         read = lambda c, f: np.concatenate([np.zeros(0, _U), *(f(x, n) for x, n in zip(told.column(c).to_pylist(), sizes, strict=True))])
-        one, two, least = read("keys", bl.unpacked), read("more", bl.unplain), read("least", bl.unplain).view(np.int64)
+        least = np.concatenate([np.zeros(0, _U), *(bl.unplain(v[0], n) for v, n in zip(told.column("vals").to_pylist(), sizes, strict=True))]).view(np.int64)
+        one, two = read("keys", bl.unpacked), read("more", bl.unplain)
         covered = np.zeros(len(b.start) + 1, np.int64)
         if len(one):
             a = b.spelled(np.arange(len(b.at)))
@@ -340,6 +307,6 @@ def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
             digests.append(hashlib.sha256(text[:-1]).hexdigest())
         return pa.Table.from_arrays([bl.restored(b.ids), pa.array(n_words), pa.array(n_words - n_kept), pa.array(digests, pa.string())], schema=_OUT)
 
-    compared = by_block.cogroup(held.groupBy("block")).applyInArrow(compare, _ddl(_MIN))
-    decided = compared.groupBy("rng").applyInArrow(decide, _ddl(_TOLD))
-    return by_block.cogroup(decided.groupBy("block")).applyInArrow(keep, RESULT)
+    compared = by_block.cogroup(held.groupBy("asker")).applyInArrow(compare, bl.ASK_DDL)
+    decided = bl.exchange(written(compared) if p.wide else compared, KINDS, p, {WINDOWS: tell_smaller})
+    return by_block.cogroup(decided.groupBy("asker")).applyInArrow(keep, RESULT)

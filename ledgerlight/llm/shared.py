@@ -41,4 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, folder(df.sparkSession)
     with releasing(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_written_at", None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import folder, releasing, written
+from .shared import drop, folder, releasing, written
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -213,6 +213,7 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> tuple[
     archives = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // ARCHIVE_BYTES))
     with releasing(spark):
         placed(planned, archives).write.parquet(f"{path}/index")
+    drop(planned)
     index = spark.read.parquet(f"{path}/index")
     write(pages, index, f"{path}/archives", archives)
     files = archive_files(spark, f"{path}/archives")

@@ -69,9 +69,13 @@ def joined(sets):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 3000])
-def test_ngram_join_brute_force(frame, prose, monkeypatch, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "direct"), [(1 << 23, 9), (3000, 99), (2000, 3)])
+def test_ngram_join_brute_force(frame, prose, monkeypatch, block_bytes, direct):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(blocks, "DIRECT", direct)
+    if direct == 3:  # every shingle of more than one posting is hot
+        monkeypatch.setattr(ngram_join, "FEW", 1)
+        monkeypatch.setattr(ngram_join, "HOT", 10**9)
     sets = sets_of(prose)
     want = joined(sets)
     got = ngram_join.near_duplicates(frame(prose)).collect()
@@ -112,9 +116,10 @@ def test_choose_asks_for_more_where_candidates_are_many():
     assert ngram_join.choose(np.array([900, 900, 900, 900, 900]), 2) > 1
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 3000])
-def test_repeats_brute_force(frame, prose, monkeypatch, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "direct"), [(1 << 23, 9), (3000, 99), (2000, 3)])
+def test_repeats_brute_force(frame, prose, monkeypatch, block_bytes, direct):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(blocks, "DIRECT", direct)
     first = {}
     for d, t in prose:
         w = WORD.findall(t or "")
@@ -136,6 +141,25 @@ def test_repeats_brute_force(frame, prose, monkeypatch, block_bytes):
     assert repeats.remove_repeats(frame([])).collect() == []
 
 
+def test_pieces_of_the_exchange(frame, prose, monkeypatch):
+    """By cells, pieces grow as blocks * sqrt(blocks), and no more are made than planned."""
+    assert blocks.plan(3000).pieces == 3000 * 1000 and not blocks.plan(3000).wide
+    for n in (20_000, 1_000_000, 20_000_000):
+        p, q = blocks.plan(n), blocks.plan(4 * n)
+        assert p.ranges % p.wide == 0 and n / 3 <= p.ranges < n / 3 * 1.05 and q.pieces < 8.5 * p.pieces and p.pieces < 2.2 * n * (n / 3) ** 0.5
+    counts = []
+    for direct in (99, 2):
+        monkeypatch.setattr(blocks, "DIRECT", direct)
+        p = blocks.plan(36)
+        asks = repeats.written(repeats.ask_blocks(frame(prose), p, np.zeros(0, np.uint64), 64))
+        fine = blocks.up(asks, repeats.KINDS, p)
+        for kind in (repeats.NAMES, repeats.INTERIORS):
+            n = asks.filter(f"kind = {kind}").count() + (fine.filter(f"kind = {kind}").count() if p.wide else 0)
+            assert n <= p.pieces
+            counts.append(n)
+    assert counts[2] < counts[0] and counts[3] < counts[1]
+
+
 def test_repeats_names_anew_what_clashes(frame, prose):
     """With names of few bits, words, runs and pairs clash all over; the rounds are repeated until none does."""
     want = {tuple(r) for r in repeats.remove_repeats(frame(prose)).collect()}

@@ -52,6 +52,23 @@ def test_stages_keep_the_columns(spark, frame, tmp_path):
         assert out.columns == docs.columns and out.count() == 12
 
 
+def test_pipeline_edges(spark, frame, tmp_path):
+    """Null identifiers, repeats, a very long text, texts without words or language, and empty tables."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["an", "bo", "ciu", "der", "en"]) for _ in range(r.randrange(1, 4)))
+    long, own, other = (" ".join(word() for _ in range(n)) for n in (60_000, 40, 40))
+    rows = [(1, long, "en"), (2, own, "en"), (2, own, "en"), (None, other, "en"), (None, own + "\n", None), (-5, None, "en"), (None, None, None), (3, "\t \n", None), (4, "!!! 12", "en")]
+    frame(rows).write.parquet(f"{tmp_path}/a/documents.parquet")
+    frame([]).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name, items in (("a", [(None, None), (7, ""), (7, "words of no document at all")]), ("b", [])):
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = sorted(((x.doc_id is None, x.doc_id, x.decoded_sha256) for x in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # of the equal texts that with a line feed more is longer
+    assert got == sorted([(False, 1, sha(long)), (True, None, sha(other)), (True, None, sha(own + "\n"))], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage and the pipeline the entry file still gives the other queries."""
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))

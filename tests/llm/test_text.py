@@ -69,10 +69,11 @@ def test_lgamma():
     assert np.allclose(ctw.lgamma(x), [lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 60])
-def test_ctw_brute_force(frame, monkeypatch, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "direct", "part_codes", "depth"), [(1 << 23, 9, 1 << 20, 2), (60, 9, 5, 3), (10, 1, 1, 2)])
+def test_ctw_brute_force(frame, monkeypatch, block_bytes, direct, part_codes, depth):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
-    depth = 2
+    monkeypatch.setattr(blocks, "DIRECT", direct)
+    monkeypatch.setattr(ctw, "PART_CODES", part_codes)
     rows = [(i, t) for i, t in enumerate(["ab ab", "Abba é", None, "", "aab b\n", "c", "ab ab", "zz ab", "abc abd"])] + [(3, "ba ba"), (None, "ab")]
     learns = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2
     tree, counts = Tree(depth), Counter()
@@ -164,6 +165,16 @@ def test_warc(spark, tmp_path):
     assert [r.record_type for r in twice] == ["response", "response"]
 
 
+def test_warc_spreads_what_shares_an_identifier(spark, tmp_path):
+    """Rows without a page_id, or with one and the same, go to different archives; a payload that all share has one response."""
+    rows = [(None if i % 2 else 7, f"http://x/{i}", "shared" if i % 3 else f"own {i}") for i in range(60)]
+    index, files = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    assert index.filter("page_id is null").select("archive").distinct().count() > 2 and index.filter("page_id = 7").select("archive").distinct().count() > 2
+    got = warc.read(index, files).collect()
+    assert len(got) == 60 and {r.refers_to for r in got if r.record_type == "revisit"} == {7}
+    assert sum(r.record_type == "response" for r in got) == sum(1 for p, _, h in rows if p == 7 or h != "shared")
+
+
 # language identification
 
 
@@ -203,10 +214,51 @@ def test_langid_filters_hold_every_ngram():
     text = "Ab cd é12 f"
     raw, offsets = at_buffers([text, "", "x"])
     code, own = langid.grams(raw, offsets)
-    folded = " ab cd é   f   ".encode()
-    want = [folded[i : i + 4] for i in range(len(folded) - 3) if folded[i : i + 4] != b"    "]
-    assert [int(c).to_bytes(4, "big") for c in code[own == 0]] == want
-    assert [int(c).to_bytes(4, "big") for c in code[own == 2]] == [b" x  ", b"x   "] and not (own == 1).any()
+    assert [int(c).to_bytes(5, "big") for c in code[own == 0]] == plain_grams(text)
+    assert [int(c).to_bytes(5, "big") for c in code[own == 2]] == [b" x   ", b"x    "] and not (own == 1).any()
+
+
+def plain_grams(text):
+    folded = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode()) + b" " * 4
+    return [folded[i : i + 5] for i in range(len(folded) - 4) if folded[i : i + 5].strip()]
+
+
+def test_langid_against_brute_force(spark, frame):
+    """Plain filters (sets of slots), n-gram by n-gram: every language that was taught an n-gram has it; counts, correction and decision follow."""
+    from ledgerlight.llm import arrowtext as at
+
+    rng = np.random.default_rng(7)
+    words = {lang: ["".join(rng.choice(list("abcdeé"), rng.integers(2, 7))) for _ in range(60)] for lang in ("a1", "b2", "c3")}
+    common = ["abc", "de", "éa"]
+    rows = [(i, " ".join(rng.choice(words[lang] + common, rng.integers(0, 40))) + ("!" if i % 5 else ""), lang) for i in range(240) for lang in [sorted(words)[i % 3]]]
+    rows += [(500, "zzzz qqqq", None), (501, None, "a1"), (None, "only null teaches this", "c3"), (502, "teaches", "b2"), (502, "teaches", "b2")]
+    place = lambda g: [int(at.fmix(np.array([int.from_bytes(g)], np.uint64) + s)[0] >> np.uint64(20)) % langid.SLOTS for s in langid._SEEDS]
+    filters = {lang: set() for lang in words}
+    for d, t, lang in rows:
+        if lang and t is not None and (d is None or zlib.crc32(str(d).encode()) % 4 != 2):
+            for g in set(plain_grams(t)):
+                filters[lang].update(place(g))
+    wrong = {lang: (len(f) / langid.SLOTS) ** 3 for lang, f in filters.items()}
+    want = Counter()
+    for d, t, _ in rows:
+        grams = plain_grams(t or "")
+        right = {lang: max(0, (sum(all(p in f for p in place(g)) for g in grams) - len(grams) * wrong[lang]) / (1 - wrong[lang])) for lang, f in filters.items()}
+        best = min(right, key=lambda lang: (-right[lang], lang))
+        letters = any(c.isalpha() for c in t or "")
+        score = right[best] / sum(right.values()) if letters and sum(right.values()) else 0.0
+        want[d, best if letters else "und", round(score, 9)] += 1
+    got = langid.identify(spark, frame(rows)).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == want
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+
+
+def test_langid_rejects_what_no_language_holds(spark, frame):
+    rng = np.random.default_rng(11)
+    words = {lang: ["".join(rng.choice(list(signs), 5)) for _ in range(80)] for lang, signs in (("aa", "abcdefg"), ("bb", "hijklmn"))}
+    rows = [(i, " ".join(rng.choice(words[lang], 20)), lang) for i in range(400) for lang in [sorted(words)[i % 2]]]
+    strange = [(1000 + i, " ".join("".join(rng.choice(list("opqrstuvw"), 5)) for _ in range(20)) + " " + words["aa"][i], None) for i in range(20)]
+    kept = {r.doc_id for r in langid.accepted(frame(rows + strange)).collect()}
+    assert kept == set(range(400))
 
 
 def at_buffers(texts):
