@@ -144,7 +144,10 @@ def companies(raw: Column, one: Column, pattern_no: Column) -> Column:
 
 
 _FOUND = [re.compile(p, re.IGNORECASE | re.DOTALL) for p in AWARDS]
-_WORD = re.compile(r"\w", re.ASCII)
+#: What a text must hold for a pattern to match: its beginning, where that is plain.
+_NEEDED = [m[1].casefold() if (m := re.match(r"\\b([A-Za-z ]+)", p)) else "agreement" for p in AWARDS]
+#: Words of which every pattern has one.
+ANY_AWARD = "(?i)contract|agreement"
 
 
 def _continued(text: str, raw: str, end: int) -> str:
@@ -177,9 +180,9 @@ def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for doc, text in zip(frame["doc_key"], frame["searched"], strict=True):
-            seq = 0
+            seq, folded = 0, text.casefold()
             for number, pattern in enumerate(_FOUND):
-                for m in pattern.finditer(text):
+                for m in pattern.finditer(text) if _NEEDED[number] in folded else ():
                     if m["company"]:
                         a, b = m.span()
                         rows.append((doc, seq, number, a, b, _continued(text, m["company"], m.end("company")), _snippet(text, a, b), text[max(0, a - 800) : b + 1200], text[max(0, a - 600) : a + 200]))
@@ -203,7 +206,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     tidy = docs.withColumn("text", tidy_lines("text"))
     county_page = (F.col("site") == COUNTY) & (F.col("source_kind") == PAGE)
     searched = protect(F.when(county_page, sections(F.col("text"))).otherwise(F.col("text")))
-    found = tidy.select("doc_key", searched.alias("searched")).mapInPandas(_search, "doc_key string, seq int, pattern_no int, start int, end int, raw_company string, snippet string, window string, near string")
+    found = tidy.filter(F.col("text").rlike(ANY_AWARD)).select("doc_key", searched.alias("searched")).mapInPandas(_search, "doc_key string, seq int, pattern_no int, start int, end int, raw_company string, snippet string, window string, near string")
     meta = tidy.select(
         "doc_key", "site", "source_path", "source_url",
         F.when(county_page, F.upper(F.regexp_extract("text", FILE_NUMBER, 1))).alias("file_number"),

@@ -404,8 +404,8 @@ def award_phrase_extract(spark, sf_dir):
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_key, source || ' Paving, LLC' AS company_name, '4.2' AS item_id, false AS has_negative_context FROM documents""")
 def award_phrases_in_documents(spark, sf_dir):
-    """X1 over all documents, each with an award behind its own text."""
-    award = F.concat(F.coalesce("text", F.lit("")), F.lit("\n4.2 Award a contract to "), "source", F.lit(" Paving, LLC, in an amount of $5.\n"))
+    """X1, W3, W4, W5 over all documents, each with an award behind its own text, said twice nearby."""
+    award = F.concat(F.coalesce("text", F.lit("")), F.lit("\n4.2 Award a contract to "), "source", F.lit(" Paving, LLC, in an amount of $5.\nAward a contract to "), "source", F.lit(" Paving, LLC, again.\n"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.lit("").alias("site"), F.lit("document").alias("source_kind"), F.col("source").alias("source_path"), F.lit(None).cast("string").alias("source_url"), award.alias("text"))
     return awards.candidates(docs).select("doc_key", "company_name", "item_id", "has_negative_context")
 
