@@ -27,6 +27,7 @@ table gives an empty table.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,13 @@ from . import blocks as bl
 from .shared import written
 
 WINDOW, ROUNDS = 13, 2
+#: Bytes of text that are recompressed at once.
+PART = 1 << 18
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _U = np.uint64
 #: Places in a block: what one Arrow column of text can hold.
 _I = np.int32
+_NONE = np.zeros(0, _U)
 #: Names with a check each; interiors; windows with the smallest and the largest document that holds each.
 NAMES, INTERIORS, WINDOWS = 0, 1, 2
 KINDS = {NAMES: bl.Kind(more=True), INTERIORS: bl.Kind(shift=24, reduce=("sum",)), WINDOWS: bl.Kind(more=True, reduce=("min", "max"), delta=True)}
@@ -62,17 +66,6 @@ class Names:
         self.checks.append(checks)
         return names
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted names with their checks; a name with several checks stands once for each."""
-        names, checks = np.concatenate(self.names), np.concatenate(self.checks)
-        order = np.argsort(names, kind="stable")
-        names, checks = names[order], checks[order]
-        begin = bl.firsts(names)
-        same = np.repeat(checks[begin], np.diff(np.append(begin, len(names)))) == checks
-        keep = ~same
-        keep[begin] = True
-        return names[keep], checks[keep]
-
 
 class Level:
     """The symbols after some rounds.
@@ -83,13 +76,6 @@ class Level:
 
     def __init__(self, names, own, begin=None, right=None, left=None):
         self.names, self.own, self.begin, self.right, self.left = names, own, begin, right, left
-        self.sums: tuple[at.Rolling | None, np.ndarray | None] = (None, None)
-
-    def sum(self, family: at.Rolling) -> np.ndarray:
-        """Prefix sums of the family that was asked for last."""
-        if self.sums[0] is not family:
-            self.sums = (family, family.prefix(self.names))
-        return self.sums[1]
 
     def next(self, number: int, book: Names) -> Level:
         """One round."""
@@ -127,44 +113,33 @@ class Level:
         return Level(symbol[keep], run_own[keep], np.append(head[keep], _I(n)), index[np.minimum(right, _I(len(run)))], index[left])
 
 
-class Block:
-    """A block's words, windows and recompressed symbols."""
-
-    def __init__(self, table: pa.Table, clashes: np.ndarray, bits: int, checked: bool = False):
-        table = bl.in_order(table.select(["doc_id", "text"]))
-        self.raw, offsets = at.buffers(table.column("text"))
-        self.ids = bl.doc_ids(table.column("doc_id"))
-        self.book = Names(clashes, bits)
-        need = checked or len(clashes) > 0  # else the words' names are as they were
-        parts, firsts, count, byte = [], [np.zeros(1, np.int64)], 0, 0
-        for _, _, raw, offs in at.pieces(table.column("text")):
-            start, end, first = at.words(raw, offs)
-            names = at.word_names(raw, start, end)
-            if need:
-                names = self.book.given(names, at.word_names(raw, start, end, at.HASH_B))
-            parts.append(((start + byte).astype(_I), (end + byte).astype(_I), names))
-            firsts.append(first[1:] + count)
-            count, byte = count + len(start), byte + len(raw)
-        self.first = np.concatenate(firsts).astype(np.int64)
-        empty = (np.zeros(0, _I), np.zeros(0, _I), np.zeros(0, _U))
-        self.start, self.end, names = (np.concatenate(c) for c in zip(empty, *parts, strict=True))
+class Part:
+    """The words, windows and recompressed symbols of some whole documents, about PART bytes of text or one longer document."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, book: Names, checked: bool):
+        self.raw, self.ids = raw, ids
+        start, end, self.first = at.words(raw, offsets)
+        names = at.word_names(raw, start, end)
+        if checked or len(book.clashes):  # else the words' names are as they were
+            names = book.given(names, at.word_names(raw, start, end, at.HASH_B))
+        self.start, self.end = start.astype(_I), end.astype(_I)
         own = at.owners(self.first).astype(_I)
         n = len(own) - WINDOW + 1
         self.at = np.flatnonzero(own[: max(0, n)] == own[WINDOW - 1 :]).astype(_I) if n > 0 else np.zeros(0, _I)
-        self.doc = self.ids[own[self.at]]
+        self.doc = ids[own[self.at]]
         self.levels = [Level(names, own)]
         for r in range(ROUNDS if len(names) else 0):
-            self.levels.append(self.levels[-1].next(r, self.book))
+            self.levels.append(self.levels[-1].next(r, book))
 
     def interiors(self) -> np.ndarray:
         """A name for what recompression leaves of each window, from the deepest round that leaves anything."""
         family, start = at.HASH_A, self.at
         first, last = start, start + WINDOW
-        key = family.slices(self.levels[0].sum(family), first, last)
+        key = family.slices(family.prefix(self.levels[0].names), first, last)
         for r, level in enumerate(self.levels[1:], 1):
             first, last = level.right[first], level.left[last]
             some = first < last
-            key = np.where(some, at.fmix(family.slices(level.sum(family), np.where(some, first, 0), np.where(some, last, 0)) + _U(r)), key)
+            key = np.where(some, at.fmix(family.slices(family.prefix(level.names), np.where(some, first, 0), np.where(some, last, 0)) + _U(r)), key)
             last = np.maximum(first, last)
         return key
 
@@ -173,19 +148,53 @@ class Block:
         first, last = self.at[some], self.at[some] + WINDOW
         out = np.zeros(len(first), _U)
         for r in range(len(self.levels)):
-            level, above = self.levels[r], self.levels[r + 1] if r + 1 < len(self.levels) else None
+            sums, above = family.prefix(self.levels[r].names), self.levels[r + 1] if r + 1 < len(self.levels) else None
             if above is None:
-                ends = family.slices(level.sum(family), first, last)
+                ends = family.slices(sums, first, last)
             else:
                 inner_first, inner_last = above.right[first], above.left[last]
                 gone = inner_first >= inner_last  # nothing is left: the ends are all there is
                 a, b = np.where(gone, last, above.begin[inner_first]), np.where(gone, last, above.begin[inner_last])
-                ends = family.slices(level.sum(family), first, a) * _U(3) + family.slices(level.sum(family), b, last)
+                ends = family.slices(sums, first, a) * _U(3) + family.slices(sums, b, last)
                 first, last = np.where(gone, 0, inner_first), np.where(gone, 0, inner_last)
             out = at.fmix(out * _U(0x9E3779B97F4A7C15) + ends)
         return out
 
 
+    def kept(self, gone: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        """For each document its words, how many of them the windows `gone` cover, and the digest of the others."""
+        covered = np.zeros(len(self.start) + 1, np.int64)
+        np.add.at(covered, self.at[gone], 1)
+        np.add.at(covered, self.at[gone] + WINDOW, -1)
+        word = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
+        bounds = np.searchsorted(word, self.first)
+        for i in range(len(self.ids)):
+            w = word[bounds[i] : bounds[i + 1]]
+            size = (self.end[w] - self.start[w]).astype(np.int64) + 1
+            text = self.raw[np.minimum(at.ranges(self.start[w], size), max(0, len(self.raw) - 1))]
+            text[np.cumsum(size) - 1] = 32
+            n = int(self.first[i + 1] - self.first[i])
+            yield n, n - len(w), hashlib.sha256(text[:-1]).hexdigest()
+
+
+def parts(table: pa.Table, clashes: np.ndarray, bits: int, checked: bool = False) -> Iterator[tuple[Part, Names]]:
+    """A block's documents by identifier, part by part, with the names that each part gave."""
+    table = bl.in_order(table.select(["doc_id", "text"]))
+    ids = bl.doc_ids(table.column("doc_id"))
+    for row, end, raw, offsets in at.pieces(table.column("text"), PART):
+        book = Names(clashes, bits)
+        yield Part(raw, offsets, ids[row:end], book, checked), book
+
+
+def distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names with their checks; a name with several checks stands once for each."""
+    order = np.lexsort((checks, names))
+    names, checks = names[order], checks[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])
+    return names[new], checks[new]
+
+
 def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct 40-bit keys in order, which stand in two documents of the block, and the key number of each window."""
     short = keys & ~_U((1 << 24) - 1)
@@ -200,17 +209,39 @@ def _asked(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return short[order][begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), number
 
 
+def _covering(part: Part, one: np.ndarray, two: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The part's windows that stand in a smaller document; (one, two) are sorted windows and `least` who holds each first."""
+    if not len(one) or not len(part.at):
+        return np.zeros(0, np.int64)
+    a = part.spelled(np.arange(len(part.at)))
+    place = np.searchsorted(one, a)
+    hit = np.flatnonzero(one[np.minimum(place, len(one) - 1)] == a)
+    place, m, gone = place[hit], part.spelled(hit, at.HASH_B) >> _U(32), np.zeros(len(hit), bool)
+    # keys of which the first part is the same stand side by side
+    left = np.arange(len(hit))
+    while len(left):
+        p = place[left]
+        gone[left] |= (two[p] == m[left]) & (least[p] < part.doc[hit[left]])
+        place[left] += 1
+        left = left[place[left] < len(one)]
+        left = left[one[place[left]] == a[hit[left]]]
+    return hit[gone]
+
+
 def ask_blocks(docs: DataFrame, p: bl.Plan, clashes: np.ndarray, bits: int) -> DataFrame:
     """What blocks ask: each range of names, and each range of interiors."""
     sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        b, block = Block(table, sent.value, bits, checked=True), key[0].as_py()
-        names = b.book.distinct()
-        b.book.names.clear(), b.book.checks.clear()
-        rows = bl.ask(KINDS, NAMES, block, p.first, *names)
+        names, keys, doc = [(_NONE, _NONE)], [_NONE], [np.zeros(0, np.int64)]
+        for part, book in parts(table, sent.value, bits, checked=True):
+            names.append(distinct(np.concatenate(book.names), np.concatenate(book.checks)))
+            keys.append(part.interiors())
+            doc.append(part.doc)
+        block = key[0].as_py()
+        rows = bl.ask(KINDS, NAMES, block, p.first, *distinct(*map(np.concatenate, zip(*names, strict=True))))
         del names
-        keys, _, _ = _asked(b.interiors(), b.doc)
+        keys, _, _ = _asked(np.concatenate(keys), np.concatenate(doc))
         return bl.table(rows + bl.ask(KINDS, INTERIORS, block, p.first, keys), bl.ASK)
 
     return bl.blocked(docs, p.blocks).groupBy("block").applyInArrow(ask, bl.ASK_DDL)
@@ -251,13 +282,18 @@ def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(clashes)
 
     def compare(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block(table, sent.value, bits)
-        keys, several, number = _asked(b.interiors(), b.doc)
+        mine = [part for part, _ in parts(table, sent.value, bits)]
+        keys, several, number = _asked(np.concatenate([_NONE, *(m.interiors() for m in mine)]), np.concatenate([np.zeros(0, np.int64), *(m.doc for m in mine)]))
         told = told.sort_by("rng")
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told.column("keys").to_pylist(), told.column("n").to_pylist(), strict=True)]
-        held = np.concatenate([np.zeros(0, bool), *flags]) | several
-        some = np.flatnonzero(held[number]) if len(number) else number
-        one, two, doc = b.spelled(some), b.spelled(some, at.HASH_B) >> _U(32), b.doc[some]
+        held = (np.concatenate([np.zeros(0, bool), *flags]) | several)[number]
+        found, i = [(_NONE, _NONE, np.zeros(0, np.int64))], 0
+        for m in mine:
+            some = np.flatnonzero(held[i : i + len(m.at)])
+            i += len(m.at)
+            found.append((m.spelled(some), m.spelled(some, at.HASH_B) >> _U(32), m.doc[some]))
+        one, two, doc = map(np.concatenate, zip(*found, strict=True))
+        del mine, found
         order = np.lexsort((two, one))
         one, two, doc = one[order], two[order], doc[order]
         new = np.ones(len(one), bool)
@@ -269,43 +305,17 @@ def remove_repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
         return bl.table(bl.ask(KINDS, WINDOWS, key[0].as_py(), p.first, one[begin], two[begin], [least, most]), bl.ASK)
 
     def keep(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block(table, sent.value, bits)
         told = told.sort_by("rng")
         sizes = told.column("n").to_pylist()
-        read = lambda c, f: np.concatenate([np.zeros(0, _U), *(f(x, n) for x, n in zip(told.column(c).to_pylist(), sizes, strict=True))])
-        least = np.concatenate([np.zeros(0, _U), *(bl.unplain(v[0], n) for v, n in zip(told.column("vals").to_pylist(), sizes, strict=True))]).view(np.int64)
+        read = lambda c, f: np.concatenate([_NONE, *(f(x, n) for x, n in zip(told.column(c).to_pylist(), sizes, strict=True))])
+        least = np.concatenate([_NONE, *(bl.unplain(v[0], n) for v, n in zip(told.column("vals").to_pylist(), sizes, strict=True))]).view(np.int64)
         one, two = read("keys", bl.unpacked), read("more", bl.unplain)
-        covered = np.zeros(len(b.start) + 1, np.int64)
-        if len(one):
-            a = b.spelled(np.arange(len(b.at)))
-            place = np.searchsorted(one, a)
-            hit = np.flatnonzero(one[np.minimum(place, len(one) - 1)] == a)
-            place, m = place[hit], b.spelled(hit, at.HASH_B) >> _U(32)
-            # keys of which the first part is the same stand side by side
-            left = np.arange(len(hit))
-            while len(left):
-                p = place[left]
-                good = left[(two[p] == m[left]) & (least[p] < b.doc[hit[left]])]
-                gone = b.at[hit[good]]
-                np.add.at(covered, gone, 1)
-                np.add.at(covered, gone + WINDOW, -1)
-                place[left] += 1
-                left = left[place[left] < len(one)]
-                left = left[one[place[left]] == a[hit[left]]]
-        kept = np.cumsum(covered)[:-1] == 0
-        n_words = np.diff(b.first)
-        run = np.append(0, np.cumsum(kept))
-        n_kept = run[b.first[1:]] - run[b.first[:-1]]
-        digests = []
-        word = np.flatnonzero(kept)
-        bounds = np.searchsorted(word, b.first)
-        for i in range(len(b.ids)):
-            w = word[bounds[i] : bounds[i + 1]]
-            size = b.end[w] - b.start[w] + 1
-            text = b.raw[np.minimum(at.ranges(b.start[w], size), max(0, len(b.raw) - 1))]
-            text[np.cumsum(size) - 1] = 32
-            digests.append(hashlib.sha256(text[:-1]).hexdigest())
-        return pa.Table.from_arrays([bl.restored(b.ids), pa.array(n_words), pa.array(n_words - n_kept), pa.array(digests, pa.string())], schema=_OUT)
+        ids, rows = [np.zeros(0, np.int64)], []
+        for part, _ in parts(table, sent.value, bits):
+            ids.append(part.ids)
+            rows += part.kept(_covering(part, one, two, least))
+        n_words, n_removed, digests = zip(*rows, strict=True)
+        return pa.Table.from_arrays([bl.restored(np.concatenate(ids)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], schema=_OUT)
 
     compared = by_block.cogroup(held.groupBy("asker")).applyInArrow(compare, bl.ASK_DDL)
     decided = bl.exchange(written(compared) if p.wide else compared, KINDS, p, {WINDOWS: tell_smaller})

@@ -20,7 +20,10 @@ def strip(t):
     return re.sub(r"[\x20\x09-\x0D]", "", t or "")
 
 
-def test_content_sort_brute_force(frame, prose):
+@pytest.mark.parametrize("sampled", [64, 1])
+def test_content_sort_brute_force(frame, prose, monkeypatch, sampled):
+    monkeypatch.setattr(content_sort, "SAMPLED", sampled)
+    monkeypatch.setattr(content_sort, "LEAST", 1 if sampled == 1 else 8)  # every group is cut into runs
     groups = defaultdict(list)
     for d, t in prose:
         groups[strip(t)].append((-len(t or ""), d))
@@ -34,7 +37,10 @@ def test_content_sort_brute_force(frame, prose):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
-def test_content_sort_edges(frame):
+@pytest.mark.parametrize("sampled", [64, 1])
+def test_content_sort_edges(frame, monkeypatch, sampled):
+    monkeypatch.setattr(content_sort, "SAMPLED", sampled)
+    monkeypatch.setattr(content_sort, "LEAST", 1 if sampled == 1 else 8)
     assert content_sort.deduplicate(frame([])).collect() == []
     rows = [(None, "a b"), (3, "ab"), (2, "ab"), (2, "ab"), (5, None), (4, " ")]
     got = {(r.doc_id, r.kept, r.keep_id, r.group_size) for r in content_sort.deduplicate(frame(rows)).collect()}
@@ -170,7 +176,7 @@ def test_repeats_symbols_spell_their_windows():
     """Windows are equal where their symbols are, wherever they stand; runs at their ends included."""
     rng = np.random.default_rng(9)
     words = [" ".join(f"w{x}" for x in rng.choice(4, 60, p=[0.7, 0.1, 0.1, 0.1])) for _ in range(60)]
-    b = repeats.Block(pa.table({"doc_id": list(range(60)), "text": words}), np.zeros(0, np.uint64), 64, checked=True)
+    (b, _), = repeats.parts(pa.table({"doc_id": list(range(60)), "text": words}), np.zeros(0, np.uint64), 64, checked=True)
     split = [t.split() for t in words]
     window = [tuple(split[d][i : i + 13]) for d in range(60) for i in range(48)]
     symbols = list(zip(b.spelled(np.arange(len(b.at))).tolist(), b.spelled(np.arange(len(b.at)), at.HASH_B).tolist(), b.interiors().tolist(), strict=True))
