@@ -16,7 +16,7 @@ from ..operators import awards, clean, crawl, filings, html, matching, phrase, s
 from ..streaming import incremental
 from .registry import COMPANY as _COMPANY
 from .registry import KEY as _KEY
-from .registry import folder, query, table
+from .registry import folder, query, table, token_set
 
 
 @query("""
@@ -73,7 +73,19 @@ def match_cascade_counts(spark, sf_dir):
     return marked.agg(F.sum(F.when(F.col("e").isNotNull(), F.col("n")).otherwise(0)).alias("exact"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("partial"), F.sum(F.when(F.coalesce("e", "p").isNull(), F.col("n")).otherwise(0)).alias("rest"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE e AS (
+      SELECT DISTINCT CASE WHEN p_size > 30 THEN p_name WHEN p_size > 20 THEN substr(p_name, 1, 2) || substr(p_name, 4)
+                      WHEN p_size > 10 THEN string_split(p_name, ' ')[1] ELSE 'zz' || reverse(p_name) END AS entity FROM part),
+    k AS (SELECT entity, {_COMPANY.format("entity")} AS x FROM e),
+    c AS (SELECT DISTINCT {_COMPANY.format("p_name || ', Inc.'")} AS y FROM part),
+    exact AS (SELECT entity FROM k WHERE x IN (FROM c)),
+    partial AS (SELECT DISTINCT entity FROM k, c WHERE entity NOT IN (FROM exact) AND (contains(x, y) OR contains(y, x))),
+    q AS (SELECT DISTINCT x, y FROM k, c WHERE entity NOT IN (FROM exact) AND entity NOT IN (FROM partial)), {token_set(90)},
+    fuzzy AS (SELECT DISTINCT entity FROM k JOIN scored ON k.x = scored.x WHERE score >= 90)
+    SELECT count(*) AS total, count(*) FILTER (entity IN (FROM exact)) AS exact, count(*) FILTER (entity IN (FROM partial)) AS partial,
+           count(*) FILTER (entity IN (FROM fuzzy)) AS fuzzy,
+           count(*) FILTER (entity NOT IN (FROM exact) AND entity NOT IN (FROM partial) AND entity NOT IN (FROM fuzzy)) AS unmatched FROM k""")
 def compared_counts(spark, sf_dir):
     """The whole comparison with its fuzzy stage, counted by type; misspelt names against names."""
     part = table(spark, sf_dir, "part")
@@ -85,9 +97,14 @@ def compared_counts(spark, sf_dir):
     return matching.counts(matching.compared(people, companies))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE n AS (SELECT p_name, min(p_partkey) AS ord FROM part GROUP BY ALL),
+    w AS (SELECT substr(p_name, 1, 2) || substr(p_name, 4) AS written FROM n),
+    q AS (SELECT DISTINCT written AS x, p_name AS y FROM w, n), {token_set(85)},
+    best AS (SELECT x, arg_max(y, (score, -ord)) AS y, max(score) AS score FROM scored JOIN n ON y = p_name WHERE score >= 85 GROUP BY x)
+    SELECT written, y AS p_name, score FROM w JOIN best ON written = x""")
 def fuzzy_best_match(spark, sf_dir):
-    """Names with a letter lost, against the names."""
+    """Names with a letter lost, against the names."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     left = names.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("written"))
     right = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
@@ -193,7 +210,16 @@ def longest_link(spark, sf_dir):
     return clean.longest_link(rows, ["city", "source_url"], "o_orderkey")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE r AS (
+      SELECT p_partkey, p_type AS t, p_name || CASE WHEN p_size % 3 = 0 THEN ' ' || p_brand ELSE '' END || CASE WHEN p_size % 2 = 0 THEN ' Works' ELSE '' END AS name FROM part),
+    k AS (SELECT DISTINCT t, {_COMPANY.format("name")} AS k FROM r),
+    pairs AS MATERIALIZED (SELECT a.t, a.k AS x, b.k AS y FROM k a JOIN k b ON a.t = b.t AND length(b.k) > length(a.k)),
+    q AS (SELECT DISTINCT x, y FROM pairs WHERE NOT starts_with(y, x)), {token_set(94)},
+    gone AS (
+      SELECT DISTINCT t, x FROM pairs WHERE starts_with(y, x)
+      UNION SELECT DISTINCT t, pairs.x FROM pairs JOIN scored ON pairs.x = scored.x AND pairs.y = scored.y WHERE score >= 94)
+    SELECT p_partkey, name FROM r WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.t = r.t AND gone.x = {_COMPANY.format("r.name")})""")
 def more_complete_antijoin(spark, sf_dir):
     """J15 on all parts: names of a type without another that is longer and begins alike or is close."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.lit("Works"))).alias("name"))
