@@ -124,7 +124,40 @@ def keyword_interest_match(spark, sf_dir):
     return matching.keyword_interests(part.select(F.col("p_name").alias("company")).distinct(), words).select("company", "interests")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE n AS (SELECT DISTINCT p_name AS a FROM part),
+    i AS (SELECT DISTINCT p_type AS interest, split_part(p_name, ' ', 1) || 's' AS k FROM part),
+    m AS (SELECT a, interest, min(k) AS k FROM n JOIN i ON contains(a, k) GROUP BY ALL),
+    hit AS (SELECT a, list(interest ORDER BY interest) AS li, list(k ORDER BY interest) AS lk FROM m GROUP BY a),
+    q AS (SELECT a AS x, k AS y FROM n, (SELECT DISTINCT k FROM i) WHERE a NOT IN (SELECT a FROM m)), {token_set()},
+    s AS (SELECT x, y, array_to_string(list_sort(string_split(x, ' ')), ' ') AS sx, array_to_string(list_sort(string_split(y, ' ')), ' ') AS sy FROM q),
+    o AS (SELECT DISTINCT CASE WHEN length(u) > length(v) THEN v ELSE u END AS u, CASE WHEN length(u) > length(v) THEN u ELSE v END AS v
+          FROM (SELECT x AS u, y AS v FROM s UNION ALL SELECT sx, sy FROM s)),
+    e AS (SELECT u, v, unnest(range(1, length(u) + length(v))) AS e FROM o),
+    w AS (SELECT DISTINCT u, v, substr(v, greatest(0, e - length(u)) + 1, least(e, length(v)) - greatest(0, e - length(u))) AS w FROM e),
+    win AS (SELECT * FROM w WHERE length(w) = length(u) OR contains(u, w[1]) AND contains(u, w[-1])),
+    need AS (SELECT u, v FROM o UNION SELECT u, w FROM win),
+    g AS (
+      SELECT u, v, 0 AS i, list_transform(range(length(v) + 1), lambda j: 0) AS had FROM need
+      UNION ALL
+      SELECT u, v, i + 1, list_reduce(range(1, length(v) + 1), lambda r, j: list_append(r,
+        CASE WHEN substr(u, i + 1, 1) = substr(v, j, 1) THEN had[j] + 1 ELSE greatest(r[-1], had[j + 1]) END), [0])
+      FROM g WHERE i < length(u)),
+    r AS (SELECT u, v, 200 * CAST(had[-1] AS DOUBLE) / (length(u) + length(v)) AS r FROM g WHERE i = length(u)),
+    whole AS (SELECT o.u, o.v, r.r AS plain, max(p.r) AS part FROM o JOIN r ON o.u = r.u AND o.v = r.v JOIN win ON o.u = win.u AND o.v = win.v JOIN r p ON win.u = p.u AND win.w = p.v GROUP BY ALL),
+    f AS (
+      SELECT s.x, s.y, one.plain, one.part, two.plain AS sorted, CASE WHEN len(list_intersect(string_split(s.x, ' '), string_split(s.y, ' '))) > 0 THEN 100 ELSE two.part END AS tokens, score AS sets,
+             CAST(greatest(length(s.x), length(s.y)) AS DOUBLE) / least(length(s.x), length(s.y)) AS longer
+      FROM s JOIN whole one ON one.u IN (s.x, s.y) AND one.v IN (s.x, s.y) AND length(one.u) + length(one.v) = length(s.x) + length(s.y)
+             JOIN whole two ON two.u IN (s.sx, s.sy) AND two.v IN (s.sx, s.sy) AND length(two.u) + length(two.v) = length(s.x) + length(s.y) JOIN fine ON s.x = fine.x AND s.y = fine.y),
+    z AS (
+      SELECT x, y, CAST(floor(CASE WHEN longer < 1.5 THEN greatest(plain, greatest(sorted, sets) * CAST(0.95 AS DOUBLE))
+               ELSE greatest(plain, part * d, tokens * CAST(0.95 AS DOUBLE) * d) END) AS INT) AS score
+      FROM (SELECT *, CAST(CASE WHEN longer <= 8 THEN 0.9 ELSE 0.6 END AS DOUBLE) AS d FROM f)),
+    best AS (SELECT x, arg_min(y, (-score, y)) AS k, max(score) AS score FROM z GROUP BY x),
+    listed AS (SELECT k, string_agg(interest, '; ' ORDER BY interest) AS interests FROM i GROUP BY k)
+    SELECT x AS company, CASE WHEN score >= 90 THEN interests ELSE '' END AS interests, best.k AS keywords, score FROM best JOIN listed ON best.k = listed.k
+    UNION ALL SELECT a, array_to_string(li, '; '), array_to_string(list_filter(lk, lambda x, p: list_position(lk, x) = p), '; '), 100 FROM hit""")
 def keyword_best_match(spark, sf_dir):
     """J12, J13."""
     part = table(spark, sf_dir, "part")

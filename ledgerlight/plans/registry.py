@@ -41,7 +41,8 @@ def token_set(least: int = 0) -> str:
     parts AS (
       SELECT sized.*, CAST(na + nb - 2 * had[-1] AS DOUBLE) AS apart
       FROM sized JOIN grown ON sized.a = grown.a AND sized.b = grown.b AND i = length(grown.a)),
-    scored AS (SELECT x, y, CAST(floor({score.format(apart="apart")}) AS INT) AS score FROM parts)"""
+    fine AS (SELECT x, y, {score.format(apart="apart")} AS score FROM parts),
+    scored AS (SELECT x, y, CAST(floor(score) AS INT) AS score FROM fine)"""
 
 
 def query(sql: str | None = None):
