@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, made once, written to the checkpoint folder; only a local master without one keeps them in memory."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; only a local master without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        return df.persist()
-    if not spark.sparkContext.getCheckpointDir():
+        base = tempfile.mkdtemp(prefix="ledgerlight-")
         spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+    return f"{base.rstrip('/')}/ledgerlight-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, made once: written to the shared folder and read again, which also cuts the lineage."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

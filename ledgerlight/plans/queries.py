@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import web
 from ..operators import awards, clean, crawl, filings, html, matching, phrase, store, votes
+from ..operators.lineage import settled
 from ..streaming import incremental
 from .registry import COMPANY as _COMPANY
 from .registry import KEY as _KEY
@@ -517,7 +518,7 @@ def crawl_frontier(spark, sf_dir):
     at = lambda sign, c: F.concat(F.lit(f"http://x/{sign}"), F.col(c).cast("string"))
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     edges = nation.select(at("r", "n_regionkey").alias("source"), at("n", "n_nationkey").alias("target")).union(customer.select(at("n", "c_nationkey"), at("c", "c_custkey"))).union(nation.select(at("n", "n_nationkey"), at("r", "n_regionkey")))
-    return crawl.reachable(table(spark, sf_dir, "region").select(at("r", "r_regionkey").alias("url")), edges, 3).select("url", "depth")
+    return crawl.reachable(table(spark, sf_dir, "region").select(at("r", "r_regionkey").alias("url")), edges, 3, keep=settled).select("url", "depth")
 
 
 @query("""
