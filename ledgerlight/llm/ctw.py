@@ -271,9 +271,9 @@ def _ask(p: bl.Plan, depth: int):
 
 
 def word_sums(words: bl.Merged) -> tuple:
-    """Distinct words and tokens of the training texts, in a range."""
+    """Distinct words and, in digits, tokens of the training texts, in a range."""
     n = words.values[0]
-    return int((n > 0).sum()), b"", b"", [bl.plain(np.array([n.sum()], _U))]
+    return int((n > 0).sum()), str(int(n.sum())).encode(), b"", []
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -420,7 +420,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     for_codes = bl.down(code_asks, for_codes, KINDS, p, {CODES: bl.tell_all})
     for_words = written(bl.exchange(asks.filter(F.col("kind") == WORDS), KINDS, p, {WORDS: bl.tell_all}, {WORDS: word_sums}))
     texts = asks.filter(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
-    sums = [(r["n"], int(bl.unplain(bytes(r["vals"][0]), 1)[0])) for r in for_words.filter("asker = -1").select("n", "vals").collect()]  # a row for each range
-    final = _score(p, depth, int(texts), sum(t for _, t in sums), sum(n for n, _ in sums))
+    sums = for_words.filter("asker = -1").agg(F.sum("n").alias("known"), F.sum(F.col("keys").cast("string").cast("long")).alias("tokens")).first()
+    final = _score(p, depth, int(texts), int(sums["tokens"] or 0), int(sums["known"] or 0))
     told = for_words.filter("asker >= 0").unionByName(for_codes)
     return by_block.cogroup(told.groupBy("asker")).applyInArrow(final, RESULT)
