@@ -6,7 +6,7 @@ any archive exists.  There are as many archives as ARCHIVE_BYTES asks for, and
 no fewer than the engine has shuffle partitions.  They are then written by the
 engine's own text writer, one record a row, with the record separator as line
 separator: a lost executor's archives are written again and committed once, on
-any file system.  Records are dealt by page, URL and digest, so rows that share
+any file system.  Records are dealt by page, URL and size, so rows that share
 a page_id or have none spread; pages with one payload meet their response by
 salted sums.
 Reading takes selected index rows, sorts them by place, joins byte ranges that
@@ -85,12 +85,12 @@ def _rows(pages: DataFrame) -> DataFrame:
 
 
 def _number(archives: int) -> Column:
-    """The archive of a record, by a hash of page, URL and digest."""
+    """The archive of a record, by a hash of page, URL and size, which cost no digest."""
     return F.pmod(F.hash("key"), F.lit(archives))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("key", F.xxhash64("page_id", "url", "digest"))
+    return rows.withColumn("key", F.xxhash64("page_id", "url", "size"))
 
 
 def plan(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -117,21 +117,21 @@ def placed(planned: DataFrame, archives: int) -> DataFrame:
 
 def write(pages: DataFrame, index: DataFrame, path: str, archives: int) -> None:
     """Writes the archives that the index describes; moves every payload once."""
-    known = index.groupBy("key").agg(F.collect_set(F.struct("digest", "refers_to", "kind")).alias("known"))
+    known = index.select("key", F.col("digest").alias("of"), "refers_to", "kind")
     # both sides are dealt by the same number of the same hash as the archives, so the join keeps each archive in one task
     number = _number(archives)
-    all_rows = _keyed(_rows(pages).withColumn("digest", base32_sha1(F.col("html"))))
+    all_rows = _keyed(_rows(pages).withColumn("size", F.octet_length("html").cast("long"))).drop("size")
     for wave in range(WAVES):
-        now = all_rows.filter(number % WAVES == wave).repartition(archives, "key")
-        both = now.join(known.filter(number % WAVES == wave).repartition(archives, "key").hint("merge"), "key")
+        now = all_rows.filter(number % WAVES == wave).withColumn("digest", base32_sha1(F.col("html"))).repartition(archives, "key")
+        both = now.join(known.filter(number % WAVES == wave).repartition(archives, "key").distinct().hint("merge"), "key")
+        # rows that share a key are told apart by digest; by order, since one more equality would deal both sides anew
         with releasing(pages.sparkSession):
-            _write_wave(both, number, path)
+            _write_wave(both.filter((F.col("of") >= F.col("digest")) & (F.col("of") <= F.col("digest"))), number, path)
 
 
 def _write_wave(both: DataFrame, number: Column, path: str) -> None:
-    own = F.filter("known", lambda k: k["digest"] == F.col("digest"))[0]
-    head = _head(own["kind"], F.col("page_id"), F.col("url"), F.col("digest"), own["refers_to"], F.octet_length("html"))
-    record = F.concat(head, F.when(own["kind"] == "revisit", "").otherwise(F.col("html")))
+    head = _head(F.col("kind"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers_to"), F.octet_length("html"))
+    record = F.concat(head, F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
     out = both.select(record.alias("value"), number.alias("archive"), "page_id", "digest", "url")
     ordered = out.sortWithinPartitions("archive", "page_id", "digest", "url").select("value", "archive")
     ordered.write.mode("append").option("lineSep", END).partitionBy("archive").text(path)
