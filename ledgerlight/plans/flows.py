@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.web import years_list
 from ..operators import awards, clean, filings, matching, phrase, store, votes
+from ..ship import ship
 from ..sources import feed, files, readers, sinks
 
 
@@ -153,6 +154,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     if args.command == "sql":
         if (df := statement(spark, args.statement)) is not None:
             df.show(250, False)
