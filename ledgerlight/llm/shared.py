@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +43,25 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+#: Tables written since each `lasting` that is under way began.
+_MADE: list[list[DataFrame]] = []
+
+
+def lasting(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that `make` gives, written; the tables that were written on the way are deleted."""
+    _MADE.append([])
+    try:
+        out = written(make())
+    finally:
+        made = _MADE.pop()
+    drop(*made[:-1])
+    if _MADE:
+        _MADE[-1].append(out)
     return out
 
 

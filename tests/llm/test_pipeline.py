@@ -35,7 +35,12 @@ def test_pipeline_brute_force(spark, frame, tmp_path):
     kept = [(d, t) for d, t in kept if part[d] == d and not any(s.lower() in t.lower() for _, s in items)]
     assert len(kept) == 80
 
+    from ledgerlight.llm.shared import folder
+
+    shared = os.path.dirname(folder(spark).removeprefix("file:"))
+    before = set(os.listdir(shared))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(set(os.listdir(shared)) - before) == 1  # the last stage's input
     assert sorted((x.doc_id, x.decoded_sha256) for x in got) == sorted((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in kept)
     codec = byte_bpe.codec(byte_bpe.rank_file())
     texts = dict(kept)
