@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.web import years_list
 from ..operators import awards, clean, filings, matching, phrase, store, votes
+from ..operators.lineage import settled
 from ..ship import ship
 from ..sources import feed, files, readers, sinks
 
 
 def votes_and_holdings(minutes: DataFrame, payloads: DataFrame, agency: str | None = None, least: float = 0.75) -> dict[str, DataFrame]:
-    """Minutes texts and disclosure payloads to vote rows, entities, enriched votes and minutes matches."""
+    """Minutes texts and disclosure payloads to vote rows, entities, enriched votes and minutes matches.
+
+    What several of these need is made once and written to the shared folder.
+    """
     rows = votes.vote_rows(minutes).join(minutes.select("minutes_cache_key", "meeting_date", "body"), "minutes_cache_key")
-    rows = rows.withColumn("row_id", F.xxhash64("minutes_cache_key", "pos", "name_pos"))
-    items = filings.sanitized(filings.payload_rows(payloads)).filter(filings.agency_is("filer_agency_name", agency))
-    found = phrase.entities(items, "ord")
-    matched = phrase.vote_matches(phrase.allowed(rows, items.select(F.col("owner_full_name").alias("full_name"))), found, least=least)
+    rows = settled(rows.withColumn("row_id", F.xxhash64("minutes_cache_key", "pos", "name_pos")))
+    items = settled(filings.sanitized(filings.payload_rows(payloads)).filter(filings.agency_is("filer_agency_name", agency)))
+    found = settled(phrase.entities(items, "ord"))
+    matched = settled(phrase.vote_matches(phrase.allowed(rows, items.select(F.col("owner_full_name").alias("full_name"))), found, least=least))
     return {"votes": rows, "entities": items, "enriched": phrase.enriched(rows, matched), "minutes_matches": phrase.minutes_matches(minutes, found, least)}
 
 
@@ -69,7 +73,7 @@ def vote_run(spark: SparkSession, texts: str, payloads: str, out: str, agency: s
     found = votes_and_holdings(minutes, spark.read.schema(filings.PAYLOADS).json(payloads), agency or None, least)
     counts = {}
     for name, df in found.items():
-        plain = df.select(*(c for c, t in df.dtypes if not t.startswith("struct")))
+        plain = settled(df.select(*(c for c, t in df.dtypes if not t.startswith("struct"))))
         sinks.csv(plain, files.child(out, f"{name}.csv"), mode="overwrite")
         counts[name] = plain.count()
     if known:
