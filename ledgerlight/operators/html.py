@@ -18,6 +18,10 @@ ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|\'([^\']*)\')[^>]*>(.*?)</a\
 # Words of labels that lead to votes, and of URLs that lead to meetings.
 VOTE_LABELS = ("minutes", "summary minutes", "action minutes", "results", "vote")
 MEETING_TOKENS = ("meeting", "agenda", "minutes", ".pdf")
+# Patterns of a consent item's row, its mark and its matter, of the table of attachments and its links.
+ROW, CONSENT = r"(?is)<tr[^>]*>(.*?)</tr>", "Consent Calendar Item"
+MATTER_LINK = r'(?i)href="([^"]*LegislationDetail\.aspx[^"]*)"[^>]*>([^<]+)</a>'
+ATTACHMENTS, HREF = r'(?is)<table[^>]+id="ctl00_ContentPlaceHolder1_tblAttachments"[^>]*>(.*?)</table>', r'(?i)href="([^"]+)"'
 # Headings of a meeting grid.
 GRID = {"name": "body", "meeting date": "meeting_date", "meeting time": "meeting_time", "meeting location": "location"}
 GRID_LINKS = {"meeting details": "meeting_url", "agenda": "agenda_url", "minutes": "minutes_url"}
@@ -78,19 +82,23 @@ def meeting_links(found: DataFrame, key: str, most: int = 25) -> DataFrame:
 
 def consent_items(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """rows of consent items with the URL and number of their matter, once each."""
-    rows = F.filter(F.regexp_extract_all(null_to_blank(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: r.contains("Consent Calendar Item"))
-    link = r'(?i)href="([^"]*LegislationDetail\.aspx[^"]*)"[^>]*>([^<]+)</a>'
-    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(rows).alias("pos", "_r")).filter(F.col("_r").rlike(link))
-    href = F.replace(F.regexp_extract("_r", link, 1), F.lit("&amp;"), F.lit("&"))
-    found = each.select(key, "pos", normal_url(joined_url("_base", href)).alias("url"), F.nullif(F.trim(F.regexp_extract("_r", link, 2)), F.lit("")).alias("matter_file"))
+    marked = F.filter(F.regexp_extract_all(null_to_blank(html), F.lit(ROW), F.lit(1)), lambda r: r.contains(CONSENT))
+    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(marked).alias("pos", "_r")).filter(F.col("_r").rlike(MATTER_LINK))
+    number = F.nullif(F.trim(F.regexp_extract("_r", MATTER_LINK, 2)), F.lit(""))
+    found = each.select(key, "pos", _followed(F.regexp_extract("_r", MATTER_LINK, 1)).alias("url"), number.alias("matter_file"))
     return found.groupBy(key, "url", "matter_file").agg(F.min("pos").alias("pos"))
 
 
 def attachment_links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """links of a page's table of attachments, once each."""
-    part = F.regexp_extract(null_to_blank(html), r'(?is)<table[^>]+id="ctl00_ContentPlaceHolder1_tblAttachments"[^>]*>(.*?)</table>', 1)
-    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(part, F.lit(r'(?i)href="([^"]+)"'), F.lit(1))).alias("pos", "_h"))
-    return each.groupBy(key, normal_url(joined_url("_base", F.replace("_h", F.lit("&amp;"), F.lit("&")))).alias("url")).agg(F.min("pos").alias("pos"))
+    part = F.regexp_extract(null_to_blank(html), ATTACHMENTS, 1)
+    each = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(part, F.lit(HREF), F.lit(1))).alias("pos", "_h"))
+    return each.groupBy(key, _followed(F.col("_h")).alias("url")).agg(F.min("pos").alias("pos"))
+
+
+def _followed(href: Column) -> Column:
+    """Where an href leads from the page in _base."""
+    return normal_url(joined_url("_base", F.replace(href, F.lit("&amp;"), F.lit("&"))))
 
 
 def first_meetings(found: DataFrame, key: str, most_pages: int | None = None, most_meetings: int | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ def tokens(text: Column | str) -> Column:
 
 #: Words of a phrase's beginning by which texts are looked through.
 HEAD = 4
+#: Phrases of so many bytes at most are sent to all texts; of more, texts' runs and phrases meet by a shuffle.
+SENT_BYTES = 8 << 20
 
 
 def occurrences(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -27,7 +29,10 @@ def occurrences(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, p
     """
     keyed = phrases.select(search_key(phrase).alias("_p")).filter(F.length("_p") >= 3).distinct()
     begun = keyed.withColumn("_n", F.size(F.split("_p", " "))).withColumn("_h", F.substring_index("_p", " ", HEAD))
-    lengths = sorted(r[0] for r in begun.select(F.least("_n", F.lit(HEAD))).distinct().collect())  # HEAD numbers at most
+    # HEAD numbers at most, and the phrases' bytes: few enough, and they go to the texts
+    told = begun.agg(F.sort_array(F.collect_set(F.least("_n", F.lit(HEAD)))).alias("lengths"), F.sum(F.octet_length("_p") + F.octet_length("_h")).alias("size")).first()
+    lengths = told["lengths"]
+    begun = F.broadcast(begun) if (told["size"] or 0) <= SENT_BYTES else begun
     words = texts.select(F.col(text_id), tokens(text).alias("_t"))
 
     def runs(n: int) -> Column:
