@@ -304,7 +304,7 @@ def folder_profile(spark, sf_dir):
 @query("SELECT c_mktsegment AS k, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY ALL")
 def catalog_tables(spark, sf_dir):
     """A database for a location, a table written and appended to, found by name and read by SQL."""
-    name = sinks.database(spark, f"1 Location {folder(spark)[-8:]}!")
+    name = sinks.database(spark, f"1 Location {folder(spark)[-8:]}!", folder(spark))
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("Market Segment"), F.col("c_custkey").alias("c custkey"))
     where = {"path": f"{folder(spark)}"}
     try:

@@ -75,10 +75,11 @@ def workbook(df: DataFrame, path: str, sheet: str = "Sheet1") -> None:
     sheets.write(flat(df), path, sheet)
 
 
-def database(spark, location: str) -> str:
-    """K9, F21"""
+def database(spark, location: str, path: str | None = None) -> str:
+    """A database named for a location, in the warehouse or at a path."""
     name = sql_name(location)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    at = "" if path is None else " LOCATION '" + path.replace("'", "\\'") + "'"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{at}")
     return name
 
 
