@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import itertools
+import string
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_set_score, weighted_ratio
+from ..functions.fuzzy import token_set_ratio, token_set_score, weighted_ratio
 from ..functions.text import company_key, null_to_blank
+from .lineage import settled
 
 #: Signs of a name's beginning by which longer names that begin with it are found.
 PREFIX = 8
 #: Keywords that are held against all names at once.
 KEYWORDS = 20_000
+#: Names of a group that are held against as many others at once.
+BLOCK = 128
+_PLACE = {c: i for i, c in enumerate(string.ascii_lowercase + string.digits)}
 
 
 def exact(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -204,21 +212,72 @@ def agenda_conflicts(officials: DataFrame, items: DataFrame) -> DataFrame:
     return containment_one_way(held, items.filter("description is not null"), "company_name", "description")
 
 
+def _signs(names: list[str]) -> np.ndarray:
+    """How often each letter and digit stands in the distinct tokens of each name; other signs share a column."""
+    out = np.zeros((len(names), len(_PLACE) + 1), np.int16)
+    for row, name in zip(out, names, strict=True):
+        for sign, n in Counter("".join(set(name.split()))).items():
+            row[_PLACE.get(sign, -1)] += n
+    return out
+
+
+def near_longer(short: list[str], long: list[str], threshold: int) -> list[str]:
+    """Those of `short` that one longer name of `long` is close to.
+
+    Of two names one may be within the threshold's reach only if few signs of their distinct tokens stand apart.
+    With T the threshold's share that may differ, and W a name's signs: tokens that the other side lacks weigh
+    2T / (1 + T) of W at most where they alone decide, and 2T / (1 - T) where two remainders are compared.
+    """
+    close = lambda x, y: len(y) > len(x) and int(token_set_ratio(x, y)) >= threshold
+    if len(short) * len(long) <= 64:
+        return [x for x in short if any(close(x, y) for y in long)]
+    t = (100 - threshold) / 100
+    share = max(2 * t / (1 + t), 2 * t / max(1 - t, 1e-9))
+    a, b = _signs(short), _signs(long)
+    reach = lambda names: np.array([share * (len(" ".join(set(n.split()))) + 1) + 1e-6 for n in names])
+    longer = np.array([len(n) for n in long])[None] > np.array([len(n) for n in short])[:, None]
+    apart = np.zeros((2, len(short), len(long)), np.int32)
+    for i in range(a.shape[1]):
+        gap = a[:, i, None] - b[None, :, i]
+        apart[0] += np.maximum(gap, 0)
+        apart[1] += np.maximum(-gap, 0)
+    may = longer & ((apart[0] <= reach(short)[:, None]) | (apart[1] <= reach(long)[None]))
+    return [x for x, row in zip(short, may, strict=True) if any(close(x, long[j]) for j in np.flatnonzero(row))]
+
+
 def less_complete(df: DataFrame, row: str, groups: list[str], name: str, threshold: int = 94) -> DataFrame:
     """Rows for which another of the same group (nulls equal) has a longer name that begins with this one or is close to it.
 
-    Both meet by equi-joins inside their group: the longer name by one of its first PREFIX beginnings, close names
-    as in `close_candidates`.
+    Names that begin alike meet by an equi-join inside their group, the longer by one of its first PREFIX beginnings.
+    What is left is held against the longer names of its group, BLOCK names a side at a time, in `near_longer`.
     """
     group = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
     keyed = df.select(row, group.alias("_q"), company_key(name).alias("_k")).filter("_k <> ''")
-    each = keyed.select("_q", "_k").distinct()
+    each = settled(keyed.select("_q", "_k").distinct())
     head = F.least(F.length("_k"), F.lit(PREFIX))
     short = each.withColumn("_h", F.left("_k", head))
     sizes = F.transform(F.sequence(F.lit(1), head), lambda n: F.left("_k", n))
     other = each.select("_q", F.col("_k").alias("_o"), F.explode(sizes).alias("_h"))
-    prefix = short.join(other, ["_q", "_h"]).filter((F.length("_o") > F.length("_k")) & F.col("_o").startswith(F.col("_k"))).select("_q", "_k")
-    longer = (F.length("_o") > F.length("_k")) & ~F.col("_o").startswith(F.col("_k"))
-    pairs = close_candidates(each, each.withColumnRenamed("_k", "_o"), "_k", "_o", threshold, ("_q",)).filter(longer)
-    near = pairs.filter(token_set_score(F.col("_k"), F.col("_o")) >= threshold).select("_q", "_k")
-    return keyed.join(prefix.unionByName(near).distinct(), ["_q", "_k"], "left_semi").select(row)
+    gone = short.join(other, ["_q", "_h"]).filter((F.length("_o") > F.length("_k")) & F.col("_o").startswith(F.col("_k"))).select("_q", "_k").distinct()
+    if threshold <= 100:
+        gone = settled(gone)
+        blocks = lambda x: _blocks(x, each)
+        left = blocks(each.join(gone, ["_q", "_k"], "left_anti")).withColumnsRenamed({"_b": "_s", "names": "short"})
+        pairs = left.join(blocks(each).withColumnsRenamed({"_b": "_l", "names": "long"}), "_q")
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(c) for c in ("_q", "short", "long")), strict=True)
+                found = [(q.as_py(), x) for q, a, b in rows for x in near_longer(a.as_py(), b.as_py(), threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["_q", "_k"])
+
+        near = pairs.repartition(parts, "_q", "_s", "_l").select("_q", "short", "long").mapInArrow(run, "_q string, _k string")
+        gone = gone.unionByName(near.distinct())
+    return keyed.join(gone, ["_q", "_k"], "left_semi").select(row)
+
+
+def _blocks(names: DataFrame, each: DataFrame) -> DataFrame:
+    """The names of each group in lists of about BLOCK, dealt by hash: _q, _b, names."""
+    sizes = each.groupBy("_q").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    return names.join(sizes, "_q").withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n"))).groupBy("_q", "_b").agg(F.collect_list("_k").alias("names"))
