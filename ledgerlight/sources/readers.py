@@ -6,6 +6,8 @@ import csv
 import io
 import os
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,10 +93,18 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def cached_texts(files: DataFrame, cache: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """Texts that a cache keyed by the URL's digest holds, and the files still to be read."""
+def cached_texts(files: DataFrame, cache: DataFrame, url: str = "url", within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Texts that a cache keyed by the URL's digest holds, and the files still to be read.
+
+    Each file comes once, however often its URL is cached; of several texts of a key the first in order counts.
+    A cache that is kept apart for each value of columns `within` answers only files with the same values (nulls equal).
+    """
     keyed = files.withColumn("cache_key", F.sha1(F.col(url).cast("binary")))
-    return keyed.join(cache.select("cache_key", "text"), "cache_key"), keyed.join(cache, "cache_key", "left_anti")
+    names = ("cache_key", *within)
+    one = cache.groupBy(*(F.col(c).alias(f"_{c}") for c in names)).agg(F.min("text").alias("_text"))
+    same = reduce(and_, (keyed[c].eqNullSafe(one[f"_{c}"]) for c in names))
+    held = keyed.join(one, same).select(*(keyed[c] for c in keyed.columns), F.col("_text").alias("text"))
+    return held, keyed.join(one, same, "left_anti")
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from ledgerlight.functions import fuzzy
 from ledgerlight.operators import matching
+from ledgerlight.sources import readers
 
 
 def rows(df, *columns):
@@ -27,3 +28,13 @@ def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     df = spark.createDataFrame([(f"{g}{i}", g, x) for g in "uv" for i, x in enumerate(names)], "row string, g string, name string")
     found = matching.less_complete(df, "row", ["g"], "name")
     assert set(rows(found.join(df, "row"), "g", "name")) == want
+
+
+def test_cache_with_repeated_urls(spark):
+    pages = spark.createDataFrame([(0, "u"), (1, "u"), (2, "u"), (3, "v"), (4, None), (5, None)], "page_id long, url string")
+    cache = pages.filter("page_id % 2 = 0").selectExpr("page_id", "sha1(cast(url as binary)) AS cache_key", "'kept' AS text")
+    held, rest = readers.cached_texts(pages, cache, within=("page_id",))
+    assert rows(held, "page_id", "url", "text") == [(0, "u", "kept"), (2, "u", "kept"), (4, None, "kept")]
+    assert rows(rest, "page_id") == [(1,), (3,), (5,)]
+    held, rest = readers.cached_texts(pages, cache)  # one cache for all: each page once
+    assert rows(held, "page_id") == [(0,), (1,), (2,), (4,), (5,)] and rows(rest, "page_id") == [(3,)]
