@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -25,26 +26,33 @@ ATTACHMENTS, HREF = r'(?is)<table[^>]+id="ctl00_ContentPlaceHolder1_tblAttachmen
 # Headings of a meeting grid.
 GRID = {"name": "body", "meeting date": "meeting_date", "meeting time": "meeting_time", "meeting location": "location"}
 GRID_LINKS = {"meeting details": "meeting_url", "agenda": "agenda_url", "minutes": "minutes_url"}
+# An ampersand that begins no reference with a semicolon.
+OPEN_REFERENCE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
 
 
-def text_of(page: str | None) -> str:
+def text_of(page: str | None, closed: bool = False) -> str:
     """Text nodes with more than white space, as they stand, one after another on lines of their own.
 
-    Scripts and styles count as text; references are resolved in the nodes and once more in the whole.
+    Scripts and styles count as text; references are resolved in the nodes and once more in the whole.  Where `closed`
+    is set, only references that a semicolon ends are: a page's text may be cut off within one.
     """
+    page = page or ""
+    mark = next(c for c in map(chr, range(0xF0000, 0xFFFFE)) if c not in page) if closed else ""
+    held = (lambda t: OPEN_REFERENCE.sub(mark, t)) if closed else str
     nodes: list[str] = []
     reader = HTMLParser()
     reader.handle_data = nodes.append
-    reader.feed(page or "")
-    return unescape("\n".join(n for n in nodes if not n.isspace()))
+    reader.feed(held(page))
+    text = unescape(held("\n".join(n for n in nodes if not n.isspace())))
+    return text.replace(mark, "&") if closed else text
 
 
-def html_text(html: Column | str) -> Column:
+def html_text(html: Column | str, closed: bool = False) -> Column:
     """S9 as a column."""
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(text_of)
+        return pages.map(lambda page: text_of(page, closed))
 
     return run(html)
 

@@ -1,7 +1,7 @@
 """Names, caches, pages, dictionaries and minutes that tables of more rows bring along."""
 
 from ledgerlight.functions import fuzzy
-from ledgerlight.operators import matching
+from ledgerlight.operators import html, matching
 from ledgerlight.sources import readers
 
 
@@ -38,3 +38,10 @@ def test_cache_with_repeated_urls(spark):
     assert rows(rest, "page_id") == [(1,), (3,), (5,)]
     held, rest = readers.cached_texts(pages, cache)  # one cache for all: each page once
     assert rows(held, "page_id") == [(0,), (1,), (2,), (4,), (5,)] and rows(rest, "page_id") == [(3,)]
+
+
+def test_references_that_are_cut_off():
+    page = "<title>a &amp;&amp; b &amp</title><script>x && y</script><p>&amp;amp; &lt;3 &#65;&#6 &copy 2 &</p>"
+    assert html.text_of(page) == "a && b &\nx && y\n& <3 A\x06 © 2 &".replace("\x06", "")
+    assert html.text_of(page, closed=True) == "a && b &amp\nx && y\n& <3 A&#6 &copy 2 &"
+    assert html.text_of(None, closed=True) == ""
