@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,10 +67,29 @@ def required(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def interests(spark: SparkSession, path: str) -> DataFrame:
-    """Interest, keyword and their places by first appearance."""
-    rows = required(spark.read.option("header", True).csv(path), "interest", "keyword").select("interest", "keyword", F.monotonically_increasing_id().alias("keyword_ord"))
-    first = rows.groupBy("interest").agg(F.min("keyword_ord").alias("interest_ord"))
-    return rows.join(first, "interest")
+    """Interest, keyword and their places by first appearance, counted from 0 through all files in order of their names."""
+    rows = required(placed(dictionary(spark, path), "keyword_ord"), "interest", "keyword").select("interest", "keyword", "keyword_ord")
+    first = rows.groupBy(F.col("interest").alias("_i")).agg(F.min("keyword_ord").alias("interest_ord"))
+    return rows.join(first, F.col("interest").eqNullSafe(F.col("_i"))).drop("_i")
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text; cells may hold line feeds."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def placed(rows: DataFrame, place: str) -> DataFrame:
+    """Rows of files with their place, counted from 0: files by name, then parts of a file, then rows of a part.
+
+    The engine deals parts to its tasks by size, so its own row numbers have gaps and need not follow the files.
+    Only a count for each part goes through one task.
+    """
+    kept = rows.columns
+    read = rows.select(*(F.col(f"`{c}`") for c in kept), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    parts = read.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_f", "_b", (before - F.col("_first")).alias("_to"))
+    return read.join(F.broadcast(starts), ["_f", "_b"]).select(*(F.col(f"`{c}`") for c in kept), (F.col("_id") + F.col("_to")).alias(place))
 
 
 def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from ledgerlight.functions import fuzzy
 from ledgerlight.operators import html, matching
-from ledgerlight.sources import readers
+from ledgerlight.sources import readers, sinks
 
 
 def rows(df, *columns):
@@ -45,3 +45,16 @@ def test_references_that_are_cut_off():
     assert html.text_of(page) == "a && b &\nx && y\n& <3 A\x06 © 2 &".replace("\x06", "")
     assert html.text_of(page, closed=True) == "a && b &amp\nx && y\n& <3 A&#6 &copy 2 &"
     assert html.text_of(None, closed=True) == ""
+
+
+def test_dictionary_of_several_files(spark, tmp_path):
+    """The engine reads large files first; places follow the files' names, without gaps."""
+    parts = [[("B", "x")], [("A", f"k{i}") for i in range(200)], [("B", 'say "so"'), ("B", "two\nlines"), (None, "no interest"), ("A", "last")]]
+    for i, part in enumerate(parts):
+        sinks.csv(spark.createDataFrame(part, "interest string, keyword string").coalesce(1), f"{tmp_path}/d/{i}")
+    found = readers.interests(spark.newSession(), f"{tmp_path}/d/*").collect()
+    flat = [x for part in parts for x in part]
+    first = {}
+    for place, (interest, _) in enumerate(flat):
+        first.setdefault(interest, place)
+    assert sorted((r.keyword_ord, r.interest, r.keyword, r.interest_ord) for r in found) == [(i, a, k, first[a]) for i, (a, k) in enumerate(flat)]
