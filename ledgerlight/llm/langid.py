@@ -8,14 +8,16 @@ A text's n-grams are counted for each language, the expected number of false
 positives, known from how full each filter is, is taken out, and the largest
 remainder decides.  The score is its share of all remainders.
 
-Fitting reads at most about `per_language` labelled texts of each language,
-chosen by a hash of the identifier; everything else reads every row.
+Every labelled text teaches, and those held out are all counted for the threshold
+of rejection; nothing is sampled.  A filter holds the n-grams that stand in one of
+FEW of its language's texts at least, by exact counts: up to 2 * FEW texts that is
+every n-gram, and filters don't fill up as texts are added.
 
 Nulls: a null text, or one without a letter, is `und` with score 0.  Rows
 without language or text teach nothing; a null doc_id is not held out and
 teaches.  Equal scores go to the language that sorts first.  With no labelled
-row at all every text is `und`.  Repeated rows teach as one; other columns are
-ignored.
+row at all every text is `und`.  Repeated rows teach as often as they stand there;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from . import arrowtext as at
 
 #: n-gram length in bytes, slots of the filter, lookups for each n-gram.
 GRAM, SLOTS, LOOKUPS = 5, 1 << 21, 3
-#: Texts of each language that may be used to fit.
-PER_LANGUAGE = 4000
+#: A language holds an n-gram that one of so many of its texts has. n-grams whose counts a task keeps at once.
+FEW, HELD = 1500, 1 << 19
 #: Languages of one slot array: the bits of a non-negative long.
 WORD = 63
 UNDETERMINED = "und"
@@ -71,39 +73,70 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
     return [(at.fmix(code + s) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1) for s in _SEEDS]
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, slot arrays and false positive rate of each language's filter.
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[begin], np.add.reduceat(n[order], begin) if len(key) else n
+
+
+def _texts_by_gram(texts: DataFrame) -> DataFrame:
+    """In how many of a language's texts each n-gram stands: l, code, n, a row for each n-gram of a task's texts."""
+
+    def told(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(40)).astype(np.int32)), pa.array((key & np.uint64((1 << 40) - 1)).astype(np.int64)), pa.array(n)], ["l", "code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            l_of = batch.column("l").to_numpy().astype(np.uint64)
+            for row, end, raw, offsets in at.pieces(batch.column("text")):
+                code, own = grams(raw, offsets)
+                once = np.unique(code << np.uint64(24) | own.astype(np.uint64))  # of each text
+                del code, own
+                which = l_of[row:end][(once & np.uint64(0xFFFFFF)).astype(np.int64)]
+                new.append(np.unique(which << np.uint64(40) | once >> np.uint64(24), return_counts=True))
+                if sum(len(k) for k, _ in new) > HELD:
+                    key, n = _summed(np.concatenate([key, *(k for k, _ in new)]), np.concatenate([n, *(m for _, m in new)]))
+                    new = []
+                    if len(key) > 8 * HELD:
+                        yield told(key, n)
+                        key, n = key[:0], n[:0]
+        yield told(*_summed(np.concatenate([key, *(k for k, _ in new)]), np.concatenate([n, *(m for _, m in new)])))
+
+    return texts.mapInArrow(run, "l int, code long, n long")
+
+
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, slot arrays and false positive rate of each language's filter, from all labelled texts.
 
     Comes to the driver: a row for each language and at most SLOTS slots for each WORD languages.
     """
     spark = docs.sparkSession
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     arrays = max(1, -(-len(languages) // WORD))
     filters = np.zeros((arrays, SLOTS), np.uint64)
     if not languages:
         return languages, filters, np.zeros(0)
-    taught = spark.createDataFrame([(name, i, min(1.0, per_language / sizes[name])) for i, name in enumerate(languages)], "lang string, l int, share double")
-    chosen = labelled.join(F.broadcast(taught), "lang").filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("l", "text")
+    taught = F.broadcast(spark.createDataFrame([(name, i, max(1, sizes[name] // FEW)) for i, name in enumerate(languages)], "lang string, l int, least long"))
+    counted = _texts_by_gram(labelled.join(taught, "lang").select("l", "text")).groupBy("l", "code").agg(F.sum("n").alias("n"))
+    own = counted.join(taught, "l").filter("n >= least").select("l", "code")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The slots of the distinct n-grams of a few texts, with the bits of their languages."""
+        """The slots of n-grams, with the bits of their languages."""
         for batch in batches:
-            l_of = batch.column("l").to_numpy()
-            for row, end, raw, offsets in at.pieces(batch.column("text")):
-                code, own = grams(raw, offsets)
-                key = np.unique(code << np.uint64(24) | l_of[row:end][own].astype(np.uint64))
-                l = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-                slot = np.concatenate(slots(key >> np.uint64(24)))
-                where = np.tile(l // WORD, LOOKUPS) << 32 | slot
-                order = np.argsort(where)
-                where, bit = where[order], np.tile(np.uint64(1) << (l % WORD).astype(np.uint64), LOOKUPS)[order]
-                begin = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-                mask = np.bitwise_or.reduceat(bit, begin) if len(where) else bit
-                yield pa.RecordBatch.from_arrays([pa.array(where[begin] & 0xFFFFFFFF), pa.array(where[begin] >> 32), pa.array(mask.astype(np.int64))], ["slot", "array", "mask"])
-
-    placed = chosen.mapInArrow(place, "slot long, array long, mask long").groupBy("slot", "array").agg(F.bit_or("mask").alias("mask")).toArrow()
+            l = np.tile(batch.column("l").to_numpy().astype(np.int64), LOOKUPS)
+            where = l // WORD << 32 | np.concatenate(slots(batch.column("code").to_numpy().astype(np.uint64)))
+            order = np.argsort(where)
+            where, bit = where[order], (np.uint64(1) << (l % WORD).astype(np.uint64))[order]
+            begin = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
+            mask = np.bitwise_or.reduceat(bit, begin) if len(where) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(where[begin] & 0xFFFFFFFF), pa.array(where[begin] >> 32), pa.array(mask.astype(np.int64))], ["slot", "array", "mask"])
+
+    placed = own.mapInArrow(place, "slot long, array long, mask long").groupBy("slot", "array").agg(F.bit_or("mask").alias("mask")).toArrow()
     filters[placed.column("array").to_numpy(), placed.column("slot").to_numpy()] = placed.column("mask").to_numpy().astype(np.uint64)
     full = np.array([np.mean(filters[i // WORD] >> np.uint64(i % WORD) & np.uint64(1)) for i in range(len(languages))])
     return languages, filters, full**LOOKUPS
@@ -148,49 +181,58 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fits on the rows that are not held out, then predicts all: doc_id, held_out, lang_pred, score."""
-    model = fit(docs.filter(~held_out(F.col("doc_id"))), per_language)
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
     return predict(spark, docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 #: A text is rejected whose winning language holds less than this part of what it holds of nearly all labelled texts
 #: that it wasn't taught; of those, all but so many in a thousand count as nearly all.
 REJECT_SHARE, STRAY = 0.5, 5
+#: Steps in which the share that a language holds is counted for the threshold.
+STEPS = 100_000
 
 
-def floor(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], per_language: int) -> float:
-    """The share of known n-grams below which a text is in no taught language.
+def floor(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> float:
+    """The share of known n-grams below which a text is in no taught language, from all labelled texts that taught nothing.
 
-    Measured on labelled texts that taught nothing, about `per_language` for each language at most.
+    Each language counts as much as any other: a text weighs one by the texts of its language.
     """
     languages, filters, wrong = model
     if not languages:
         return 0.0
     spark = docs.sparkSession
-    labelled = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isin(*languages) & F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(float(per_language)) / F.col("n"))
-    chosen = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text")
+    labelled = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isin(*languages) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     shared = spark.sparkContext.broadcast((filters, wrong))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_array, rate = shared.value
         for batch in batches:
-            for _, _, raw, offsets in at.pieces(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(decide(raw, offsets, slot_array, rate)[2])], ["known"])
-
-    low = chosen.mapInArrow(run, "known double").agg(F.percentile_approx("known", STRAY / 1000, 10_000)).first()[0]
-    return REJECT_SHARE * (low or 0.0)
-
-
-def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+            for row, end, raw, offsets in at.pieces(batch.column("text")):
+                step = np.floor(decide(raw, offsets, slot_array, rate)[2] * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, end - row), pa.array(step)], ["lang", "step"])
+
+    counted = labelled.mapInArrow(run, "lang string, step long").groupBy("lang", "step").agg(F.count("*").alias("n"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("texts"))
+    each = counted.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("texts"))
+    found = sorted((r["step"], r["share"]) for r in each.groupBy("step").agg(F.sum("share").alias("share")).collect())
+    left = sum(share for _, share in found) * STRAY / 1000
+    for step, share in found:
+        left -= share
+        if left <= 0:
+            return REJECT_SHARE * step / STEPS
+    return 0.0
+
+
+def accepted(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, unchanged, whose language can be told; fits on the rows that are not held out.
 
     Texts go that have no letter, no n-gram of any taught language, or too few of the language that wins.
     """
     spark = docs.sparkSession
-    model = fit(docs.filter(~held_out(F.col("doc_id"))), per_language)
-    least = floor(docs, model, per_language)
+    model = fit(docs.filter(~held_out(F.col("doc_id"))))
+    least = floor(docs, model)
     shared = spark.sparkContext.broadcast(model[1:])
     text_at = docs.columns.index("text")
 

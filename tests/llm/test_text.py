@@ -261,6 +261,33 @@ def test_langid_rejects_what_no_language_holds(spark, frame):
     assert kept == set(range(400))
 
 
+def test_langid_learns_from_every_labelled_text(spark, frame):
+    """Beyond any number of texts that a sample would hold: exact counts of texts say which n-grams a language holds."""
+    from ledgerlight.llm import arrowtext as at
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdeé"), 4)) for _ in range(6000)]
+    rows = [(i, f"{words[i % 5000]} {words[int(rng.integers(4000, 6000))]} {words[i % 5000]}", "aa") for i in range(9000)] + [(9000 + i, f"zz {words[i]}", "bb") for i in range(60)]
+    place = lambda g: [int(at.fmix(np.array([int.from_bytes(g)], np.uint64) + s)[0] >> np.uint64(20)) % langid.SLOTS for s in langid._SEEDS]
+    counts = {"aa": Counter(), "bb": Counter()}
+    for _, t, lang in rows:
+        counts[lang].update(set(plain_grams(t)))
+    want = [{p for g, n in counts[lang].items() if n >= least for p in place(g)} for lang, least in (("aa", 9000 // langid.FEW), ("bb", 1))]
+    assert 1 in counts["aa"].values()
+    languages, filters, _ = langid.fit(frame(rows))
+    assert languages == ["aa", "bb"]
+    assert [set(np.flatnonzero(filters[0] >> np.uint64(i) & np.uint64(1)).tolist()) for i in (0, 1)] == want
+    model = languages, filters, np.zeros(2)
+    known = {"aa": [], "bb": []}
+    for d, t, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 == 2:
+            grams = plain_grams(t)
+            known[lang].append(max(sum(all(p in w for p in place(g)) for g in grams) for w in want) / len(grams))
+    steps = sorted((int(k * langid.STEPS), 1 / len(each)) for each in known.values() for k in each)
+    at_least = next(s for i, (s, _) in enumerate(steps) if sum(w for _, w in steps[: i + 1]) >= 2 * langid.STRAY / 1000)
+    assert langid.floor(frame(rows), model) == pytest.approx(langid.REJECT_SHARE * at_least / langid.STEPS, abs=2e-5)
+
+
 def at_buffers(texts):
     from ledgerlight.llm import arrowtext
 
